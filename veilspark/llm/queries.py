@@ -1,11 +1,14 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import exact_dedup, line_dedup, mixing, sharding
+from . import exact_dedup, line_dedup, lm_scoring, mixing, packing, sharding, toxicity
 
 QUERIES = {
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op1_packing": packing.op1_packing,
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 SQL = {
