@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import exact_dedup, line_dedup, lm_scoring, mixing, packing, sharding, toxicity
+from . import exact_dedup, line_dedup, lm_scoring, minhash_dedup, mixing, packing, sharding, toxicity
 
 QUERIES = {
+    "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "op1_packing": packing.op1_packing,
     "op2_mixing": mixing.op2_mixing,
