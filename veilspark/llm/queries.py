@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import exact_dedup, line_dedup, lm_scoring, minhash_dedup, mixing, packing, sharding, substring_dedup, toxicity
+from . import exact_dedup, line_dedup, lm_scoring, minhash_dedup, mixing, nn_descent, packing, sharding, substring_dedup, toxicity
 
 QUERIES = {
+    "op5_nn_descent": nn_descent.op5_nn_descent,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
