@@ -154,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: s
 def score(docs: DataFrame, field: Field | None, keep: list[str], spans: bool = False, text_col: str = "text") -> DataFrame:
     """``keep`` columns with score and, if asked for, the spans (start, end, value) whose words are toxic at 0.5."""
     model = docs.sparkSession.sparkContext.broadcast(field)
-    kind = T.ArrayType(T.StructType().add("start", "int").add("end", "int").add("value", "string"))
+    kind = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("value", "string"))
     schema = docs.select(*keep).schema.add("score", "double")
     if spans:
         schema = schema.add("spans", kind)
