@@ -1,4 +1,391 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library and their SQL. Every query reads whole tables."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classify, detectors, fixed, spans
+from ..operators import assemble, history, redact, reports, review
+
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _digits(column, n):
+    return F.lpad(column.cast("string"), n, "0")
+
+
+# --- documents -------------------------------------------------------------------------------------
+
+
+def redact_documents(spark, sf_dir):
+    """The flagship job over all documents."""
+    done = redact.redact(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "doc_type", F.size("matches").cast("long").alias("n_matches"), F.length("redacted").cast("long").alias("n_redacted"), F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+def _rule_hits(rule_id):
+    rule = next(r for r in fixed.DETECTORS if r[0] == rule_id)
+
+    def run(spark, sf_dir):
+        hits = spans.scan(F.col("text"), rule[2], rule[3])
+        return table(spark, sf_dir, "documents").select("doc_id", F.size(hits).cast("long").alias("n_hits"), F.array_join(F.transform(hits, lambda h: F.concat_ws(":", h["start"].cast("string"), h["value"])), "|").alias("hits"))
+
+    return run
+
+
+def _rule_sql(pattern):
+    marked = f"regexp_split_to_array(regexp_replace(text, '{pattern}', '﷐\\0﷐', 'g'), '﷐')"
+    return f"""
+WITH p AS (SELECT doc_id, {marked} AS parts FROM documents),
+q AS (SELECT doc_id, list_filter(list_transform(parts, lambda x, i: {{'i': i, 'v': x, 'at': length(array_to_string(parts[1:i-1], ''))}}), lambda y: y.i % 2 = 0) AS h FROM p)
+SELECT doc_id, len(h) AS n_hits, array_to_string(list_transform(h, lambda y: y.at || ':' || y.v), '|') AS hits FROM q"""
+
+
+def admission(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("file_name", F.element_at(F.array(*map(F.lit, ("a.md", "b.PDF", "c.doc", "d.txt", "e.markdown", "f.docx"))), (F.col("doc_id") % 6 + 1).cast("int"))).withColumn("n_bytes", F.col("n_chars") * 1500)
+    return redact.admitted(docs).select("doc_id", "reject_reason")
+
+
+ADMISSION_SQL = f"""
+WITH d AS (SELECT doc_id, text, n_chars * 1500 AS b, ['md', 'pdf', 'doc', 'txt', 'markdown', 'docx'][doc_id % 6 + 1] AS e FROM documents)
+SELECT doc_id, CASE WHEN e = 'doc' THEN 'legacy format' WHEN e = 'txt' THEN 'unknown format'
+  WHEN b > CASE e WHEN 'pdf' THEN {fixed.PDF_BYTES} ELSE {fixed.MARKDOWN_BYTES} END THEN 'too many bytes'
+  WHEN length(text) > {fixed.TEXT_CHARS} THEN 'too many characters' WHEN trim(text, e' \\t\\n\\r') = '' THEN 'no text' END AS reject_reason
+FROM d"""
+
+
+def normalise(spark, sf_dir):
+    dirty = F.concat(F.lit(" \n"), F.regexp_replace("text", "\\. ", ". \t\r\n\r\r\n\n"), F.lit("\r"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redact.normalised(dirty), 256).alias("text_sha256"))
+
+
+NORMALISE_SQL = r"""
+WITH d AS (SELECT doc_id, e' \n' || replace(text, '. ', e'. \t\r\n\r\r\n\n') || e'\r' AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[\t ]+\n', chr(10), 'g') AS t FROM d)
+SELECT doc_id, sha256(trim(regexp_replace(t, '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), e' \t\n\r')) AS text_sha256 FROM a"""
+
+
+def custom_terms(spark, sf_dir):
+    found = detectors.term_candidates(F.col("text"), detectors.parsed_terms("the\n、License;stupid"))
+    counts = F.transform(F.array(*[F.lit(f"【敏感信息{i}】") for i in (1, 2, 3)]), lambda p: F.size(F.filter(found, lambda c: c["placeholder"] == p)))
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.get(counts, F.lit(i)).cast("long").alias(f"n_{i + 1}") for i in range(3)])
+
+
+CUSTOM_TERMS_SQL = "SELECT doc_id, " + ", ".join(f"(length(text) - length(replace(text, '{t}', ''))) // {len(t)} AS n_{i}" for i, t in enumerate(("the", "License", "stupid"), 1)) + " FROM documents"
+
+
+def late_term(spark, sf_dir):
+    docs = redact.matched(table(spark, sf_dir, "documents").select("doc_id", "text", spans.none(spans.CANDIDATE).alias("candidates")))
+    done = redact.replaced(redact.with_late_term(docs, " License "))
+    return done.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+LATE_TERM_SQL = "SELECT doc_id, (length(text) - length(replace(text, 'License', ''))) // 7 AS n_matches, sha256(replace(text, 'License', '【敏感信息】')) AS redacted_sha256 FROM documents"
+
+# --- contracts from customers: golden by construction ------------------------------------------------
+
+HEADS = {"AUTOMOBILE": ("授权委托书", "mandate"), "BUILDING": ("授权书", "authorization"), "FURNITURE": ("技术开发合同", "tech"), "HOUSEHOLD": ("货物采购合同", "purchase"), "MACHINERY": ("情况说明函", "letter")}
+
+
+def contracts(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    head = F.element_at(F.create_map(*[F.lit(x) for k, v in HEADS.items() for x in (k, v[0])]), F.col("c_mktsegment"))
+    text = F.concat(
+        F.lit("# "), head, F.lit("\n\n甲方：测试"), _digits(key, 6), F.lit("有限公司（以下简称“测试"), _digits(key, 6), F.lit("”）\n乙方：样例研究中心\n"),
+        F.lit("合同编号：HT-"), _digits(key, 6), F.lit("\n联系电话：138"), _digits(key, 8), F.lit("\n邮箱：u"), key.cast("string"), F.lit("@example.com\n身份证号：110101199001"), _digits(key, 6),
+        F.lit("\n\n## 第一条 价款\n\n测试"), _digits(key, 6), F.lit("负责设计，测试"), _digits(key, 6), F.lit("有限公司负责验收。费用为"), key.cast("string"), F.lit("元，税率为"), (key % 30).cast("string"), F.lit("%，阶段付款比例为30%-40%。\n有效期自[2026.01.01]至[2026.12.31]，期限共12个月，应在"),
+        (key % 48 + 1).cast("string"), F.lit("小时内响应，交付日期为2026年3月1日。"),
+    )
+    return c.select(F.col("c_custkey").alias("doc_id"), "c_mktsegment", text.alias("text"))
+
+
+def redact_contracts(spark, sf_dir):
+    return redact.redact(contracts(spark, sf_dir)).select("doc_id", "doc_type", "redacted")
+
+
+_TYPE = "CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in HEADS.items()) + " END"
+_HEAD = "CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in HEADS.items()) + " END"
+REDACT_CONTRACTS_SQL = f"""
+SELECT c_custkey AS doc_id, {_TYPE} AS doc_type,
+  '# ' || {_HEAD} || e'\\n\\n甲方：【主体A】（以下简称“【主体A简称】”）\\n乙方：【主体B】\\n合同编号：【文档编号】\\n联系电话：【联系方式已删除】\\n邮箱：【邮箱已删除】\\n身份证号：【身份证号已删除】'
+  || e'\\n\\n## 第一条 价款\\n\\n【主体A简称】负责设计，【主体A】负责验收。费用为X元，税率为X%，阶段付款比例为X%-Y%。\\n有效期自[20XX年XX月XX日]至[20XX年XX月XX日]，期限共X个月，应在Y小时内响应，交付日期为20XX年XX月XX日。' AS redacted
+FROM customer"""
+
+
+def classify_contracts(spark, sf_dir):
+    kind = classify.document_type(F.col("text"))
+    return contracts(spark, sf_dir).select("doc_id", kind.alias("doc_type"), classify.type_name(F.col("text"), kind).alias("type_name"), F.length(reports.analysis_prompt(kind)).cast("long").alias("prompt_chars"), reports.export_name(kind, F.lit(False)).alias("export_name"))
+
+
+_LABEL = "CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN '{fixed.TYPES[v[1]]}'" for k, v in HEADS.items()) + " END"
+CLASSIFY_SQL = f"""
+SELECT c_custkey AS doc_id, {_TYPE} AS doc_type, CASE WHEN {_TYPE} IN ('tech', 'purchase') THEN {_HEAD} ELSE {_LABEL} END AS type_name,
+  CAST({sum(map(len, fixed.PROMPT))} + length({_LABEL}) + CASE c_mktsegment {' '.join(f"WHEN '{k}' THEN {len(fixed.FOCUS[v[1]])}" for k, v in HEADS.items())} END AS BIGINT) AS prompt_chars,
+  {_LABEL} || '_脱敏版.md' AS export_name
+FROM customer"""
+
+# --- spans from lineitem ------------------------------------------------------------------------------
+
+_CATS = ("amount", "phone", "date", "person", "percentage", "duration", "numericSpec")
+
+
+def span_documents(spark, sf_dir):
+    """Matches by order, from line items: overlaps not yet settled."""
+    x = table(spark, sf_dir, "lineitem")
+    start = (F.col("l_suppkey") % 50).cast("int")
+    cat = F.element_at(F.array(*map(F.lit, _CATS)), ((F.col("l_linenumber") - 1) % 7 + 1).cast("int"))
+    row = F.struct(start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"), F.lit("v").alias("value"), cat.alias("category"), F.lit("P").alias("placeholder"))
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey"), row.alias("c"))))
+    return x.groupBy(F.col("l_orderkey").alias("doc_id")).agg(rows.alias("r")).select("doc_id", F.transform("r", lambda r: r["c"]).alias("candidates"))
+
+
+def resolve_spans(spark, sf_dir):
+    taken = spans.resolved(F.col("candidates"), None)
+    return span_documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(taken, lambda c: F.concat_ws("-", c["start"].cast("string"), c["end"].cast("string"), c["category"])), ",").alias("taken"))
+
+
+_SPAN_SQL = f"""
+s AS (SELECT l_orderkey AS doc_id, (l_suppkey % 50)::INTEGER AS st, (l_suppkey % 50)::INTEGER + l_quantity::INTEGER AS en, l_linenumber, l_partkey,
+  {list(_CATS)}[(l_linenumber - 1) % 7 + 1] AS cat, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS seq FROM lineitem),
+o AS (SELECT doc_id, list({{'st': st, 'en': en, 'cat': cat}} ORDER BY st, en DESC, CASE cat {' '.join(f"WHEN '{c}' THEN {fixed.PRIORITY[c]}" for c in _CATS)} END DESC, seq) AS l FROM s GROUP BY doc_id),
+t AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN x.st >= a.e THEN {{'e': x.en, 'n': list_append(a.n, x)}} ELSE a END, {{'e': 0, 'n': l[1:0]}}).n AS taken FROM o)"""
+RESOLVE_SQL = f"WITH {_SPAN_SQL} SELECT doc_id, array_to_string(list_transform(taken, lambda x: x.st || '-' || x.en || '-' || x.cat), ',') AS taken FROM t"
+
+
+def reviewed(spark, sf_dir):
+    """Settled matches with decisions: every third start is kept, every fifth placeholder emptied."""
+    docs = span_documents(spark, sf_dir).withColumn("candidates", spans.resolved(F.col("candidates"), None))
+    docs = docs.select("doc_id", F.transform("candidates", lambda m: F.struct(spans.match_id(m).alias("match_id"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["category"].alias("category"), m["placeholder"].alias("placeholder"), F.lit(True).alias("selected"))).alias("matches"))
+    each = docs.select("doc_id", F.explode("matches").alias("m"))
+    decisions = each.filter("m.start % 3 = 0 OR m.start % 5 = 0").select("doc_id", "m.match_id", F.expr("m.start % 3 <> 0").alias("selected"), F.expr("if(m.start % 5 = 0, '', NULL)").alias("placeholder"))
+    return review.with_decisions(docs, decisions)
+
+
+_REVIEW_SQL = f"{_SPAN_SQL}, m AS (SELECT doc_id, i AS ordinal, x.st AS st, x.cat AS category, x.st % 3 <> 0 AS selected, CASE WHEN x.st % 5 = 0 THEN '【已删除】' ELSE 'P' END AS placeholder FROM (SELECT doc_id, unnest(list_transform(taken, lambda y, j: {{'x': y, 'i': j}})) AS u, u.x AS x, u.i AS i FROM t))"
+
+
+def review_matches(spark, sf_dir):
+    return review.match_rows(reviewed(spark, sf_dir)).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "start", "category", "selected", "placeholder")
+
+
+def batch_counts(spark, sf_dir):
+    return review.batch_counters(reviewed(spark, sf_dir))
+
+
+def batch_toggle(spark, sf_dir):
+    docs = review.batch_toggled(review.batch_toggled(reviewed(spark, sf_dir), "time"), "time")
+    return review.match_rows(docs).groupBy("doc_id").agg(F.count_if(~F.col("selected")).alias("n_kept"))
+
+
+def risk_retained(spark, sf_dir):
+    return review.high_risk_kept(reviewed(spark, sf_dir))
+
+
+def report_counts(spark, sf_dir):
+    rows = reports.label_counts(review.match_rows(reviewed(spark, sf_dir)))
+    return rows.select("doc_id", "label", "n_selected", "n_kept", F.col("first_ordinal").cast("long").alias("first_ordinal"))
+
+
+_CASE_LABEL = "CASE category " + " ".join(f"WHEN '{c}' THEN '{fixed.CATEGORIES[c][0]}'" for c in _CATS) + " END"
+_HIGH = ", ".join(f"'{c}'" for c in _CATS if fixed.CATEGORIES[c][2] == "high")
+_GROUPS = ", ".join(f"('{g}', [{', '.join(repr(c) for c in cats)}])" for g, cats in fixed.BATCH_GROUPS.items())
+
+
+def report_texts(spark, sf_dir):
+    text = reports.report_text(F.concat(F.lit("JQ-"), F.col("doc_id").cast("string")), F.lit("v1"), F.lit("tech"), F.lit("2024-01-31 20:15:00").cast("timestamp"), F.col("matches"))
+    return reviewed(spark, sf_dir).select("doc_id", text.alias("report"))
+
+
+REPORT_SQL = f"""WITH {_REVIEW_SQL}, c AS (SELECT doc_id, {_CASE_LABEL} AS label, count(*) FILTER (selected) AS a, count(*) FILTER (NOT selected) AS b, min(ordinal) AS f FROM m GROUP BY ALL)
+SELECT doc_id, e'# 脱敏报告\\n\\n- 摘要任务编号：JQ-' || doc_id || e'\\n- 工具版本：v1\\n- 文书类型：技术合作开发合同（自动识别）\\n- 处理时间：2024/2/1 04:15:00（UTC+8）\\n- 输出格式：Markdown\\n- 说明：本报告不记录任何原始敏感值。\\n\\n## 处理统计\\n\\n'
+ || string_agg('- ' || label || '：已处理 ' || a || ' 处，用户保留 ' || b || ' 处', chr(10) ORDER BY f) || e'\\n\\n## 责任提示\\n\\n{fixed.DUTY}\\n' AS report
+FROM c GROUP BY doc_id"""
+
+
+# --- history from events -----------------------------------------------------------------------------
+
+
+def _md5_id(column):
+    h = F.md5(column.cast("string").cast("binary"))
+    return F.concat(F.lit("JQ-"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12))
+
+
+def history_records(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    cat = F.element_at(F.array(*map(F.lit, ("amount", "phone", "nope", "date"))), (F.col("event_id") % 4 + 1).cast("int"))
+    count = lambda c, n: F.struct(c.alias("category"), n.cast("double").alias("replaced"), F.lit(1.0).alias("kept"))
+    return e.select(
+        (F.col("user_id") % 7).alias("client_id"), _md5_id(F.col("event_id") % 3001).alias("id"), F.col("ts").cast("timestamp").alias("created_at"),
+        F.when(F.col("event_id") % 11 == 0, "bad").otherwise("2024.01.02.3+0123456789").alias("version"), F.col("event_id").alias("pos"),
+        F.array(count(cat, F.col("event_id") % 9 - 1), count(cat, F.lit(5)), count(F.lit("email"), F.lit(2))).alias("counts"),
+    )
+
+
+def clean_history(spark, sf_dir):
+    now = table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("t")).first()["t"]
+    done = history.cleaned(history_records(spark, sf_dir), F.lit(now))
+    replaced, kept = history.totals(F.col("counts"))
+    names = F.array_join(F.transform("counts", lambda c: c["category"]), ",")
+    return done.select("client_id", "id", "pos", names.alias("categories"), replaced.alias("replaced"), kept.alias("kept"))
+
+
+CLEAN_HISTORY_SQL = """
+WITH e AS (SELECT *, user_id % 7 AS client_id, md5((event_id % 3001)::VARCHAR) AS h, max(ts) OVER () AS now FROM events),
+v AS (SELECT client_id, 'JQ-' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS id, event_id AS pos, ts FROM e WHERE event_id % 11 <> 0 AND ts > now - INTERVAL 30 DAY),
+n AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY client_id, id ORDER BY ts DESC, pos) = 1),
+t AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY ts DESC, pos) <= 100)
+SELECT client_id, id, pos,
+  CASE WHEN pos % 4 = 2 OR pos % 9 = 0 THEN 'email' ELSE ['email,amount', 'email,phone', '', 'email,date'][pos % 4 + 1] END AS categories,
+  2 + CASE WHEN pos % 4 = 2 OR pos % 9 = 0 THEN 0 ELSE pos % 9 - 1 END AS replaced,
+  1 + CASE WHEN pos % 4 = 2 OR pos % 9 = 0 THEN 0 ELSE 1 END AS kept FROM t"""
+
+
+def run_history(spark, sf_dir):
+    rows = history.run_counts(review.match_rows(reviewed(spark, sf_dir)))
+    return rows.select("doc_id", F.array_join(F.transform("counts", lambda c: F.concat_ws(":", c["category"], c["replaced"].cast("string"), c["kept"].cast("string"))), ",").alias("counts"))
+
+
+_ORDER = "CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(fixed.CATEGORIES) if c in _CATS) + " END"
+RUN_HISTORY_SQL = f"WITH {_REVIEW_SQL}, c AS (SELECT doc_id, category, count(*) FILTER (selected) AS a, count(*) FILTER (NOT selected) AS b FROM m GROUP BY ALL) SELECT doc_id, string_agg(category || ':' || a || ':' || b, ',' ORDER BY {_ORDER}) AS counts FROM c GROUP BY doc_id"
+
+# --- assembly ----------------------------------------------------------------------------------------
+
+
+def text_items(spark, sf_dir):
+    """Words of documents as positioned items, one line of text a line, 20 lines a page."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    w = d.select("doc_id", "line", F.posexplode(F.split("s", " ")).alias("word", "str"))
+    return w.select("doc_id", (F.floor(F.col("line") / 20) + 1).cast("int").alias("page"), (F.col("line") % 20 * 100000 + F.col("word")).alias("item_no"), "str", (F.col("word") * 10.0).alias("x"), (F.col("line") * -12.0).alias("y"), F.lit(9.0).alias("width"), F.lit(1.0).alias("height"), F.lit(False).alias("has_eol"))
+
+
+def page_stats(spark, sf_dir):
+    done = assemble.page_stats(assemble.page_texts(text_items(spark, sf_dir)))
+    return done.select("doc_id", "page", "n_chars", "is_empty", "is_sparse", "is_faulty")
+
+
+PAGE_STATS_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'s': x, 'page': (i - 1) // 20 + 1})) AS u FROM documents),
+p AS (SELECT doc_id, u.page::INTEGER AS page, string_agg(u.s, '') AS t FROM l GROUP BY ALL)
+SELECT doc_id, page, length(regexp_replace(t, '\s', '', 'g')) AS n_chars, n_chars = 0 AS is_empty, n_chars BETWEEN 1 AND 29 AS is_sparse, false AS is_faulty FROM p"""
+
+
+def assemble_pages(spark, sf_dir):
+    done = assemble.assembled(assemble.page_texts(text_items(spark, sf_dir)))
+    return done.select("doc_id", F.size("warnings").cast("long").alias("n_warnings"), "reject_reason", F.size(F.split("text", "## PDF 第 ")).cast("long").alias("n_parts"))
+
+
+ASSEMBLE_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'s': x, 'page': (i - 1) // 20 + 1})) AS u FROM documents),
+p AS (SELECT doc_id, u.page AS page, length(regexp_replace(string_agg(u.s, ''), '\s', '', 'g')) AS n FROM l GROUP BY ALL)
+SELECT doc_id, 2 + bool_or(n = 0)::BIGINT + bool_or(n BETWEEN 1 AND 29)::BIGINT AS n_warnings,
+  CASE WHEN count(*) > 200 THEN 'too many pages' WHEN sum(n) > 1000000 THEN 'too many characters' WHEN sum(n) = 0 THEN 'no text' END AS reject_reason, count(*) + 1 AS n_parts FROM p GROUP BY doc_id"""
+
+
+def order_tables(spark, sf_dir):
+    """Line items of an order as a Markdown table with ragged rows, under a heading."""
+    x = table(spark, sf_dir, "lineitem")
+    cell = lambda c: F.array(F.concat(F.lit(" "), c, F.lit(" ")), F.lit(" "), F.lit("a|b"))
+    row = F.when(F.col("l_linenumber") % 2 == 1, F.array(cell(F.col("l_partkey").cast("string")), cell(F.col("l_returnflag")))).otherwise(F.array(cell(F.col("l_partkey").cast("string"))))
+    t = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("r")))).alias("rs"))
+    body = t.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("part_no"), F.lit(1).alias("block_no"), F.lit("tbl").alias("kind"), F.lit(None).cast("string").alias("style"), F.lit(None).cast("string").alias("text"), F.transform("rs", lambda r: r["r"]).alias("rows"))
+    head = t.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("part_no"), F.lit(0).alias("block_no"), F.lit("p").alias("kind"), F.lit("Heading2").alias("style"), F.lit(" Order ").alias("text"), F.lit(None).cast("array<array<array<string>>>").alias("rows"))
+    foot = t.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("part_no"), F.lit(0).alias("block_no"), F.lit("p").alias("kind"), F.lit(None).cast("string").alias("style"), F.lit("foot").alias("text"), F.lit(None).cast("array<array<array<string>>>").alias("rows"))
+    return assemble.block_documents(head.unionByName(body).unionByName(foot))
+
+
+ORDER_TABLES_SQL = r"""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, bool_or(l_linenumber % 2 = 1) OVER (PARTITION BY l_orderkey) AS wide,
+  '| ' || l_partkey || '；a\|b' || CASE WHEN l_linenumber % 2 = 1 THEN ' | ' || l_returnflag || '；a\|b' WHEN wide THEN ' | ' ELSE '' END || ' |' AS line FROM lineitem)
+SELECT l_orderkey AS doc_id, e'## Order\n\n' || max(line) FILTER (i = 1) || chr(10) || CASE WHEN bool_or(wide) THEN '| --- | --- |' ELSE '| --- |' END
+  || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY i) FILTER (i > 1), '') || e'\n\n---\n\n> 页眉或页脚内容\n\nfoot' AS text FROM r GROUP BY l_orderkey"""
+
+
+def packages(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem")
+    name = F.element_at(F.array(*map(F.lit, ("word/document.xml", "word/header1.xml", "word/media/a.png", "word/comments.xml", "word/footer2.xml", "word/embeddings/b.bin", "docProps/app.xml"))), ((F.col("l_linenumber") - 1) % 7 + 1).cast("int"))
+    entries = x.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("entry_no"), name.alias("name"), (F.col("l_quantity") * 45000).cast("long").alias("declared_bytes"))
+    done = assemble.package_admission(entries)
+    return done.select("doc_id", "reject_reason", F.size("warnings").cast("long").alias("n_warnings"))
+
+
+PACKAGES_SQL = f"""
+WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber AS i, (l_linenumber - 1) % 7 AS k, (l_quantity * 45000)::BIGINT AS b, k IN (0, 1, 4) AS needed FROM lineitem),
+c AS (SELECT *, needed AND b > least({fixed.PART_BYTES}, {fixed.TOTAL_BYTES} - coalesce(sum(CASE WHEN needed THEN b ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS over FROM e)
+SELECT doc_id, CASE WHEN count(DISTINCT k) < count(*) THEN 'duplicate names' WHEN bool_or(over) THEN 'part too large' WHEN NOT bool_or(k = 0) THEN 'no body' END AS reject_reason,
+  bool_or(k = 2)::BIGINT + bool_or(k = 3)::BIGINT + bool_or(k = 5)::BIGINT AS n_warnings FROM c GROUP BY doc_id"""
+
+
+# --- streaming ---------------------------------------------------------------------------------------
+
+
+def stream_redact(spark, sf_dir):
+    """Documents replayed as a stream through the redaction plan's mail and phone rules; read back."""
+    from ..streaming import jobs
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    out = f"{base.rstrip('/')}/stream-{spark.sql('SELECT uuid()').first()[0]}"
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
+    done = jobs.redact_stream(docs, rules=[r for r in fixed.DETECTORS if r[0] in ("D01", "D02")], fields=None, parties=False, persons=False)
+    query = done.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.sha2("redacted", 256).alias("redacted_sha256")).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+QUERIES = {
+    "redact_documents": redact_documents,
+    "redact_contracts": redact_contracts,
+    "classify_contracts": classify_contracts,
+    "detect_email": _rule_hits("D01"),
+    "detect_percent": _rule_hits("D22"),
+    "detect_permille": _rule_hits("D25"),
+    "admission": admission,
+    "normalise": normalise,
+    "custom_terms": custom_terms,
+    "late_term": late_term,
+    "resolve_spans": resolve_spans,
+    "review_matches": review_matches,
+    "batch_counts": batch_counts,
+    "batch_toggle": batch_toggle,
+    "risk_retained": risk_retained,
+    "report_counts": report_counts,
+    "report_texts": report_texts,
+    "run_history": run_history,
+    "clean_history": clean_history,
+    "page_stats": page_stats,
+    "assemble_pages": assemble_pages,
+    "order_tables": order_tables,
+    "packages": packages,
+    "stream_redact": stream_redact,
+}
+ORACLE = {
+    "redact_contracts": REDACT_CONTRACTS_SQL,
+    "classify_contracts": CLASSIFY_SQL,
+    "detect_email": _rule_sql("(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}"),
+    "detect_percent": _rule_sql("[0-9]+(?:\\.[0-9]+)?\\s*[％%]"),
+    "detect_permille": _rule_sql("[0-9]+(?:\\.[0-9]+)?\\s*‰"),
+    "admission": ADMISSION_SQL,
+    "normalise": NORMALISE_SQL,
+    "custom_terms": CUSTOM_TERMS_SQL,
+    "late_term": LATE_TERM_SQL,
+    "resolve_spans": RESOLVE_SQL,
+    "review_matches": f"WITH {_REVIEW_SQL} SELECT doc_id, ordinal, st AS start, category, selected, placeholder FROM m",
+    "batch_counts": f"WITH {_REVIEW_SQL}, g(batch_group, cats) AS (VALUES {_GROUPS}), k AS (SELECT t.doc_id, g.batch_group, count(m.st) AS total, count(m.st) FILTER (NOT m.selected) AS kept FROM t CROSS JOIN g LEFT JOIN m ON m.doc_id = t.doc_id AND list_contains(g.cats, m.category) GROUP BY ALL) SELECT *, total > 0 AND kept = total AS all_kept FROM k",
+    "batch_toggle": f"WITH {_REVIEW_SQL}, z AS (SELECT *, category IN ('date', 'duration') AS tm FROM m), y AS (SELECT *, bool_and(NOT selected) FILTER (tm) OVER (PARTITION BY doc_id) AS ak FROM z) SELECT doc_id, count(*) FILTER (CASE WHEN tm THEN ak ELSE NOT selected END) AS n_kept FROM y GROUP BY doc_id",
+    "risk_retained": f"WITH {_REVIEW_SQL} SELECT doc_id, count(*) FILTER (NOT selected AND category IN ({_HIGH})) AS high_risk_kept FROM m GROUP BY doc_id",
+    "report_counts": f"WITH {_REVIEW_SQL} SELECT doc_id, {_CASE_LABEL} AS label, count(*) FILTER (selected) AS n_selected, count(*) FILTER (NOT selected) AS n_kept, min(ordinal) AS first_ordinal FROM m GROUP BY ALL",
+    "report_texts": REPORT_SQL,
+    "run_history": RUN_HISTORY_SQL,
+    "clean_history": CLEAN_HISTORY_SQL,
+    "page_stats": PAGE_STATS_SQL,
+    "assemble_pages": ASSEMBLE_SQL,
+    "order_tables": ORDER_TABLES_SQL,
+    "packages": PACKAGES_SQL,
+}
 
-QUERIES = {}
-ORACLE = {}
