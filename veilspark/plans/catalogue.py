@@ -168,7 +168,7 @@ def reviewed(spark, sf_dir):
     return review.with_decisions(docs, decisions)
 
 
-_REVIEW_SQL = f"{_SPAN_SQL}, m AS (SELECT doc_id, i AS ordinal, x.st AS st, x.cat AS category, x.st % 3 <> 0 AS selected, CASE WHEN x.st % 5 = 0 THEN '【已删除】' ELSE 'P' END AS placeholder FROM (SELECT doc_id, unnest(list_transform(taken, lambda y, j: {{'x': y, 'i': j}})) AS u, u.x AS x, u.i AS i FROM t))"
+_REVIEW_SQL = f"{_SPAN_SQL}, m AS (SELECT doc_id, i AS ordinal, x.st AS st, x.cat AS category, x.st % 3 <> 0 AS selected, CASE WHEN x.st % 5 = 0 THEN '【已删除】' ELSE 'P' END AS placeholder FROM (SELECT doc_id, u.x AS x, u.i AS i FROM (SELECT doc_id, unnest(list_transform(taken, lambda y, j: {{'x': y, 'i': j}})) AS u FROM t)))"
 
 
 def review_matches(spark, sf_dir):
