@@ -39,12 +39,17 @@ def _anchors(hashes: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.
     width = window - run + 1
     if len(g) < width:
         return np.zeros(0, dtype=np.int64), g
-    n, best, at = len(g) - width + 1, g[: len(g) - width + 1].copy(), np.arange(len(g) - width + 1)
-    for i in range(1, width):
-        less = g[i : n + i] < best
-        best[less] = g[i : n + i][less]
-        at[less] = np.flatnonzero(less) + i
-    return at, g
+    # A place in the low bits settles ties, so one minimum finds both; windows are far shorter than 4096.
+    low = np.uint64(0xFFF)
+    key = (g & ~low) | (np.arange(len(g), dtype=np.uint64) & low)
+    size = 1
+    while 2 * size <= width:
+        key = np.minimum(key[: len(key) - size], key[size:])
+        size *= 2
+    n = len(g) - width + 1
+    key = np.minimum(key[:n], key[width - size : width - size + n])
+    first = np.arange(n)
+    return first + (((key & low).astype(np.int64) - first) & 0xFFF), g
 
 
 def _passages(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
