@@ -51,3 +51,17 @@ def word_count(column):
 def crc_of_id(column: str = "doc_id"):
     """crc32 of the id written as text; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def text_slices(batches, column: int = -1, most: int = 4 << 20):
+    """Record batches cut so that the texts of each hold about ``most`` bytes: bounds what a worker holds."""
+    for batch in batches:
+        sizes = batch.column(column % batch.num_columns).cast("binary").to_pylist()
+        start = held = 0
+        for i, text in enumerate(sizes):
+            if held and held + len(text) > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += len(text)
+        if batch.num_rows > start:
+            yield batch.slice(start)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of_id, documents, text_of
+from .common import crc_of_id, documents, text_of, text_slices
 
 SAMPLE, FOLDS, STEPS, LEAST_DOCS, LEAST_ODDS = 1500, 5, 30, 5, 3.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -160,7 +160,7 @@ def score(docs: DataFrame, field: Field | None, keep: list[str], spans: bool = F
         schema = schema.add("spans", kind)
 
     def run(batches):
-        for batch in batches:
+        for batch in text_slices(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             best, p, counts = np.zeros(len(texts)), np.zeros(0), np.zeros(len(texts), dtype=np.int64)
             if model.value is not None:
