@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import crc_of_id, documents, text_of, text_slices
 
-SAMPLE, FOLDS, STEPS, LEAST_DOCS, LEAST_ODDS = 1500, 5, 30, 5, 3.0
+SAMPLE, FOLDS, STEPS, LEAST_DOCS, LEAST_ODDS = 500, 5, 30, 5, 3.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
