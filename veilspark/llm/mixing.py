@@ -90,7 +90,7 @@ def _laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep
     sizes = chunks.groupBy("skey").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
     plan = source_targets(sizes)
     inside = Window.partitionBy("skey", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = rows.join(starts.select("skey", "chunk", "chunk_start"), ["skey", "chunk"])
+    laid = rows.join(starts.select("skey", "chunk", "chunk_start").hint("merge"), ["skey", "chunk"])
     laid = laid.withColumn("start", F.col("chunk_start") + F.sum("size").over(inside) - F.col("size")).withColumn("row", F.count("*").over(inside))
     return laid, plan
 
@@ -102,7 +102,7 @@ def _pieces(laid: DataFrame, keys: list[str], slots: DataFrame, block_words: int
     low = F.greatest("start", F.col("block") * block_words)
     parts = parts.withColumn("at", low - F.col("start")).withColumn("low", low - F.col("block") * block_words)
     parts = parts.withColumn("high", F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words)))
-    taken = parts.join(slots.select("skey", "block", "limit", "round"), ["skey", "block"])
+    taken = parts.join(slots.select("skey", "block", "limit", "round").hint("merge"), ["skey", "block"])
     return taken.withColumn("take", F.least("high", "limit") - F.col("low")).filter("take > 0")
 
 
@@ -125,7 +125,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = ["skey", "chunk", "row"]
     parts = _pieces(laid, ["chunk", "row"], draw_slots(slot_plan(targets)), BLOCK_WORDS)
     rounds = parts.groupBy(*keys, "round").agg(F.sum("take").alias("taken"), F.array_sort(F.collect_list(F.struct("at", "take"))).alias("spans"))
-    mixed = laid.join(rounds, keys)
+    mixed = laid.join(rounds.hint("merge"), keys)
     words = F.split(F.btrim(text_of(f"whole.{text_col}"), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")
     cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["at"] + 1).cast("int"), s["take"].cast("int")))), " ")
     text = F.when(F.col("taken") == F.col("size"), F.col(f"whole.{text_col}")).otherwise(cut)
