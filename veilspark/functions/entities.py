@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
 from .detectors import is_party, is_person
 from .dialect import BLANK, escaped, extract, matches, replace, trim
 from .spans import candidate, none, scan_fields, scan_java
 
-ENTITY = "array<struct<value:string,category:string,placeholder:string>>"
+ENTITY = T.ArrayType(T.StructType().add("value", "string").add("category", "string").add("placeholder", "string"))
 
 
 def preamble(text: Column) -> Column:
