@@ -64,6 +64,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 class FMIndex:
     def __init__(self, symbols: np.ndarray, depth: int):
+        symbols = np.append(symbols, 0)  # the end is a symbol that no pattern holds
         self.places = suffix_order(symbols, depth)
         last = symbols[self.places - 1]
         self.matrix = WaveletMatrix(last)
