@@ -1,13 +1,13 @@
 """Toxicity: a two-state linear-chain conditional random field over words.
 
-Word tags come from document labels: words that toxic documents hold far more often than clean ones,
-after many different words, are tagged in toxic documents. The field has weights for a
-word, the word before and the word after, and for the transitions; it is fitted by gradient ascent
-with forward-backward sums. Marginals of all words of every whole text give the document's score,
+Word tags come from document labels: words and word beginnings that toxic documents hold far more often
+than clean ones, in many documents and after many different words, are tagged in toxic documents. The
+field has weights for a word (a rare one counts as its beginning), the word before and the word after,
+and for the transitions; it is fitted by gradient ascent with forward-backward sums. Marginals of all words of every whole text give the document's score,
 the largest marginal, and the offending spans.
 
-The fit uses at most ``SAMPLE`` labelled rows of each class, those of smallest hash; a documented
-bound. Scoring covers all rows.
+The fit uses at most ``SAMPLE`` toxic and ``CLEAN`` clean labelled rows, those of smallest hash; a
+documented bound. Clean rows weigh less where there are more of them. Scoring covers all rows.
 
 Defined cases: null, empty or wordless text scores 0 and is not toxic; null labels are no labels;
 repeated rows are scored alike; without labels of both classes every score is 0; an empty table
@@ -28,27 +28,48 @@ from pyspark.sql import types as T
 
 from .common import crc_of_id, documents, text_of, text_slices
 
-SAMPLE, FOLDS, STEPS, LEAST_DOCS, LEAST_ODDS = 500, 5, 30, 5, 3.0
+SAMPLE, CLEAN, FOLDS, STEPS, LEAST_DOCS, LEAST_ODDS, STEM = 500, 1500, 5, 30, 5, 3.0, 5
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def stem(word: str) -> str:
+    """What a rare word counts as: its beginning, marked so that it is no word."""
+    return word[:STEM] + "*"
+
+
+class Known(dict):
+    """Ids of words; those of other words (their beginning's, else 0) are remembered up to a bound."""
+
+    most = 500_000
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__(vocabulary)
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.vocabulary)
+        i = self[word] = self.vocabulary.get(stem(word), 0)
+        return i
+
+    def __reduce__(self):
+        return Known, (self.vocabulary,)
+
+
 class Field:
     """The fitted field: vocabulary, weights (word, word before, word after) and transitions."""
 
     def __init__(self, vocabulary: dict[str, int], size: int):
-        self.vocabulary = vocabulary
+        self.vocabulary = Known(vocabulary)
         self.weights = np.zeros((3, size + 1))
         self.trans = np.zeros((2, 2))
         self.start = 0.0
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words (0: unknown) and the number of words of each text."""
-        get, ids, counts = self.vocabulary.get, [], []
-        for text in texts:
-            found = WORD.findall(text.lower())
-            counts.append(len(found))
-            ids += [get(w, 0) for w in found]
-        return np.array(ids, dtype=np.int32), np.array(counts, dtype=np.int64)
+        ids = [np.fromiter(map(self.vocabulary.__getitem__, WORD.findall(text.lower())), dtype=np.int32) for text in texts]
+        return np.concatenate([np.zeros(0, dtype=np.int32), *ids]), np.array([len(x) for x in ids], dtype=np.int64)
 
     def neighbours(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the words before and after (last id: none), and which words are first."""
@@ -93,37 +114,52 @@ class Field:
         return both / (1 + both)
 
 
-def toxic_words(texts: list[list[str]], toxic: list[bool]) -> set[str]:
-    """Words that mark toxic documents: frequent there after many different words, rare in clean ones.
+def _distinct(keys: np.ndarray, others: np.ndarray, size: int) -> np.ndarray:
+    """For each of ``size`` keys, the number of different others it occurs with."""
+    return np.bincount(np.unique(keys.astype(np.int64) << 32 | others) >> 32, minlength=size)
 
-    A word counts once for each different word before it, so the words of a document that was copied
-    many times do not pass for marks.
+
+def toxic_words(keys: np.ndarray, before: np.ndarray, doc: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """Which keys (of words or beginnings) mark toxic documents: frequent there, rare in clean ones.
+
+    A key counts once for a document and once for each different word before it, and the smaller number
+    holds: neither a document that repeats a word nor one that was copied many times makes a mark.
     """
-    after = {pair for words, x in zip(texts, toxic, strict=True) if x for pair in zip(words, ["", *words], strict=False)}
-    support = Counter(w for w, _ in after)
-    clean = Counter(w for words, x in zip(texts, toxic, strict=True) if not x for w in set(words))
-    n, m = toxic.count(True) + 1, toxic.count(False) + 1
-    least = max(LEAST_DOCS, n // 100)
-    return {w for w, k in support.items() if k >= least and math.log((k + 0.5) / n) - math.log((clean[w] + 0.5) / m) >= LEAST_ODDS}
+    bad = toxic[doc]
+    support = np.minimum(_distinct(keys[bad], doc[bad], size), _distinct(keys[bad], before[bad], size))
+    clean = _distinct(keys[~bad], doc[~bad], size)
+    n, m = int(toxic.sum()) + 1, int((~toxic).sum()) + 1
+    return (support >= max(LEAST_DOCS, n // 100)) & (np.log((support + 0.5) / n) - np.log((clean + 0.5) / m) >= LEAST_ODDS)
 
 
 def fit(texts: list[str], toxic: list[bool], steps: int = STEPS) -> Field | None:
     if not any(toxic) or all(toxic):
         return None
-    split = [WORD.findall(t.lower()) for t in texts]
-    marks = toxic_words(split, toxic)
-    spread = Counter(w for words in split for w in set(words))
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in spread.items() if n > 1))}
+    codes: dict[str, int] = {}
+    each = [np.fromiter((codes.setdefault(w, len(codes)) for w in WORD.findall(t.lower())), dtype=np.int32) for t in texts]
+    counts = np.array([len(x) for x in each], dtype=np.int64)
+    flat, doc = np.concatenate(each), np.repeat(np.arange(len(texts)), counts)
+    if not len(flat):
+        return None
+    prior = np.roll(flat, 1)
+    prior[(np.cumsum(counts) - counts)[counts > 0]] = len(codes)
+    stems: dict[str, int] = {}
+    stem_of = np.fromiter((stems.setdefault(stem(w), len(stems)) for w in codes), dtype=np.int32)
+    bad = np.array(toxic)
+    is_toxic = toxic_words(flat, prior, doc, bad, len(codes)) | toxic_words(stem_of[flat], prior, doc, bad, len(stems))[stem_of]
+    spread = _distinct(flat, doc, len(codes))
+    names = [w for w, n in zip(codes, spread.tolist(), strict=True) if n > 1] + list(stems)
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(names))}
     field = Field(vocabulary, len(vocabulary) + 1)
+    y = is_toxic[flat] & bad[doc]
+    weight = np.where(bad, 1.0, min(1.0, bad.sum() / (~bad).sum()) ** 0.5)[doc]
+    del each, prior, doc, flat, codes
     ids, counts = field.words(texts)
-    is_mark = np.zeros(len(vocabulary) + 2, dtype=bool)
-    is_mark[[vocabulary[w] for w in marks]] = True
-    y = is_mark[ids] & np.repeat(np.array(toxic), counts)
     before, after, first = field.neighbours(ids, counts)
     later = np.flatnonzero(~first)
     size = field.weights.shape[1]
     grad_true = np.stack([np.bincount(k, weights=y, minlength=size) for k in (ids, before, after)])
-    pairs_true = np.bincount(y[later - 1] * 2 + y[later], minlength=4).reshape(2, 2)
+    pairs_true = np.bincount(y[later - 1] * 2 + y[later], weights=weight[later], minlength=4).reshape(2, 2)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (field.weights, field.trans)]
     for step in range(1, steps + 1):
         w = field.weights
@@ -131,23 +167,24 @@ def fit(texts: list[str], toxic: list[bool], steps: int = STEPS) -> Field | None
         forward, backward = field.odds(emit, counts)
         both = forward * backward
         p = both / (1 + both)
-        grad = grad_true - np.stack([np.bincount(k, weights=p, minlength=size) for k in (ids, before, after)]) - 0.1 * w
+        grad = grad_true - np.stack([np.bincount(k, weights=p * weight, minlength=size) for k in (ids, before, after)]) - 0.1 * w
         left, right = forward[later - 1], np.exp(np.clip(emit[later], -30, 30)) * backward[later]
-        joint = np.exp(field.trans)[None] * np.stack([np.ones_like(left), left], 1)[:, :, None] * np.stack([np.ones_like(right), right], 1)[:, None, :]
-        joint /= joint.sum((1, 2), keepdims=True)
-        for value, g, (m, v) in zip((field.weights, field.trans), (grad, pairs_true - joint.sum(0) - 0.1 * field.trans), moments, strict=True):
+        (a00, a01), (a10, a11) = np.exp(field.trans)
+        each = weight[later] / (a00 + a01 * right + a10 * left + a11 * left * right)
+        joint = np.array([[a00 * each.sum(), a01 * (right @ each)], [a10 * (left @ each), a11 * ((left * right) @ each)]])
+        for value, g, (m, v) in zip((field.weights, field.trans), (grad, pairs_true - joint - 0.1 * field.trans), moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             value += 0.5 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return field
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "toxic") -> Field | None:
-    """Fits the field on at most ``sample`` rows of each class outside the held-out fold."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, clean: int = CLEAN, label_col: str = "toxic") -> Field | None:
+    """Fits the field on at most ``sample`` toxic and ``clean`` clean rows outside the held-out fold."""
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).alias("y"))
     known = known.filter(F.col("doc_id").isNotNull() & (F.pmod(crc_of_id(), F.lit(FOLDS)) != 0))
-    drawn = known.filter("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionAll(known.filter("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = docs.select("doc_id", text_of().alias("t")).join(F.broadcast(drawn), "doc_id").orderBy("doc_id", "t").collect()  # at most 2 x sample ids
+    drawn = known.filter("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionAll(known.filter("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(clean))
+    rows = docs.select("doc_id", text_of().alias("t")).join(F.broadcast(drawn), "doc_id").orderBy("doc_id", "t").collect()  # at most sample + clean ids
     return fit([r["t"] for r in rows], [r["y"] == 1 for r in rows])
 
 
