@@ -127,9 +127,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rounds = parts.groupBy(*keys, "round").agg(F.sum("take").alias("taken"), F.array_sort(F.collect_list(F.struct("at", "take"))).alias("spans"))
     mixed = laid.join(rounds.hint("merge"), keys)
     words = F.split(F.btrim(text_of(f"whole.{text_col}"), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")
-    cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["at"] + 1).cast("int"), s["take"].cast("int")))), " ")
+    # The words are bound once, as the only element of an array: within the spans' lambda they would be split again for each span.
+    of_spans = lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["take"].cast("int")))), " ")
+    cut = F.element_at(F.transform(F.array(words), of_spans), 1)
     text = F.when(F.col("taken") == F.col("size"), F.col(f"whole.{text_col}")).otherwise(cut)
-    out = [text.alias(c) if c == text_col else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"whole.{c}").alias(c) for c in docs.columns]
+    mixed = mixed.select("whole", text.alias("__mixed"))
+    out = [F.col("__mixed").alias(c) if c == text_col else F.length("__mixed").cast("long").alias(c) if c == "n_chars" else F.col(f"whole.{c}").alias(c) for c in docs.columns]
     return mixed.select(*out)
 
 
