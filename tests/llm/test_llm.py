@@ -52,6 +52,27 @@ def test_near_duplicates_on_odd_rows(odd):
     assert got[None].component_id is None and got[None].kept
 
 
+def test_near_duplicates_of_a_graded_group_by_brute_force(spark):
+    """One group whose members lie at all similarities, with edits that many of them share."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"b{i}" for i in range(120)], []
+    for i in range(300):
+        words = list(base)
+        for at in rng.integers(0, 120, i % 15):
+            words[at] = f"e{rng.integers(0, 6)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+    for _ in sets:  # labels fall until they rest
+        new = [min(root[j] for j, y in enumerate(sets) if 100 * len(x & y) >= 80 * len(x | y)) for x in sets]
+        if new == root:
+            break
+        root = new
+    got = {r.doc_id: r for r in minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == root
+    assert 1 < len(set(root)) < len(root)
+
+
 def test_substring_windows_by_brute_force(spark):
     rng = np.random.default_rng(3)
     passage = [f"p{i}" for i in range(60)]

@@ -6,8 +6,11 @@ shares one of the ``COORDS - MATCHES + 1`` rarest of either (a global order, by
 size), so only these prefixes are posted. Lists are merged in two steps: first each node is compared
 with the smallest node of its lists, which joins large groups by stars, without all pairs; then lists
 whose nodes already lie in one component are skipped, and in the others the nodes outside the list's
-largest component are compared with all the rest of other components. Candidates are kept if their
-signatures agree in ``MATCHES`` coordinates, and links are confirmed on the full shingle sets.
+largest component are compared with all the rest of other components. Before that, the shingles that
+only one node of these lists has are counted: no intersection holds them, so a node whose other shingles
+are too few for a link, at its size and its partner's, is left out without comparing it. This loses no
+link. ``HUBS`` more rounds of stars come between, around the nodes with the least shingles of their own. Candidates are kept if their signatures agree in ``MATCHES`` coordinates, and links are confirmed
+on the full shingle sets.
 
 ``MATCHES`` of 36 of 64 loses a pair of similarity 0.8 with a probability of about 1e-5.
 
@@ -29,7 +32,7 @@ from .common import documents, scratch, text_of
 from .components import components
 from .shingles import WordHashes, mixed, shingle_set
 
-COORDS, MATCHES, SHINGLE, PERCENT = 64, 36, 4, 80
+COORDS, MATCHES, SHINGLE, PERCENT, HUBS = 64, 36, 4, 80, 1
 PREFIX, BUCKETS = COORDS - MATCHES + 1, 1 << 18
 _seeds = mixed(np.arange(1, 2 * COORDS + 1, dtype=np.uint64))
 MULTIPLY, FLIP = _seeds[:COORDS] | np.uint64(1), _seeds[COORDS:]
@@ -131,9 +134,13 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select("a", "b").dropDuplicates().join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, same int")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets are similar enough; ``pairs`` is a stored table."""
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).dropDuplicates()
+def _best(stars: DataFrame) -> DataFrame:
+    """For each b the a most alike."""
+    return stars.groupBy("b").agg(F.max(F.struct("same", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+
+
+def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles (the full set) of the wanted nodes, stored."""
     ids = nodes.join(wanted, "node").select(F.col("rep").alias("doc_id")).dropDuplicates()
 
     def run(batches):
@@ -143,7 +150,24 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perc
             yield pa.RecordBatch.from_pydict({"node": pa.array([_node(s) for s in sets], pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).join(ids, "doc_id", "left_semi").select("t")
-    sets = scratch(texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    return scratch(texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+
+
+def _alone(sets: DataFrame) -> DataFrame:
+    """node, alone: how many of its shingles no other of these nodes has."""
+
+    def run(batches):
+        for batch in batches:
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shingles = np.frombuffer(raw, dtype=np.int64)
+                yield pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(shingles), node, dtype=np.int64)), "shingle": pa.array(shingles)})
+
+    held = sets.mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
+    return held.filter("holders = 1").groupBy("node").agg(F.count("*").alias("alone"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
 
     def check(batches):
         for batch in batches:
@@ -158,6 +182,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perc
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _spanning(lists: DataFrame) -> DataFrame:
+    """The rows (token, node, label, ...) of lists that hold several labels, with outside: not of the list's commonest."""
+    spans = lists.groupBy("token", "label").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("labels"))
+    spans = spans.filter("labels > 1").select("token", F.col("most.label").alias("most"))
+    return lists.join(spans, "token").withColumn("outside", F.col("label") != F.col("most")).drop("most")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -165,23 +196,42 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     linkable = sketches.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = scratch(linkable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     posted = scratch(postings(nodes), "postings")
-    near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    # The intersection of a link holds percent / (100 + percent) of both sizes' sum at least.
+    can = F.least("shared", "shared_a") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     # Stars: each node with the smallest node of its lists; of several such, the one most alike.
     heads = posted.groupBy("token").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1").select("token", F.col("head.node").alias("a"), F.col("head.n").alias("m"))
     stars = _alike(posted.join(heads, "token").filter((F.col("node") != F.col("a")) & near).select("a", F.col("node").alias("b")), nodes)
-    best = stars.groupBy("b").agg(F.max(F.struct("same", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = scratch(_confirmed(scratch(best, "stars"), docs, nodes, k, percent, id_col, text_col), "links")
+    best = scratch(_best(stars), "stars")
+    ends = best.select(F.col("a").alias("node")).unionAll(best.select(F.col("b").alias("node"))).dropDuplicates()
+    links = scratch(_confirmed(best, _sets_of(ends, docs, nodes, k, id_col, text_col), percent), "links")
     labels = components(links)
     # The rest: lists that span several components.
-    placed = posted.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
-    spans = placed.groupBy("token", "label").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("token", F.col("most.label").alias("most"))
-    mixed_lists = placed.join(spans, "token").withColumn("outside", F.col("label") != F.col("most"))
-    one = mixed_lists.filter("outside").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"))
-    two = mixed_lists.select("token", F.col("node").alias("b"), "n", "label", "outside")
-    pairs = one.join(two, "token").filter((F.col("label") != F.col("other")) & near & (~F.col("outside") | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    lists, sets = posted.select("token", "node", "n"), None
+    for turn in range(HUBS + 1):
+        placed = lists.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+        lists = scratch(_spanning(placed).drop("outside"), "lists")
+        there = lists.select("node").dropDuplicates()
+        sets = _sets_of(there, docs, nodes, k, id_col, text_col) if sets is None else sets
+        alone = _alone(sets.join(there, "node", "left_semi"))
+        shared = lists.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+        # An intersection holds percent of either set at least.
+        lists = scratch(_spanning(shared.filter(F.col("shared") * 100 >= F.col("n") * percent)), "lists")
+        if turn == HUBS:
+            break
+        # Stars again, around the node of each list that has the least of its own.
+        hub = F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), "shared", "n", "node", "label")).alias("hub")
+        hubs = lists.groupBy("token").agg(hub).select("token", F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.shared").alias("shared_a"), F.col("hub.label").alias("other"))
+        rays = lists.join(hubs, "token").filter((F.col("label") != F.col("other")) & near & can).select("a", F.col("node").alias("b"))
+        links = scratch(links.unionAll(_confirmed(scratch(_best(_alike(rays, nodes)), "stars"), sets, percent)), "links")
+        labels = components(links)
+        lists = lists.select("token", "node", "n")
+    one = lists.filter("outside").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("shared").alias("shared_a"), F.col("label").alias("other"))
+    two = lists.select("token", F.col("node").alias("b"), "n", "shared", "label", "outside")
+    pairs = one.join(two, "token").filter((F.col("label") != F.col("other")) & near & can & (~F.col("outside") | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     candidates = scratch(_alike(pairs, nodes), "pairs")
     if not candidates.isEmpty():
-        more = _confirmed(candidates, docs, nodes, k, percent, id_col, text_col)
+        more = _confirmed(candidates, sets, percent)
         labels = components(scratch(links.unionAll(more), "links"))
     where = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     first = where.groupBy("label").agg(F.min("rep").alias("component_id"))
