@@ -135,6 +135,35 @@ def test_language_model_beats_its_base(spark):
     assert held.score.sum() > held.base_score.sum() and (rows.n_known <= rows.n_tokens).all()
 
 
+def test_language_model_keeps_all_ngrams_at_any_size(spark):
+    """Rare pairs and triples count, whatever share of the corpus they have and however it is sharded."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.5, 60) % 50) for _ in range(60)] + ["x y z", "z y x", "w1", ""]
+    asked = [*texts[:20], "x y z w1 w2", "w1 unseen w2 y z", "z"]
+    split = lambda t: [*t.split(), "\n"]
+    one, two, three = (Counter(tuple(s[i : i + k]) for s in map(split, texts) for i in range(len(s) - k + 1)) for k in (1, 2, 3))
+    follow = lambda grams, context: [c for g, c in grams.items() if g[:-1] == context]
+    total = sum(one.values()) + len(one) + 1
+
+    def p(gram):
+        if len(gram) == 1:
+            return (one[gram] + 1) / total
+        grams, near = (two, p(gram[1:])) if len(gram) == 2 else (three, p(gram[1:]))
+        seen = follow(grams, gram[:-1])
+        if not seen:
+            return near
+        kept = [max(c - lm_scoring.DISCOUNT, 0) for c in seen]
+        return max(grams[gram] - lm_scoring.DISCOUNT, 0) / sum(seen) + (1 - sum(kept) / sum(seen)) * near
+
+    want = [sum(np.log10(p(tuple(s[max(0, i - 2) : i + 1]))) for i in range(len(s))) for s in map(split, asked)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(2)
+    for shard in (200, 10**6):  # words split over many shards; one shard
+        model, counts = lm_scoring.train(rows, least_share=0.02, shard=shard)
+        got = {r.doc_id: r.score for r in lm_scoring.score(docs, model, counts, ["doc_id"]).collect()}
+        assert np.allclose([got[i] for i in range(len(asked))], want, atol=0.02)
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = toxicity.op6_toxicity(spark, "/root/testdata/sf0.1").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
