@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import documents, scratch
 from veilspark.llm.exact_dedup import exact_dedup
-from veilspark.llm.minhash_dedup import near_duplicates
+from veilspark.llm.minhash_dedup import near_groups
 from veilspark.llm.mixing import mixed_documents
 from veilspark.llm.packing import packed_documents
 from veilspark.llm.toxicity import learn, score
 
+SHINGLE = 5
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fitted field scores 0.5 or more go."""
@@ -34,9 +36,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near-duplicates stays."""
-    gone = near_duplicates(docs).filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates (five-word shingles) the smallest id stays; of its texts in the group the one with the least digest."""
+    keyed = docs.withColumn("__digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    groups = scratch(near_groups(keyed, k=SHINGLE, more=("__digest",)).filter("label IS NOT NULL").select("label", F.col("doc_id").alias("__id"), F.col("__digest").alias("__text")), "groups")
+    stays = groups.groupBy("label").agg(F.min(F.struct("__id", "__text")).alias("stays"))
+    gone = groups.join(stays, "label").filter(F.struct("__id", "__text") != F.col("stays")).select("__id", "__text")
+    # Rows with null ids belong to no group, so no null has to be met.
+    return keyed.join(gone, (keyed["doc_id"].cast("long") == gone["__id"]) & (keyed["__digest"] == gone["__text"]), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import duckdb
 import numpy as np
 import pytest
 
+import corpus_pipeline
+
 from veilspark.llm import exact_dedup, line_dedup, lm_scoring, minhash_dedup, mixing, nn_descent, packing, sharding, substring_dedup, toxicity
 from veilspark.llm.fm_index import FMIndex
 from veilspark.llm.ngram_trie import EliasFano
@@ -73,6 +75,37 @@ def test_near_duplicates_of_a_graded_group_by_brute_force(spark):
     assert 1 < len(set(root)) < len(root)
 
 
+def test_pipeline_dedup_by_brute_force(spark):
+    """Spread edits part pairs at five words that four would link; ids repeat with other texts."""
+    rng = np.random.default_rng(11)
+    rows = [(None, "null id row of some words", "s"), (None, "null id row of some words here", "s"), (3, None, "s"), (4, " ", "s")]
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for i in range(4):
+            words = list(base)
+            for at in range(20, 20 + 40 * i, 40):  # 1 to 3 edits, 3 of 120 words: 0.81 at four words, 0.77 at five
+                words[at] = f"e{i}x{rng.integers(1000)}"
+            rows.append(((100 + g) if i in (0, g % 4) else 200 + 10 * g + i, " ".join(words), "s"))
+    rows += [(100, "a unique text under an id that repeats", "s"), (209, "one more text", "s"), (209, "one more text", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    best = {}
+    for x in rows:  # of equal texts the largest id
+        text = x[1] or ""
+        if text not in best or best[text][0] is None or (x[0] is not None and x[0] > best[text][0]):
+            best[text] = x
+    left = list(best.values())
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w and x[0] is not None else set() for x in left for w in [(x[1] or "").split()]]
+    root = list(range(len(left)))
+    for _ in left:
+        root = [min(root[j] for j, y in enumerate(sets) if i == j or x and y and 100 * len(x & y) >= 80 * len(x | y)) for i, x in enumerate(sets)]
+    rank = lambda i: (left[i][0] or 0, hashlib.sha256((left[i][1] or "").encode()).hexdigest())
+    want = [left[min((i for i in range(len(left)) if root[i] == k), key=rank)] for k in set(root)]
+    first = corpus_pipeline.drop_copies(spark, docs, DIR)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, first, DIR).collect()]
+    shape = lambda rows: sorted((str(i), t or "") for i, t, _ in rows)
+    assert shape(got) == shape(want) and 12 < len(want) < len(left)
+
+
 def test_substring_windows_by_brute_force(spark):
     rng = np.random.default_rng(3)
     passage = [f"p{i}" for i in range(60)]

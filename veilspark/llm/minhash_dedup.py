@@ -55,8 +55,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (set size), node (from the set; null for empty sets), sig."""
+def sketch(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n (set size), node (from the set; null for empty sets), sig, and ``more`` columns as they are."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"), *more)
+    schema = rows.select(F.col("doc_id"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("node"), F.lit(b"").alias("sig"), *more).schema
+    for field in schema:
+        field.nullable = True
 
     def run(batches):
         hashes = WordHashes()
@@ -68,9 +72,10 @@ def sketch(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col:
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                 "sig": pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
+                **{name: batch.column(2 + i) for i, name in enumerate(more)},
             })
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).mapInArrow(run, "doc_id long, n long, node long, sig binary")
+    return rows.mapInArrow(run, schema)
 
 
 def _tokens(batch) -> np.ndarray:
@@ -158,10 +163,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perc
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    sketches = scratch(sketch(docs, k, id_col, text_col), "sketches")
+def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n, label (of the group; null where a row takes no part), component_id (the group's
+    smallest id) and ``more`` columns. Groups that hold different texts of one id differ in label only."""
+    sketches = scratch(sketch(docs, k, id_col, text_col, more), "sketches")
     linkable = sketches.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = scratch(linkable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     posted = scratch(postings(nodes), "postings")
@@ -181,15 +186,20 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     pairs = one.join(two, "token").filter((F.col("label") != F.col("other")) & near & (~F.col("outside") | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     candidates = scratch(_alike(pairs, nodes), "pairs")
     if not candidates.isEmpty():
-        more = _confirmed(candidates, docs, nodes, k, percent, id_col, text_col)
-        labels = components(scratch(links.unionAll(more), "links"))
+        confirmed = _confirmed(candidates, docs, nodes, k, percent, id_col, text_col)
+        labels = components(scratch(links.unionAll(confirmed), "links"))
     where = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     first = where.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_node = where.join(first, "label").select("node", "component_id")
-    out = sketches.join(of_node, "node", "left")
+    of_node = where.join(first, "label").select("node", "label", "component_id")
+    return sketches.join(of_node, "node", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("label")).alias("label"), "component_id", *more)
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    out = near_groups(docs, k, percent, id_col, text_col)
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), k=4)
