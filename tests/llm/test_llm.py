@@ -216,6 +216,45 @@ def test_nearest_neighbours_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_nearest_neighbours_among_copies(spark):
+    """A third of the rows are copies of one vector: the smaller ids come first, and their group has edges to others."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((240, 16))
+    x[::3] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nn_descent.nearest_neighbours(table, query_every=1).toPandas().sort_values(["query_id", "rank"]).groupby("query_id").vec_id.apply(list)
+    copies = np.arange(0, 240, 3)
+    hits = []
+    for i in range(240):
+        near = [j for j in sorted(range(240), key=lambda j: (-round(float(x[i] @ x[j]), 9), j)) if j != i][:20]
+        hits.append(len(set(near) & set(got[i])) / 20)
+        if i in copies:
+            assert got[i] == near
+    assert np.mean(hits) >= 0.95
+    codes = nn_descent._coded(table.selectExpr("vec_id AS id", "embedding AS vector"))
+    edges = {r.id: [e.other for e in r.near] for r in nn_descent.neighbour_graph(codes, cell=20).collect()}
+    tied = [edges[i][: nn_descent.DEGREE] for i in copies.tolist()]
+    assert all(t == sorted(t) for t in tied)
+
+
+def test_cells_are_bounded_among_copies(spark):
+    codes = spark.createDataFrame([(i, np.ones(4, dtype=np.float16).tobytes()) for i in range(400)], "id long, code binary")
+    near = {}
+    for r in nn_descent._cell_neighbours(codes, 1, 40).collect():
+        near.setdefault(r.id, set()).add(r.other)
+    group, left = [], set(near)
+    while left:  # cells do not mix on one line
+        todo, cell = [left.pop()], set()
+        while todo:
+            i = todo.pop()
+            cell.add(i)
+            todo += [j for j in near[i] if j in left]
+            left -= near[i]
+        group.append(len(cell))
+    assert max(group) <= 80
+
+
 def test_kept_text_of_lines(spark):
     docs = spark.createDataFrame([(i, "Shared line of twenty chars\nown " + str(i)) for i in range(3)] + [(9, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}

@@ -1,13 +1,16 @@
 """Approximate nearest neighbours: an NN-descent graph from iterative Spark joins, searched greedily.
 
 Nearness is the inner product. For the graph each vector gets one more component that makes all norms
-equal, so that near means near by angle. The graph begins with neighbours inside cells of vectors that
+equal, so that near means near by angle. Equal vectors are one node, named by the smallest of their ids. The graph begins with neighbours inside cells of vectors that
 lie close along a few random lines. Each round joins every node's neighbours and strongest reverse neighbours with each
-other, and nodes keep the best of what their common neighbours suggest. A query walks the graph in
+other, where one of the two is new to the node, and nodes keep the best of what their common neighbours
+suggest. A query walks the graph in
 rounds of joins: it expands the best nodes it has not expanded, scores what is new, keeps the best, and
-ends when its best nodes are all expanded; edges are walked both ways. The best are scored again on the original vectors.
+ends when its best nodes are all expanded; edges are walked both ways. The best are scored again on the original vectors,
+and each node found stands for its smallest ids.
 
-Every valid row is indexed. Groups are bounded: cells by about ``CELL``, neighbour lists by ``DEGREE``
+Every valid row is indexed. Groups are bounded: cells by about ``CELL`` (vectors at the same
+place of a line are dealt among the cells that meet there), neighbour lists by ``DEGREE``
 and ``REVERSE``.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and vectors of
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch
+from .shingles import mixed
 
 LINES, CELL, DEGREE, REVERSE, ROUNDS, OFFERS = 10, 6000, 24, 48, 2, 16
 BEAM, EXPAND, RERANK, NEAREST, QUERY_EVERY = 160, 80, 40, 20, 20
@@ -85,10 +89,13 @@ def _cell_neighbours(codes: DataFrame, lines: int, cell: int) -> DataFrame:
     def place(batches):
         for batch in batches:
             line = batch.column(0).to_numpy()
-            at = batch.column(3).to_numpy()
+            ids, at = batch.column(1).to_numpy(), batch.column(3).to_numpy()
             found = line.astype(np.int64) * max(cells, 1)
             for k in np.unique(line).tolist() if cuts else ():
-                found[line == k] += np.searchsorted(cuts[k], at[line == k])
+                here = line == k
+                first, last = (np.searchsorted(cuts[k], at[here], side=side) for side in ("left", "right"))
+                nth = mixed(ids[here].view(np.uint64)) % (last - first + 1).astype(np.uint64)
+                found[here] += first + nth.astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(1), batch.column(2)], ["cell", "id", "code"])
 
     placed = along.mapInArrow(place, "cell long, id long, code binary").repartition("cell").sortWithinPartitions("cell")
@@ -126,20 +133,22 @@ def _whole_groups(batches):
 
 
 def _graph(edges: DataFrame) -> DataFrame:
-    """id, near: the DEGREE best of each node's edges."""
-    ranked = edges.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("score", "other")), asc=False), 1, 4 * DEGREE).alias("near"))
+    """id, near: the DEGREE best of each node's edges (id, other, score, fresh), equal ones by the smaller id."""
+    ranked = edges.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("far"), "other", "fresh"))), 1, 4 * DEGREE).alias("near"))
     others = ranked.withColumn("others", F.col("near.other"))  # an edge may have come with scores that differ by rounding
-    return others.select("id", F.slice(F.filter("near", lambda e, i: F.array_position("others", e["other"]) == i + 1), 1, DEGREE).alias("near"))
+    first = F.slice(F.filter("near", lambda e, i: F.array_position("others", e["other"]) == i + 1), 1, DEGREE)
+    return others.select("id", F.transform(first, lambda e: F.struct((-e["far"]).alias("score"), e["other"].alias("other"), e["fresh"].alias("fresh"))).alias("near"))
 
 
 def _common_neighbours(graph: DataFrame, codes: DataFrame) -> DataFrame:
-    """What nodes learn from neighbours of neighbours: edges better than their worst."""
-    ahead = graph.select("id", F.explode("near").alias("e")).select(F.col("id").alias("mid"), F.col("e.other").alias("id"), F.col("e.score").alias("score"))
+    """What nodes learn from neighbours of neighbours: edges better than their worst, by way of at least one new edge."""
+    ahead = graph.select("id", F.explode("near").alias("e")).select(F.col("id").alias("mid"), F.col("e.other").alias("id"), F.col("e.score").alias("score"), F.col("e.fresh").alias("fresh"))
     back = Window.partitionBy("mid").orderBy(F.desc("score"), "id")
-    reverse = ahead.select(F.col("id").alias("mid"), F.col("mid").alias("id"), "score").withColumn("r", F.row_number().over(back)).filter(F.col("r") <= DEGREE)
-    members = ahead.select("mid", "id").unionAll(reverse.select("mid", "id")).dropDuplicates()
+    reverse = ahead.select(F.col("id").alias("mid"), F.col("mid").alias("id"), "score", "fresh").withColumn("r", F.row_number().over(back)).filter(F.col("r") <= DEGREE)
+    members = ahead.select("mid", "id", "fresh").unionAll(reverse.select("mid", "id", "fresh")).repartition("mid").groupBy("mid", "id").agg(F.max("fresh").alias("fresh"))
+    members = members.withColumn("any", F.max("fresh").over(Window.partitionBy("mid"))).filter("any").select("mid", "id", "fresh")
     worst = graph.select("id", F.when(F.size("near") < DEGREE, F.lit(-2.0)).otherwise(F.element_at("near", -1)["score"]).cast("float").alias("worst"))
-    rows = members.join(codes.join(worst, "id"), "id").repartition("mid").sortWithinPartitions("mid").select("mid", "id", "worst", "code")
+    rows = members.join(codes.join(worst, "id"), "id").repartition("mid").sortWithinPartitions("mid").select("mid", "id", "worst", "code", "fresh")
 
     def join(batches):
         for rows in _whole_groups(batches):
@@ -148,11 +157,13 @@ def _common_neighbours(graph: DataFrame, codes: DataFrame) -> DataFrame:
     def suggest(rows):
         mids, ids, worst = (rows.column(i).to_numpy() for i in range(3))
         x = _matrix(rows.column(3), np.float16).astype(np.float32)
+        fresh = rows.column(4).to_numpy(zero_copy_only=False)
         bounds = np.flatnonzero(np.concatenate(([True], mids[1:] != mids[:-1], [True])))
         out = []
         for a, b in zip(bounds, bounds[1:], strict=False):
             near = x[a:b] @ x[a:b].T
             np.fill_diagonal(near, -np.inf)
+            near[~(fresh[a:b, None] | fresh[a:b])] = -np.inf
             k = min(OFFERS, b - a - 1)
             if k > 0:
                 best = np.argpartition(-near, k - 1, axis=1)[:, :k]
@@ -167,11 +178,11 @@ def _common_neighbours(graph: DataFrame, codes: DataFrame) -> DataFrame:
 
 def neighbour_graph(codes: DataFrame, lines: int = LINES, cell: int = CELL, rounds: int = ROUNDS) -> DataFrame:
     """id, near (array of score and other, best first)."""
-    edges = _cell_neighbours(codes, lines, cell)
+    edges = _cell_neighbours(codes, lines, cell).withColumn("fresh", F.lit(True))
     graph = scratch(_graph(edges), "graph")
     for _ in range(rounds):
-        old = graph.select("id", F.explode("near").alias("e")).select("id", "e.other", "e.score")
-        graph = scratch(_graph(old.unionAll(_common_neighbours(graph, codes))), "graph")
+        old = graph.select("id", F.explode("near").alias("e")).select("id", "e.other", "e.score", F.lit(False).alias("fresh"))
+        graph = scratch(_graph(old.unionAll(_common_neighbours(graph, codes).withColumn("fresh", F.lit(True)))), "graph")
     return graph
 
 
@@ -214,15 +225,26 @@ def greedy_search(graph: DataFrame, codes: DataFrame, query_ids: DataFrame, roun
 
 def nearest_neighbours(table: DataFrame, nearest: int = NEAREST, query_every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of every query (ids divisible by ``query_every``)."""
-    rows = scratch(valid_vectors(table, id_col, vector_col), "vectors")
+    same = Window.partitionBy("vector").orderBy("id")
+    valid = valid_vectors(table, id_col, vector_col).select("id", "vector", F.first("id").over(same).alias("node"), F.row_number().over(same).alias("nth"))
+    valid = scratch(valid, "vectors")
+    rows = valid.filter("nth = 1").select("id", "vector")
     codes = scratch(_coded(rows), "codes")
     graph = neighbour_graph(codes)
-    queries = rows.filter(F.col("id") % query_every == 0).select(F.col("id").alias("q"), F.col("vector").alias("own"))
-    found = greedy_search(scratch(both_ways(graph), "links"), codes, queries.select("q")).filter(F.col("r") <= max(RERANK, 2 * nearest)).select("q", "id")
+    asked = valid.filter(F.col("id") % query_every == 0).select(F.col("id").alias("query_id"), F.col("node").alias("q"))
+    nodes = asked.select("q").dropDuplicates()
+    queries = rows.select(F.col("id").alias("q"), F.col("vector").alias("own")).join(nodes, "q", "left_semi")
+    found = greedy_search(scratch(both_ways(graph), "links"), codes, nodes).filter(F.col("r") <= max(RERANK, 2 * nearest)).select("q", "id")
+    found = found.unionAll(nodes.select("q", F.col("q").alias("id")))  # a node holds its query's copies
     exact = F.aggregate(F.zip_with("own", "vector", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = found.join(rows, "id").join(queries, "q").select("q", "id", exact.alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= nearest)
-    return ranked.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    scored = found.join(rows, "id").join(queries, "q").select("q", F.col("id").alias("node"), exact.alias("score"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    # One more than asked for, as a query may meet its own id.
+    members = valid.filter(F.col("nth") <= nearest + 1).select("node", "id")
+    ids = scored.join(members, "node").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= nearest + 1).select("q", "id", "score")
+    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranked = asked.join(ids, "q").filter("query_id <> id").withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= nearest)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
 def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
