@@ -255,6 +255,18 @@ def test_cells_are_bounded_among_copies(spark):
     assert max(group) <= 80
 
 
+def test_nearest_neighbours_recall_beyond_the_cells(spark):
+    """Cells hold a small share of the table, so the joins find most neighbours."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 4)) @ rng.standard_normal((4, 32)) + 0.1 * rng.standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes = nn_descent._coded(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>"))
+    near = x @ x.T
+    np.fill_diagonal(near, -np.inf)
+    graph = nn_descent.neighbour_graph(codes, lines=2, cell=50).collect()
+    assert np.mean([len({e.other for e in r.near} & set(np.argsort(-near[r.id])[:20])) / 20 for r in graph]) >= 0.9
+
+
 def test_kept_text_of_lines(spark):
     docs = spark.createDataFrame([(i, "Shared line of twenty chars\nown " + str(i)) for i in range(3)] + [(9, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}

@@ -4,7 +4,7 @@ Nearness is the inner product. For the graph each vector gets one more component
 equal, so that near means near by angle. Equal vectors are one node, named by the smallest of their ids. The graph begins with neighbours inside cells of vectors that
 lie close along a few random lines. Each round joins every node's neighbours and strongest reverse neighbours with each
 other, where one of the two is new to the node, and nodes keep the best of what their common neighbours
-suggest. A query walks the graph in
+suggest; rounds end when few edges are new. A query walks the graph in
 rounds of joins: it expands the best nodes it has not expanded, scores what is new, keeps the best, and
 ends when its best nodes are all expanded; edges are walked both ways. The best are scored again on the original vectors,
 and each node found stands for its smallest ids.
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import scratch
 from .shingles import mixed
 
-LINES, CELL, DEGREE, REVERSE, ROUNDS, OFFERS = 10, 6000, 24, 48, 2, 16
-BEAM, EXPAND, RERANK, NEAREST, QUERY_EVERY = 160, 80, 40, 20, 20
+LINES, CELL, DEGREE, REVERSE, ROUNDS, OFFERS = 10, 256, 40, 64, 12, 24
+STILL = 0.01  # rounds end when a smaller share of the edges is new
+BEAM, EXPAND, RERANK, NEAREST, QUERY_EVERY = 320, 160, 60, 20, 20
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -183,6 +184,9 @@ def neighbour_graph(codes: DataFrame, lines: int = LINES, cell: int = CELL, roun
     for _ in range(rounds):
         old = graph.select("id", F.explode("near").alias("e")).select("id", "e.other", "e.score", F.lit(False).alias("fresh"))
         graph = scratch(_graph(old.unionAll(_common_neighbours(graph, codes).withColumn("fresh", F.lit(True)))), "graph")
+        edges = graph.select(F.explode("near.fresh").alias("fresh")).agg(F.count("*").alias("n"), F.count_if("fresh").alias("new")).first()
+        if edges["new"] <= STILL * edges["n"]:
+            break
     return graph
 
 
