@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 from .dialect import CJK, extract, java, matches, replace, trim
-from .spans import CANDIDATE, candidate, none, scan, scan_fields
+from .spans import CANDIDATE, HIT, candidate, none, scan, scan_each, scan_fields, scan_fields_each
 
 
 def _ci(value: Column, pattern: str) -> Column:
@@ -55,27 +55,40 @@ PLACEHOLDERS = {
 }
 
 
-def detector(text: Column, rule: tuple) -> Column:
-    """Candidates of one pattern detector."""
-    _, category, pattern, ignore_case, placeholder = rule
+def _guards(text: Column) -> dict[str, Column]:
+    """Cheap tests that a text must meet for rules that need such characters."""
+    tests = {need: text.rlike(pattern) for need, pattern in fixed.NEEDS.items()}
+    return {"": None} | tests
 
-    def shaped(hit):
-        value = hit["value"]
-        if placeholder in PLACEHOLDERS:
-            before = F.substr(text, F.greatest(hit["start"] - 15, F.lit(1)), F.least(hit["start"], F.lit(16)))
-            shown = PLACEHOLDERS[placeholder](value, before)
-        elif placeholder:
-            shown = F.lit(placeholder)
-        else:
-            shown = _date(value) if category == "date" else F.lit(fixed.CATEGORIES[category][1])
-        return candidate(hit["start"], value, category, shown)
 
-    return F.transform(scan(text, pattern, ignore_case), shaped)
+def _shown(kind: Column, value: Column, before: Column) -> Column:
+    """The placeholder that a rule's kind makes from the match; only the kind's own branch is evaluated."""
+    made = F.when(kind == "date", _date(value))
+    for name, make in PLACEHOLDERS.items():
+        made = made.when(kind == name, make(value, before))
+    return made
 
 
-def pattern_candidates(text: Column, rules: list[tuple] = fixed.DETECTORS, keep_amounts: bool = False) -> Column:
+def pattern_candidates(text: Column, rules: list[tuple] = fixed.DETECTORS, keep_amounts: bool = False, guards: dict[str, Column] | None = None) -> Column:
     """All pattern detectors in order; ``keep_amounts`` leaves the amount rules out."""
-    return F.concat(*[detector(text, rule) for rule in rules if not (keep_amounts and rule[1] == "amount")])
+    rules = [rule for rule in rules if not (keep_amounts and rule[1] == "amount")]
+    guards = guards or _guards(text)
+    found = scan_each(text, [(guards[fixed.RULE_NEEDS.get(rule_id, "")], pattern, ci) for rule_id, _, pattern, ci, _ in rules])
+    kinds, texts = [], []
+    for _, category, _, _, placeholder in rules:
+        kind = placeholder if placeholder in PLACEHOLDERS else "date" if placeholder is None and category == "date" else None
+        kinds.append(F.lit(kind).cast("string"))
+        texts.append(F.lit(None).cast("string") if kind else F.lit(placeholder or fixed.CATEGORIES[category][1]))
+    categories, kinds, texts = F.array(*[F.lit(rule[1]) for rule in rules]), F.array(*kinds), F.array(*texts)
+
+    def of_rule(hits, i):
+        def shaped(hit):
+            before = F.substr(text, F.greatest(hit["start"] - 15, F.lit(1)), F.least(hit["start"], F.lit(16)))
+            return candidate(hit["start"], hit["value"], F.get(categories, i), F.coalesce(F.get(texts, i), _shown(F.get(kinds, i), hit["value"], before)))
+
+        return F.transform(hits, shaped)
+
+    return F.flatten(F.transform(found, of_rule))
 
 
 def is_party(value: Column) -> Column:
@@ -97,41 +110,43 @@ def is_person(value: Column) -> Column:
     )
 
 
-def _field(category: str, shown: Column):
-    return lambda h: candidate(h["start"] + F.instr(h["whole"], h["value"]) - 1, h["value"], category, shown)
-
-
 def _plain(category: str, shown: str):
     return lambda h: candidate(h["start"], h["value"], category, shown)
 
 
 def field_candidates(text: Column, doc_type: Column, rules: list[tuple] = fixed.FIELDS) -> Column:
     """All labelled fields in order; a value starts where its text first occurs in the match, label included."""
-    found = []
-    for rule_id, category, before, value, after, flags, placeholder in rules:
-        hits = F.transform(scan_fields(text, before, value, after, flags), lambda h: F.struct(h["start"].alias("start"), h["whole"].alias("whole"), trim(h["value"]).alias("value")))
-        if category in ("person", "address"):
-            hits = F.filter(hits, (lambda h: is_person(h["value"])) if category == "person" else (lambda h: is_address(h["value"])))
-        shown = F.lit(placeholder)
-        if placeholder is None:
-            shown = F.when(doc_type == "tech", fixed.PROJECT_TOKENS["tech"]).when(doc_type == "purchase", fixed.PROJECT_TOKENS["purchase"]).otherwise(fixed.PROJECT_TOKENS[""])
-        found.append(F.transform(hits, _field(category, shown)))
-    return F.concat(*found)
+    guard = text.rlike(fixed.NEEDS["han"])
+    found = scan_fields_each(text, [(guard, before, value, after, flags) for _, _, before, value, after, flags, _ in rules])
+    project = F.when(doc_type == "tech", fixed.PROJECT_TOKENS["tech"]).when(doc_type == "purchase", fixed.PROJECT_TOKENS["purchase"]).otherwise(fixed.PROJECT_TOKENS[""])
+    categories, texts = F.array(*[F.lit(rule[1]) for rule in rules]), F.array(*[F.lit(rule[-1]).cast("string") for rule in rules])
+
+    def of_rule(hits, i):
+        category = F.get(categories, i)
+        fits = lambda h: F.when(category == "person", is_person(h["value"])).when(category == "address", is_address(h["value"])).otherwise(True)
+        at = lambda h: h["start"] + F.instr(h["whole"], h["value"]) - 1
+        trimmed = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["whole"].alias("whole"), trim(h["value"]).alias("value")))
+        return F.transform(F.filter(trimmed, fits), lambda h: candidate(at(h), h["value"], category, F.coalesce(F.get(texts, i), project)))
+
+    return F.flatten(F.transform(found, of_rule))
 
 
 def person_candidates(text: Column) -> Column:
     """Lecturers, names before the word for lawyer, and names in clauses that appoint lawyers."""
     name = f"[{CJK}·]{{2,4}}"
-    shown = lambda at, value: candidate(at, value, "person", "【人员姓名】")
-    lecturers = F.flatten(F.transform(scan_fields(text, fixed.LECTURER, "[^，,。\\n；;]{2,60}"), lambda h: F.transform(
+    lawyer = F.contains(text, F.lit("律师"))
+    hit = lambda start, value: F.struct(start.cast("int").alias("start"), value.alias("value"))
+    lecturers = F.flatten(F.transform(scan_fields(text, fixed.LECTURER, "[^，,。\\n；;]{2,60}", guard=text.rlike("师|主讲人")), lambda h: F.transform(
         F.filter(scan(h["value"], "[^、,，和及与\\s　]+"), lambda t: matches(t["value"], f"^{name}$")),
-        lambda t: F.struct((h["start"] + F.instr(h["whole"], h["value"]) - 1 + t["start"]).alias("start"), t["value"].alias("value")))))
-    before = F.transform(scan_fields(text, "(?:^|[、,，\\s　])", name, "(?=律师)"), lambda h: F.struct((h["start"] + F.instr(h["whole"], h["value"]) - 1).alias("start"), h["value"].alias("value")))
+        lambda t: hit(h["start"] + F.instr(h["whole"], h["value"]) - 1 + t["start"], t["value"]))))
+    before = F.transform(scan_fields(text, "(?:^|[、,，\\s　])", name, "(?=律师)", guard=lawyer), lambda h: hit(h["start"] + F.instr(h["whole"], h["value"]) - 1, h["value"]))
     # In a clause a leading 本所 belongs to the label, not to the name.
-    appointed = F.flatten(F.transform(scan(text, fixed.LAWYER_CLAUSE), lambda c: F.transform(
+    clauses = F.when(lawyer, scan(text, fixed.LAWYER_CLAUSE)).otherwise(none(HIT))
+    appointed = F.flatten(F.transform(clauses, lambda c: F.transform(
         F.filter(scan_fields(c["value"], "(?:本所)?", name, "(?=律师)"), lambda h: ~matches(h["value"], fixed.LAWYER_ROLES)),
-        lambda h: F.struct((c["start"] + h["start"] + F.length(h["whole"]) - F.length(h["value"])).alias("start"), h["value"].alias("value")))))
-    return F.concat(*[F.transform(F.filter(x, lambda h: is_person(trim(h["value"]))), lambda h: shown(h["start"], h["value"])) for x in (lecturers, before, appointed)])
+        lambda h: hit(c["start"] + h["start"] + F.length(h["whole"]) - F.length(h["value"]), h["value"]))))
+    people = F.filter(F.concat(lecturers, before, appointed), lambda h: is_person(trim(h["value"])))
+    return F.transform(people, lambda h: candidate(h["start"], h["value"], "person", "【人员姓名】"))
 
 
 def parsed_terms(terms: str) -> list[str]:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import fixed
 from .detectors import is_party, is_person
 from .dialect import BLANK, escaped, extract, matches, replace, trim
-from .spans import candidate, none, scan_fields, scan_java
+from .spans import candidate, none, scan_fields, scan_fields_each, scan_java
 
-ENTITY = T.ArrayType(T.StructType().add("value", "string").add("category", "string").add("placeholder", "string"))
+ENTITY = "array<struct<value:string,category:string,placeholder:string>>"
 
 
 def preamble(text: Column) -> Column:
@@ -23,31 +21,29 @@ def preamble(text: Column) -> Column:
 
 def cleaned(value: Column) -> Column:
     rest = "[^\\n\\r\\u2028\\u2029]*$"
-    value = replace(value, f"(?:统一社会信用代码|纳税人识别号|地址|电话|联系人|法定代表人){rest}")
-    value = replace(value, f"[（(【\\[]\\s*(?:以下简称|以下称|后称|简称|略称){rest}")
-    value = replace(value, "[ \\t　\\r\\n]+")
-    return trim(replace(value, "^[ \\t　【\\[（(：:，,.。]+|[ \\t　】\\]）)：:，,.。]+$"))
+    value = replace(replace(value, fixed.AFTER_VALUE + rest), fixed.AFTER_NAME + rest)
+    return trim(replace(replace(value, "[ \\t　\\r\\n]+"), fixed.AROUND_VALUE))
 
 
-def _as_party(category: str):
-    return lambda v: F.struct(v.alias("value"), F.lit(category).alias("category"))
+def _labelled_parties(text: Column, guard: Column) -> Column:
+    rules = []
+    for stem, labels in fixed.PARTIES:
+        rules.append((guard & text.rlike(labels), f"(?:{labels})[ \\t　]*(?:[（(][^）)\\n]{{1,20}}[）)])?{fixed.PARTY_GAP}[【\\[（(]?[ \\t　]*", fixed.COMPANY, "", ""))
+        rules.append((guard & F.contains(text, F.lit(f"{stem}方")), f"{stem}方\\s*[（(]\\s*", fixed.COMPANY, "\\s*[）)]", ""))
+    category = F.array(*[F.lit(f"entity{letter}") for letter in fixed.ENTITY_LETTERS])
 
+    def of_rule(hits, i):
+        named = F.filter(F.transform(hits, lambda h: cleaned(h["value"])), lambda v: F.length(v).between(2, 50) & is_party(v))
+        return F.transform(named, lambda v: F.struct(v.alias("value"), F.get(category, (i / 2).cast("int")).alias("category")))
 
-def _labelled_parties(text: Column) -> Column:
-    found = []
-    for (stem, labels), letter in zip(fixed.PARTIES, fixed.ENTITY_LETTERS, strict=True):
-        field = scan_fields(text, f"(?:{labels})[ \\t　]*(?:[（(][^）)\\n]{{1,20}}[）)])?{fixed.PARTY_GAP}[【\\[（(]?[ \\t　]*", fixed.COMPANY)
-        beside = scan_fields(text, f"{stem}方\\s*[（(]\\s*", fixed.COMPANY, "\\s*[）)]")
-        values = F.transform(F.concat(field, beside), lambda h: cleaned(h["value"]))
-        named = F.filter(values, lambda v: F.length(v).between(2, 50) & is_party(v))
-        found.append(F.transform(named, _as_party(f"entity{letter}")))
-    return F.when(text.rlike("方"), F.concat(*found)).otherwise(none("array<struct<value:string,category:string>>"))
+    return F.flatten(F.transform(scan_fields_each(text, rules), of_rule))
 
 
-def labelled_parties(text: Column) -> Column:
-    """Parties named after their labels in the preamble; if there are none, in the whole text."""
-    head = _labelled_parties(preamble(text))
-    return F.when(F.size(head) > 0, head).otherwise(_labelled_parties(text))
+def with_labelled_parties(docs, name: str):
+    """Adds ``name``: parties named after their labels in the preamble; if there are none, in the whole text."""
+    text, guard = F.col("text"), F.col("text").rlike("方")
+    head = docs.withColumn("__head", _labelled_parties(preamble(text), guard))
+    return head.withColumn(name, F.when(F.size("__head") > 0, F.col("__head")).otherwise(_labelled_parties(text, guard & (F.size("__head") == 0)))).drop("__head")
 
 
 def declared_roles(text: Column) -> Column:
@@ -56,33 +52,39 @@ def declared_roles(text: Column) -> Column:
     return F.filter(values, lambda v: (is_party(v) | is_person(v)) & ~matches(v, fixed.ROLE_BLANK))
 
 
-@F.pandas_udf(ENTITY)
-def assigned_parties(labelled: pd.Series, declared: pd.Series) -> pd.Series:
-    """Letters for a document's parties, in order: the few parties of one document at a time."""
-
-    def letters(parties, roles):
-        parties = [{"value": p["value"], "category": p["category"], "placeholder": None} for p in parties]
-        every = [f"entity{x}" for x in fixed.ENTITY_LETTERS]
-        for value in roles:
-            if any(p["value"] == value for p in parties):
-                continue
-            free = next((c for c in every if c not in {p["category"] for p in parties}), None)
-            parties.append({"value": value, "category": free or "entityOther", "placeholder": None if free else f"【主体{len(parties) + 1}】"})
-        distinct = list({p["value"]: p for p in reversed(parties)}.values())[::-1]
-        distinct = sorted(distinct, key=lambda p: next(i for i, q in enumerate(parties) if q["value"] == p["value"]))
-        reserved, given = {p["category"] for p in distinct}, set()
-        for place, p in enumerate(distinct, 1):
-            if p["category"] in given:
-                free = next((c for c in every if c not in reserved), None)
-                if free:
-                    p["category"] = free
-                    reserved.add(free)
-                elif not p["placeholder"]:
-                    p["category"], p["placeholder"] = "entityOther", f"【主体{place}】"
-            given.add(p["category"])
-        return distinct
-
-    return pd.Series([letters(a, b) if len(a) or len(b) else [] for a, b in zip(labelled, declared, strict=True)])
+def assigned_parties(labelled: Column | str, declared: Column | str) -> Column:
+    """Letters for a document's parties, in order.
+
+    A declared role takes the first letter that no party has, or is numbered; of parties that share a letter the
+    first keeps it and the others take free ones.
+    """
+    labelled, declared = (F.col(c) if isinstance(c, str) else c for c in (labelled, declared))
+    letters = F.array(*[F.lit(f"entity{x}") for x in fixed.ENTITY_LETTERS])
+    entry = lambda v, c, p: F.struct(v.alias("value"), c.alias("category"), p.alias("placeholder"))
+    numbered = lambda n: F.concat(F.lit("【主体"), n.cast("string"), F.lit("】"))
+    first_free = lambda taken: F.get(F.filter(letters, lambda c: ~taken(c)), F.lit(0))
+
+    def with_role(acc, value):
+        free = first_free(lambda c: F.exists(acc, lambda p: p["category"] == c))
+        new = entry(value, F.coalesce(free, F.lit("entityOther")), F.when(free.isNull(), numbered(F.size(acc) + 1)))
+        return F.when(F.exists(acc, lambda p: p["value"] == value), acc).otherwise(F.array_append(acc, new))
+
+    def lettered(acc, p):
+        free, used = first_free(lambda c: F.array_contains(acc["reserved"], c)), F.array_contains(acc["given"], p["category"])
+        moved, lone = used & free.isNotNull(), used & free.isNull() & p["placeholder"].isNull()
+        category = F.when(moved, free).when(lone, "entityOther").otherwise(p["category"])
+        return F.struct(
+            F.when(moved, F.array_append(acc["reserved"], free)).otherwise(acc["reserved"]).alias("reserved"), F.array_append(acc["given"], category).alias("given"),
+            F.array_append(acc["out"], entry(p["value"], category, F.when(lone, numbered(F.size(acc["out"]) + 1)).otherwise(p["placeholder"]))).alias("out"),
+        )
+
+    begin = F.concat(none(ENTITY), F.transform(labelled, lambda p: entry(p["value"], p["category"], F.lit(None).cast("string"))))
+    every = F.aggregate(declared, begin, with_role)
+    unlike = lambda all_: F.filter(all_, lambda p, i: F.forall(F.slice(all_, F.lit(1), i), lambda q: q["value"] != p["value"]))
+    distinct = F.transform(F.array(every), unlike)  # one element, so that it is bound once
+    names = F.from_json(F.lit("[]"), "array<string>")
+    of = lambda d: F.aggregate(d, F.struct(F.concat(names, F.transform(d, lambda p: p["category"])).alias("reserved"), names.alias("given"), none(ENTITY).alias("out")), lettered, lambda acc: acc["out"])
+    return F.get(F.transform(distinct, of), F.lit(0))
 
 
 def flexible(value: Column) -> Column:
@@ -109,8 +111,9 @@ def party_aliases(text: Column, parties: Column) -> Column:
         own = F.coalesce(F.regexp_replace(party["placeholder"], "^([^】]*)】", "$1简称】"), F.concat(F.lit("【主体"), F.replace(party["category"], F.lit("entity"), F.lit("")), F.lit("简称】")))
         return F.transform(names, lambda a: F.struct(a.alias("value"), party["category"].alias("category"), own.alias("placeholder")))
 
-    every = F.flatten(F.transform(parties, of))
-    return F.filter(every, lambda a, i: F.size(F.filter(F.slice(every, F.lit(1), i), lambda b: (b["value"] == a["value"]) & (b["category"] == a["category"]))) == 0)
+    # Bound as the only element of an array, so that the names are searched once and not again for each of them.
+    first = lambda every: F.filter(every, lambda a, i: F.size(F.filter(F.slice(every, F.lit(1), i), lambda b: (b["value"] == a["value"]) & (b["category"] == a["category"]))) == 0)
+    return F.get(F.transform(F.array(F.flatten(F.transform(parties, of))), first), F.lit(0))
 
 
 def wrapped(text: Column, start: Column, value: Column) -> Column:
@@ -133,4 +136,4 @@ def mention_candidates(text: Column, entities: Column) -> Column:
     return F.flatten(F.transform(entities, of))
 
 
-__all__ = ["assigned_parties", "cleaned", "declared_roles", "extract", "flexible", "labelled_parties", "mention_candidates", "party_aliases", "preamble", "related_entities", "wrapped"]
+__all__ = ["assigned_parties", "cleaned", "declared_roles", "extract", "flexible", "mention_candidates", "party_aliases", "preamble", "related_entities", "with_labelled_parties", "wrapped"]

@@ -53,11 +53,16 @@ WAN = "万(?!\\s*(?:平方米|平方|平米|㎡|m²))"
 GROUPED = "(?:\\d{1,3}(?:[,，]\\d{3})+|\\d+)(?:\\.\\d{1,2})?"
 SAID = f"(?:大写\\s*[：:]?\\s*)?(?:{CURRENCY}\\s*)?{CAPITALS}{CAPITAL_UNIT}?{CAPITAL_TAIL}"
 YEAR, MONTH, DAY = "(?:20\\d{2}|19\\d{2})", "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12]\\d|3[01])"
-NUM, HAN = "\\d+(?:\\.\\d+)?", "[零〇一二两三四五六七八九十百]+"
+# Numbers never give a digit back: nothing that follows one in a rule begins with a digit or a point
+NUM, HAN = "\\d++(?:\\.\\d++)?+", "[零〇一二两三四五六七八九十百]+"
 SPAN = "(?:个?(?:自然日|工作日|月)|天|日|周|小时|年)"
 TO = "\\s*[-—–~至]\\s*"
 CLAUSE_UNITS = "个?(?:自然日|工作日|月)|天|日|周|小时|分钟|秒|毫秒|年|亿元|万元|万|元|%|％|轮|件|级|次|套|台|批"
 
+CLAUSE_ORDINAL = f"^第(?:\\d+|{CHINESE_NUMBER})(?:条|款|章|节|项)"
+CLAUSE_WRAPPED = f"^[（(【\\[]\\s*(?:\\d+(?:\\.\\d+)*|{CHINESE_NUMBER})\\s*[）)】\\]]"
+CLAUSE_PLAIN = f"^(?:\\d+(?:\\s*[.．]\\s*\\d+)*|{CHINESE_NUMBER})"
+
 # The detectors in order: id, category, pattern, case ignored, placeholder (a text, or a name of functions.detectors; None: the default)
 DETECTORS = [
     ("D01", "email", "[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}", True, None),
@@ -107,6 +112,15 @@ DETECTORS = [
     ("D45", "amount", "(?:人民币\\s*)?(?:¥|￥)?\\s*\\d{1,3}(?:[,，]\\d{3})+(?:\\.\\d{1,2})?\\s*(?:元|万元|亿元)?|(?:人民币\\s*)?(?:¥|￥)\\s*\\d+(?:\\.\\d{1,2})?|\\d+(?:\\.\\d{1,2})?\\s*(?:万元|亿元)", False, None),
 ]
 
+# Characters without which a rule cannot match, and the rules that need them
+NEEDS = {"at": "@", "digit": "\\d", "digits": "\\d{4}", "han": "[〇\\u4e00-\\u9fff]", "percent": "[％%]", "permille": "‰", "compare": "[><≥≤≈≃≅≒=~]"}
+RULE_NEEDS = {
+    "D01": "at", "D02": "digits", "D04": "digits", "D05": "digits", "D06": "digit", "D07": "han", "D08": "han", "D09": "han", "D10": "han", "D11": "han", "D12": "digit",
+    "D13": "han", "D14": "digit", "D15": "han", "D16": "han", "D17": "han", "D18": "han", "D19": "han", "D20": "han", "D21": "percent", "D22": "percent", "D23": "han",
+    "D24": "permille", "D25": "permille", "D26": "han", "D27": "han", "D28": "han", "D29": "han", "D30": "han", "D31": "han", "D32": "han", "D33": "compare", "D34": "compare",
+    "D35": "digit", "D36": "digit", "D37": "digit", "D38": "digit", "D39": "han", "D40": "digits", "D41": "han", "D42": "han", "D43": "han", "D44": "han", "D45": "digit",
+}
+
 SEP, GAP = "[：:，,.。\\s　]*", "[ \\t　]*"
 NAME_CHARS = "\\u4e00-\\u9fa5·A-Za-z"
 NAME_END = f"(?={GAP}(?:电话|手机|邮箱|电邮|传真|联系人|联系人及联系方式|授权代表|地址|姓名|职务|岗位|[；;，,.。|]|\\n|$))"
@@ -143,6 +157,11 @@ LECTURER = "(?:讲师|培训讲师|授课老师|授课教师|主讲人)[ \\t　]
 LAWYER_CLAUSE = "(?:指派|委托|聘请|保证|由)[^。\\n；;]{0,100}律师[^。\\n；;]{0,80}"
 LAWYER_ROLES = "(?:主办|代理|承办|团队|人员|合伙|本案|出庭)"
 
+# What is cut from a party's value
+AFTER_VALUE = "(?:统一社会信用代码|纳税人识别号|地址|电话|联系人|法定代表人)"
+AFTER_NAME = "[（(【\\[]\\s*(?:以下简称|以下称|后称|简称|略称)"
+AROUND_VALUE = "^[ \\t　【\\[（(：:，,.。]+|[ \\t　】\\]）)：:，,.。]+$"
+
 # Parties
 PARTIES = [("甲", "甲方|采购方|买方"), ("乙", "乙方|供应方|卖方"), ("丙", "丙方"), ("丁", "丁方"), ("戊", "戊方"), ("己", "己方"), ("庚", "庚方"), ("辛", "辛方"), ("壬", "壬方"), ("癸", "癸方")]
 PARTY_GAP = f"(?:{GAP}[：:，,.。]{GAP}(?:(?:\\|{GAP})|(?:\\n{GAP}))?|[ \\t]*　+{GAP}|[ \\t]{{2,}}|{GAP}\\|{GAP}|{GAP}\\n{GAP}|{GAP}(?=[【\\[]))"

@@ -21,27 +21,19 @@ def none(kind: str) -> Column:
     return F.from_json(F.lit("[]"), kind)
 
 
-def scan_java(text: Column, pattern: Column | str) -> Column:
-    """All matches of a Java pattern (which may be a column) with their starts."""
-    parts = F.split(F.regexp_replace(text, F.lit(pattern) if isinstance(pattern, str) else pattern, f"{MARKS[0]}$0{MARKS[1]}"), f"[{MARKS}]")
+def _hits(parts: Column) -> Column:
+    """Matches and their starts from a text's parts: gap, match, gap and so on."""
 
     def step(acc, part):
         hit = F.struct(acc["at"].alias("start"), part.alias("value"))
         return F.struct((acc["at"] + F.length(part)).alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.array_append(acc["hits"], hit)).otherwise(acc["hits"]).alias("hits"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none(HIT).alias("hits"))
-    found = F.aggregate(parts, zero, step, lambda acc: acc["hits"])
-    return F.when(text.rlike(pattern) if isinstance(pattern, str) else F.regexp_like(text, pattern), found).otherwise(none(HIT))
-
-
-def scan(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return scan_java(text, ("(?i)" if ignore_case else "") + java(pattern))
+    return F.aggregate(parts, zero, step, lambda acc: acc["hits"])
 
 
-def scan_fields(text: Column, before: str, value: str, after: str = "", flags: str = "") -> Column:
-    """Matches of label and value: start of the match, the match, the value's group."""
-    pattern = f"{flags}({java(before)})({java(value)}){java(after)}"
-    parts = F.split(F.regexp_replace(text, pattern, f"{MARKS[0]}$1{MARKS[1]}$2{MARKS[2]}"), f"[{MARKS}]")
+def _fields(parts: Column) -> Column:
+    """Label and value matches from a text's parts: gap, label, value, gap and so on."""
 
     def step(acc, part):
         hit = F.struct(acc["from"].alias("start"), F.concat(acc["label"], part).alias("whole"), part.alias("value"))
@@ -54,7 +46,45 @@ def scan_fields(text: Column, before: str, value: str, after: str = "", flags: s
         )
 
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("from"), F.lit("").alias("label"), none(FIELD).alias("hits"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step, lambda acc: acc["hits"])).otherwise(none(FIELD))
+    return F.aggregate(parts, zero, step, lambda acc: acc["hits"])
+
+
+def _parts(text: Column, pattern: Column | str, marked: str, guard: Column | None = None) -> Column:
+    """The text split at the marks around its matches; empty where there are none, without a search where the guard says so."""
+    found = text.rlike(pattern) if isinstance(pattern, str) else F.regexp_like(text, pattern)
+    split = F.split(F.regexp_replace(text, F.lit(pattern) if isinstance(pattern, str) else pattern, marked), f"[{MARKS}]")
+    return F.when(found if guard is None else guard & found, split).otherwise(F.array().cast("array<string>"))
+
+
+WHOLE, LABELLED = f"{MARKS[0]}$0{MARKS[1]}", f"{MARKS[0]}$1{MARKS[1]}$2{MARKS[2]}"
+
+
+def scan_java(text: Column, pattern: Column | str) -> Column:
+    """All matches of a Java pattern (which may be a column) with their starts."""
+    return _hits(_parts(text, pattern, WHOLE))
+
+
+def scan(text: Column, pattern: str, ignore_case: bool = False) -> Column:
+    return scan_java(text, ("(?i)" if ignore_case else "") + java(pattern))
+
+
+def scan_each(text: Column, rules: list[tuple[Column | None, str, bool]]) -> Column:
+    """An array of the matches of each rule (guard, pattern, case ignored); one fold serves all."""
+    return F.transform(F.array(*[_parts(text, ("(?i)" if ci else "") + java(p), WHOLE, guard) for guard, p, ci in rules]), _hits)
+
+
+def _field_pattern(before: str, value: str, after: str, flags: str) -> str:
+    return f"{flags}({java(before)})({java(value)}){java(after)}"
+
+
+def scan_fields(text: Column, before: str, value: str, after: str = "", flags: str = "", guard: Column | None = None) -> Column:
+    """Matches of label and value: start of the match, the match, the value's group."""
+    return _fields(_parts(text, _field_pattern(before, value, after, flags), LABELLED, guard))
+
+
+def scan_fields_each(text: Column, rules: list[tuple[Column | None, str, str, str, str]]) -> Column:
+    """An array of the matches of each rule (guard, label, value, what follows, flags); one fold serves all."""
+    return F.transform(F.array(*[_parts(text, _field_pattern(*rule), LABELLED, guard) for guard, *rule in rules]), _fields)
 
 
 def candidate(start: Column, value: Column, category: Column | str, placeholder: Column | str) -> Column:
@@ -68,28 +98,27 @@ def candidate(start: Column, value: Column, category: Column | str, placeholder:
 
 def clauses(text: Column) -> Column:
     """Numbering tokens at line starts: line_start, line_end, start, end."""
-    number = fixed.CHINESE_NUMBER
-    ordinal, wrapped = f"^第(?:\\d+|{number})(?:条|款|章|节|项)", f"^[（(【\\[]\\s*(?:\\d+(?:\\.\\d+)*|{number})\\s*[）)】\\]]"
-    plain = f"^(?:\\d+(?:\\s*[.．]\\s*\\d+)*|{number})"
+    ordinal, wrapped, plain = fixed.CLAUSE_ORDINAL, fixed.CLAUSE_WRAPPED, fixed.CLAUSE_PLAIN
     kind = "array<struct<line_start:int,line_end:int,start:int,end:int>>"
+    # Each step binds what the next one needs, so that a line's patterns are searched once.
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(F.length(x).alias("n"), x.alias("line"), F.length(F.regexp_extract(x, "^[ \\t　]*(?:#{1,6}[ \\t　]+)?", 0)).alias("lead")))
+    lines = F.transform(lines, lambda x: F.struct(x["n"], x["lead"], F.substr(x["line"], x["lead"] + 1).alias("content")))
+    lines = F.transform(lines, lambda x: F.struct(x["n"], x["lead"], x["content"], extract(x["content"], f"{ordinal}|{wrapped}|{plain}").alias("token")))
+    lines = F.transform(lines, lambda x: F.struct(x["n"], x["lead"], x["token"], F.when(x["token"] != "", F.substr(x["content"], F.length(x["token"]) + 1)).alias("rest")))
 
-    def step(acc, line):
-        lead = F.length(F.regexp_extract(line, "^[ \\t　]*(?:#{1,6}[ \\t　]+)?", 0))
-        content = F.substr(line, lead + 1)
-        token = extract(content, f"{ordinal}|{wrapped}|{plain}")
-        rest = F.substr(content, F.length(token) + 1)
+    def step(acc, x):
+        token, rest, begin = x["token"], x["rest"], acc["at"] + x["lead"]
         dotted = matches(token, "^\\d+(?:\\s*[.．]\\s*\\d+)+$")
         unit = matches(rest, f"^\\s*(?:{fixed.CLAUSE_UNITS})(?![{CJK}])")
         explicit = matches(token, f"{ordinal}|{wrapped}") | dotted | matches(rest, "^\\s*[.．、:：]") | matches(rest, f"^\\s*[{CJK}]")
-        begin = acc["at"] + lead
         row = F.struct(
-            acc["at"].cast("int").alias("line_start"), (acc["at"] + F.length(line)).cast("int").alias("line_end"), begin.cast("int").alias("start"),
+            acc["at"].cast("int").alias("line_start"), (acc["at"] + x["n"]).cast("int").alias("line_end"), begin.cast("int").alias("start"),
             (begin + F.length(token) + F.length(extract(rest, "^\\s*[.．、:：]"))).cast("int").alias("end"),
         )
-        is_clause = (token != "") & ~(unit & ~dotted) & explicit
-        return F.struct((acc["at"] + F.length(line) + 1).cast("int").alias("at"), F.when(is_clause, F.array_append(acc["found"], row)).otherwise(acc["found"]).alias("found"))
+        is_clause = (token != "") & (dotted | ~unit) & explicit
+        return F.struct((acc["at"] + x["n"] + 1).cast("int").alias("at"), F.when(is_clause, F.array_append(acc["found"], row)).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(F.split(text, "\n"), F.struct(F.lit(0).alias("at"), none(kind).alias("found")), step, lambda acc: acc["found"])
+    return F.aggregate(lines, F.struct(F.lit(0).alias("at"), none(kind).alias("found")), step, lambda acc: acc["found"])
 
 
 def resolved(candidates: Column, clause_spans: Column | None, strict: bool = False) -> Column:
@@ -124,4 +153,4 @@ def match_id(span: Column) -> Column:
     return F.concat_ws("-", span["category"], span["start"].cast("string"), (span["end"] - span["start"]).cast("string"))
 
 
-__all__ = ["BLANK", "applied", "candidate", "clauses", "match_id", "none", "resolved", "scan", "scan_fields", "scan_java"]
+__all__ = ["BLANK", "applied", "candidate", "clauses", "match_id", "none", "resolved", "scan", "scan_each", "scan_fields", "scan_fields_each", "scan_java"]

@@ -14,11 +14,14 @@ NEEDED = "^word/(?:document|(?:header|footer)[0-9]+)\\.xml$"
 def page_texts(items: DataFrame) -> DataFrame:
     """doc_id, page, text: items in order joined by line breaks and blanks as their places ask for.
 
-    Only the text's end decides on breaks, so a fold carries the end apart from the pieces.
+    Only the text's end decides on breaks, so a fold carries the end apart from the pieces. A page whose items
+    hold no string has an empty text.
     """
     num = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     item = F.struct("item_no", "str", "x", "y", num("width").alias("width"), num("height").alias("height"), F.coalesce("has_eol", F.lit(False)).alias("has_eol"))
-    pages = items.filter("str IS NOT NULL").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    # Dealt by a set number of partitions, as small ones would be merged into few tasks for a costly fold.
+    dealt = items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "page")
+    pages = dealt.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.when(F.col("str").isNotNull(), item))).alias("items"))
     prev = lambda i: F.get("items", i - 1)
 
     def joined(m, i):
@@ -47,9 +50,15 @@ def page_stats(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", "text", n.cast("long").alias("n_chars"), (n == 0).alias("is_empty"), ((n > 0) & (n < fixed.SPARSE_CHARS)).alias("is_sparse"), fault.alias("is_faulty"))
 
 
-def assembled(pages: DataFrame) -> DataFrame:
-    """doc_id, text, warnings, reject_reason of PDF documents from their pages (all pages present)."""
-    stats = page_stats(pages)
+def all_pages(pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """``pages`` with an empty one for each page of ``counts`` (doc_id, n_pages) that has no items; further pages stay."""
+    due = counts.select("doc_id", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n_pages"), F.lit(1)))).alias("page"))
+    return due.join(pages, ["doc_id", "page"], "full").select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def assembled(pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, text, warnings, reject_reason of PDF documents from their pages; ``counts`` tells of pages without items."""
+    stats = page_stats(pages if counts is None else all_pages(pages, counts))
     running = F.sum("n_chars").over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
     fault = F.when(F.col("is_faulty"), F.concat(F.lit("fault on page "), F.col("page").cast("string"))).when(running > fixed.PDF_CHARS, "too many characters")
     heading = F.concat(F.lit("## PDF 第 "), F.col("page").cast("string"), F.lit(" 页\n\n"), F.when(F.col("text") == "", fixed.EMPTY_PAGE).otherwise(F.col("text")))

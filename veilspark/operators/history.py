@@ -38,12 +38,13 @@ def clean_counts(counts: Column) -> Column:
 def cleaned(records: DataFrame, now: Column, most: int = fixed.HISTORY_MOST) -> DataFrame:
     """Valid records, the newest of each id, the newest ``most`` of each client; ties by ``pos``.
 
-    One exchange by client serves both windows. A client's records are few after the time filter.
+    The newest of an id is a grouped minimum, combined before the shuffle; of a client's records each task sends
+    ``most`` at most to the task that ranks them.
     """
-    good = valid(records, now).repartition("client_id")
-    newest = Window.partitionBy("client_id", "id").orderBy(F.desc("created_at"), "pos")
+    good = valid(records, now)
+    newest = good.groupBy("client_id", "id").agg(F.min(F.struct((-F.unix_micros("created_at")).alias("__age"), "pos", F.struct(*good.columns).alias("__row"))).alias("__first"))
     top = Window.partitionBy("client_id").orderBy(F.desc("created_at"), "pos")
-    one = good.withColumn("__r", F.row_number().over(newest)).filter("__r = 1").withColumn("__r", F.row_number().over(top)).filter(F.col("__r") <= most)
+    one = newest.select("__first.__row.*").withColumn("__r", F.row_number().over(top)).filter(F.col("__r") <= most)
     return one.drop("__r").withColumn("counts", clean_counts(F.col("counts")))
 
 

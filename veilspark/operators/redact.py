@@ -53,7 +53,7 @@ def detected(docs: DataFrame, rules: list[tuple] = fixed.DETECTORS, fields: list
     out = docs.withColumn("doc_type", classify.document_type(text, manual)).withColumn("type_name", classify.type_name(text, F.col("doc_type"), manual))
     found = [detectors.pattern_candidates(text, rules, keep_amounts)] if rules else []
     if parties:
-        out = out.withColumn("__labelled", entities.labelled_parties(text)).withColumn("__declared", entities.declared_roles(text))
+        out = entities.with_labelled_parties(out, "__labelled").withColumn("__declared", entities.declared_roles(text))
         out = out.withColumn("parties", entities.assigned_parties("__labelled", "__declared")).drop("__labelled", "__declared")
         out = out.withColumn("related", entities.related_entities(text, F.col("parties"))).withColumn("aliases", entities.party_aliases(text, F.col("parties")))
         found += [entities.mention_candidates(text, F.col(x)) for x in ("parties", "related", "aliases")]
@@ -68,17 +68,18 @@ def detected(docs: DataFrame, rules: list[tuple] = fixed.DETECTORS, fields: list
 
 def matched(docs: DataFrame, strict: bool = False) -> DataFrame:
     """``docs`` with matches: the candidates without clause numbers and overlaps, all selected."""
-    kept = docs.withColumn("__clauses", spans.clauses(F.col("text"))).withColumn("matches", spans.resolved(F.col("candidates"), F.col("__clauses"), strict))
+    some = F.size("candidates") > 0  # without candidates there is nothing that a number could be mistaken for
+    kept = docs.withColumn("__clauses", F.when(some, spans.clauses(F.col("text"))).otherwise(F.array())).withColumn("matches", spans.resolved(F.col("candidates"), F.col("__clauses"), strict))
     return kept.drop("__clauses", "candidates").withColumn("matches", F.transform("matches", lambda m: F.struct(spans.match_id(m).alias("match_id"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["category"].alias("category"), m["placeholder"].alias("placeholder"), F.lit(True).alias("selected"))))
 
 
 def replaced(docs: DataFrame) -> DataFrame:
     """``docs`` with redacted: selected matches replaced; text taken from PDF is headed by its warnings."""
-    chosen = F.filter("matches", lambda m: m["selected"])
-    text = spans.applied(F.col("text"), chosen)
+    docs = docs.withColumn("__chosen", F.filter("matches", lambda m: m["selected"]))
+    text = spans.applied(F.col("text"), F.col("__chosen"))
     if "source_format" in docs.columns and "warnings" in docs.columns:
         text = F.when(F.col("source_format") == "pdf", F.concat(F.lit("> "), F.array_join("warnings", "\n> "), F.lit("\n\n"), text)).otherwise(text)
-    return docs.withColumn("redacted", text)
+    return docs.withColumn("redacted", text).drop("__chosen")
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:

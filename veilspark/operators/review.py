@@ -35,9 +35,10 @@ def category_order(category: Column) -> Column:
 def with_decisions(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Applies decisions (doc_id, match_id, selected, placeholder); an empty placeholder becomes the deleted token.
 
-    Of several decisions on one match the greatest counts.
+    Of several decisions on one match the greatest counts; decisions without a match id or document are left out.
     """
-    nested = decisions.groupBy("doc_id", "match_id").agg(F.max(F.struct("selected", "placeholder")).alias("d")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("match_id", "d"))).alias("__decided"))
+    named = decisions.filter("doc_id IS NOT NULL AND match_id IS NOT NULL")
+    nested = named.groupBy("doc_id", "match_id").agg(F.max(F.struct("selected", "placeholder")).alias("d")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("match_id", "d"))).alias("__decided"))
 
     def decided(m):
         d = F.try_element_at("__decided", m["match_id"])

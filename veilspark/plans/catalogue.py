@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, detectors, fixed, spans
 from ..operators import assemble, history, redact, reports, review
-
-
+from ..sources.files import spread
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,7 +25,7 @@ def _digits(column, n):
 
 def redact_documents(spark, sf_dir):
     """The flagship job over all documents."""
-    done = redact.redact(table(spark, sf_dir, "documents"))
+    done = redact.redact(spread(table(spark, sf_dir, "documents")))
     return done.select("doc_id", "doc_type", F.size("matches").cast("long").alias("n_matches"), F.length("redacted").cast("long").alias("n_redacted"), F.sha2("redacted", 256).alias("redacted_sha256"))
 
 
@@ -94,7 +94,7 @@ HEADS = {"AUTOMOBILE": ("授权委托书", "mandate"), "BUILDING": ("授权书",
 
 
 def contracts(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     key = F.col("c_custkey")
     head = F.element_at(F.create_map(*[F.lit(x) for k, v in HEADS.items() for x in (k, v[0])]), F.col("c_mktsegment"))
     text = F.concat(
@@ -131,6 +131,116 @@ SELECT c_custkey AS doc_id, {_TYPE} AS doc_type, CASE WHEN {_TYPE} IN ('tech', '
   {_LABEL} || '_脱敏版.md' AS export_name
 FROM customer"""
 
+# Lines of a contract, one or two for each rule, with what they become; {k} is the customer's key in six digits.
+RULE_LINES = [
+    ("D03", "信用代码91310{k}MA1K4B2。", "信用代码【统一社会信用代码已删除】。"),
+    ("D05", "座机（021）5555 1234（转 8）。", "座机【联系方式已删除】。"),
+    ("D06", "账户6222 0210 00{k}。", "账户【银行账号已删除】。"),
+    ("D07", "签署于【2026】年【3】月【15】日。", "签署于20XX年XX月XX日。"),
+    ("D08", "合计人民币大写：壹佰元整。", "合计【金额】。"),
+    ("D09", "报酬￥1,234（大写：壹仟元整）。", "报酬【金额】。"),
+    ("D11", "单笔≥5{k}万元。", "单笔≥X万元。"),
+    ("D12", "押付USD 3000。", "押付【金额】。"),
+    ("D13", "酬金【350】元。", "酬金【金额】。"),
+    ("D14", "系数[12.50]。", "系数【金额】。"),
+    ("D15", "折合【壹佰元整】。", "折合【金额】。"),
+    ("D16", "计（港币伍佰元整）。", "计【金额】。"),
+    ("D17", "按22元/㎡/月计。", "按X元/㎡/月计。"),
+    ("D18", "收（88）元。", "收（X）元。"),
+    ("D19", "定金港币伍佰元整。", "定金【金额】。"),
+    ("D20", "报价100-200元。", "报价X-Y元。"),
+    ("D23", "占百分之 15。", "占百分之X。"),
+    ("D24", "费率2‰-3‰。", "费率X‰-Y‰。"),
+    ("D25", "收{k}‰。", "收X‰。"),
+    ("D26", "占千分之三。", "占千分之X。"),
+    ("D27", "占比三分之二。", "占比X分之Y。"),
+    ("D28", "约定一半。", "约定【比例】。"),
+    ("D29", "其3 × 余款。", "其X × 余款。"),
+    ("D30", "打八折。", "打X折。"),
+    ("D31", "按分3期支付。", "按分X期支付。"),
+    ("D32", "于第2期结清。", "于第X期结清。"),
+    ("D33", "精度≥0.95。", "精度≥X。"),
+    ("D34", "误差≤5mm。", "误差≤Xmm。"),
+    ("D35", "长10至20cm。", "长X-Ycm。"),
+    ("D36", "重不少于30kg。", "重不少于Xkg。"),
+    ("D37", "面积3万平方米。", "面积X万平方米。"),
+    ("D38", "功率 5kW。", "功率 XkW。"),
+    ("D41", "于2026年3月生效。", "于20XX年XX月生效。"),
+    ("D42", "逢8月31日交付。", "逢XX月XX日交付。"),
+    ("D43", "需第1-2周完成。", "需第Y-Z周完成。"),
+    ("D45", "余额1,234.50。", "余额【金额】。"),
+    ("L02", "我方地址及电话：北京市海淀区测试路{k}号", "我方地址及电话：【地址及联系方式】"),
+    ("L03", "丙方：地址：上海市测试路6号", "丙方：地址：【地址】"),
+    ("L04", "注册地址：广州市测试大道9号", "注册地址：【地址】"),
+    ("L05", "工程位于深圳市测试路3号，已开工", "工程位于【地址】，已开工"),
+    ("L06", "收件人：【张三】", "收件人：【收件人】"),
+    ("L07", "联系人及联系方式：李四 电话：13812345678", "联系人及联系方式：【联系人】 电话：【联系方式已删除】"),
+    ("L08", "授权代表：王五，到场", "授权代表：【授权代表信息】，到场"),
+    ("L09", "经办人：赵六；", "经办人：【联系人】；"),
+    ("L10", "职务：销售总监", "职务：【人员信息】"),
+    ("L11", "开户行及账号：测试支行{k}", "开户行【开户行已删除】"),
+    ("L12", "开户银行：测试银行支行", "开户银行：【开户行已删除】"),
+    ("L13", "金额大写：伍佰", "金额大写：【金额】"),
+    ("L14", "保证金：5000", "保证金：【金额】"),
+    ("L15", "违约金：伍佰", "违约金：【金额】"),
+    ("L16", "范围：10-20", "范围：X-Y"),
+    ("L17", "项目名称：测试系统{k}", "项目名称：【技术项目A】"),
+    ("P1", "讲师：钱七、孙八。", "讲师：【人员姓名】、【人员姓名】。"),
+    ("P2", "另有、周九律师到场。", "另有、【人员姓名】律师到场。"),
+    ("P3", "我方指派本所吴十律师到场。", "我方指派本所【人员姓名】律师到场。"),
+    ("V-ADDR", "注册地址：见下述地址", "注册地址：见下述地址"),
+    ("V-PERS", "经办人：待填写；", "经办人：待填写；"),
+    ("R3", "12.5%以上", "12.5%以上"),
+    ("R3", "2026.03.01签署", "2026.03.01签署"),
+]
+ROLE_LINES = [
+    ("E4", "委托人：测试甲{k}有限公司", "委托人：【主体A】"),
+    ("E5", "受托人：测试乙{k}有限公司", "受托人：【主体B】"),
+    ("E6", "收款方：测试丙{k}中心", "收款方：【相关主体】"),
+    ("E10", "由【测试甲{k}有限公司】与测试乙{k}有限公司确认。", "由【主体A】与【主体B】确认。"),
+    ("E8", "另见测试丙 {k}中 心。", "另见【相关主体】。"),
+]
+AMOUNT_LINES = [("V5", "费用为{k}元，税率为6%。", "费用为{k}元，税率为X%。"), ("V5", "押付USD 3000，共30天。", "押付USD 3000，共X天。")]
+
+
+def _rendered(spark, sf_dir, head: str, lines: list[tuple[str, str, str]]):
+    text = head + "".join("\n" + line for _, line, _ in lines)
+    c = spread(table(spark, sf_dir, "customer"))
+    return c.select(F.col("c_custkey").alias("doc_id"), F.replace(F.lit(text), F.lit("{k}"), _digits(F.col("c_custkey"), 6)).alias("text"))
+
+
+def _rendered_sql(head: str, lines: list[tuple[str, str, str]]) -> str:
+    want = (head + "".join("\n" + shown for _, _, shown in lines)).replace("'", "''")
+    return f"SELECT c_custkey AS doc_id, replace('{want}', '{{k}}', lpad(c_custkey::VARCHAR, 6, '0')) AS redacted FROM customer"
+
+
+def redact_rules(spark, sf_dir):
+    """Every pattern, field and person rule on a line of its own."""
+    return redact.redact(_rendered(spark, sf_dir, "技术开发合同", RULE_LINES)).select("doc_id", "redacted")
+
+
+def redact_roles(spark, sf_dir):
+    """Declared roles, related entities, mentions in brackets and with blanks."""
+    return redact.redact(_rendered(spark, sf_dir, "测试文件", ROLE_LINES)).select("doc_id", "redacted")
+
+
+def keep_amounts(spark, sf_dir):
+    """Amounts kept; text taken from PDF is headed by its warnings."""
+    docs = _rendered(spark, sf_dir, "测试文件", AMOUNT_LINES).withColumns({"source_format": F.lit("pdf"), "warnings": F.array(F.lit("甲"), F.lit("乙"))})
+    return redact.redact(docs, keep_amounts=True).select("doc_id", "redacted")
+
+
+def manual_types(spark, sf_dir):
+    """A label typed in by hand stands for the headings; the prompt and file name follow it."""
+    manual = F.lit("专项授权委托书")
+    kind = classify.document_type(F.col("text"), manual)
+    docs = _rendered(spark, sf_dir, "技术开发合同", AMOUNT_LINES)
+    return docs.select("doc_id", kind.alias("doc_type"), classify.type_name(F.col("text"), kind, manual).alias("type_name"), reports.analysis_prompt(kind).alias("prompt"), reports.export_name(kind, F.lit(True)).alias("export_name"))
+
+
+MANUAL_SQL = f"""SELECT c_custkey AS doc_id, 'mandate' AS doc_type, '专项授权委托书' AS type_name,
+  '{fixed.PROMPT[0]}委托书{fixed.PROMPT[1]}{fixed.FOCUS["mandate"]}{fixed.PROMPT[2]}' AS prompt, '委托书_PDF文字提取_脱敏版.md' AS export_name FROM customer"""
+
 # --- spans from lineitem ------------------------------------------------------------------------------
 
 _CATS = ("amount", "phone", "date", "person", "percentage", "duration", "numericSpec")
@@ -153,7 +263,7 @@ def resolve_spans(spark, sf_dir):
 
 _SPAN_SQL = f"""
 s AS (SELECT l_orderkey AS doc_id, (l_suppkey % 50)::INTEGER AS st, (l_suppkey % 50)::INTEGER + l_quantity::INTEGER AS en, l_linenumber, l_partkey,
-  {list(_CATS)}[(l_linenumber - 1) % 7 + 1] AS cat, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS seq FROM lineitem),
+  {list(_CATS)}[(l_linenumber - 1) % 7 + 1] AS cat, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, st, en) AS seq FROM lineitem),
 o AS (SELECT doc_id, list({{'st': st, 'en': en, 'cat': cat}} ORDER BY st, en DESC, CASE cat {' '.join(f"WHEN '{c}' THEN {fixed.PRIORITY[c]}" for c in _CATS)} END DESC, seq) AS l FROM s GROUP BY doc_id),
 t AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN x.st >= a.e THEN {{'e': x.en, 'n': list_append(a.n, x)}} ELSE a END, {{'e': 0, 'n': l[1:0]}}).n AS taken FROM o)"""
 RESOLVE_SQL = f"WITH {_SPAN_SQL} SELECT doc_id, array_to_string(list_transform(taken, lambda x: x.st || '-' || x.en || '-' || x.cat), ',') AS taken FROM t"
@@ -184,6 +294,17 @@ def batch_toggle(spark, sf_dir):
     return review.match_rows(docs).groupBy("doc_id").agg(F.count_if(~F.col("selected")).alias("n_kept"))
 
 
+def select_all(spark, sf_dir):
+    rows = review.match_rows(review.all_selected(reviewed(spark, sf_dir)))
+    return rows.groupBy("doc_id").agg(F.count_if("selected").alias("n_selected"), F.count("*").alias("n_matches"))
+
+
+def export_notes(spark, sf_dir):
+    """The summary of an export and the note on retained risks."""
+    docs = review.high_risk_kept(reviewed(spark, sf_dir)).withColumn("pdf", F.col("doc_id") % 2 == 0)
+    return docs.select("doc_id", reports.export_summary(F.col("high_risk_kept"), F.col("pdf")).alias("summary"), reports.risk_note(F.col("high_risk_kept")).alias("note"))
+
+
 def risk_retained(spark, sf_dir):
     return review.high_risk_kept(reviewed(spark, sf_dir))
 
@@ -218,7 +339,10 @@ def _md5_id(column):
 
 
 def history_records(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+    return history_rows(table(spark, sf_dir, "events"))
+
+
+def history_rows(e):
     cat = F.element_at(F.array(*map(F.lit, ("amount", "phone", "nope", "date"))), (F.col("event_id") % 4 + 1).cast("int"))
     count = lambda c, n: F.struct(c.alias("category"), n.cast("double").alias("replaced"), F.lit(1.0).alias("kept"))
     return e.select(
@@ -230,7 +354,10 @@ def history_records(spark, sf_dir):
 
 def clean_history(spark, sf_dir):
     now = table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("t")).first()["t"]
-    done = history.cleaned(history_records(spark, sf_dir), F.lit(now))
+    return history_shown(history.cleaned(history_records(spark, sf_dir), F.lit(now)))
+
+
+def history_shown(done):
     replaced, kept = history.totals(F.col("counts"))
     names = F.array_join(F.transform("counts", lambda c: c["category"]), ",")
     return done.select("client_id", "id", "pos", names.alias("categories"), replaced.alias("replaced"), kept.alias("kept"))
@@ -247,6 +374,20 @@ SELECT client_id, id, pos,
   1 + CASE WHEN pos % 4 = 2 OR pos % 9 = 0 THEN 0 ELSE 1 END AS kept FROM t"""
 
 
+def history_deleted(spark, sf_dir):
+    """Records without those deleted one by one, cleared clients and clients that opted out."""
+    records = history_records(spark, sf_dir)
+    gone = records.filter("pos % 5 = 0").select("client_id", "id").unionByName(records.filter("client_id = 3").select("client_id", F.lit(None).cast("string").alias("id")))
+    opted_in = records.filter("client_id <> 4").select("client_id").distinct()
+    return history.deleted(records, gone, opted_in).select("client_id", "id", "pos")
+
+
+HISTORY_DELETED_SQL = """
+WITH e AS (SELECT event_id AS pos, user_id % 7 AS client_id, md5((event_id % 3001)::VARCHAR) AS h FROM events),
+v AS (SELECT client_id, 'JQ-' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS id, pos FROM e)
+SELECT client_id, id, pos FROM v WHERE client_id NOT IN (3, 4) AND (client_id, id) NOT IN (SELECT (client_id, id) FROM v WHERE pos % 5 = 0)"""
+
+
 def run_history(spark, sf_dir):
     rows = history.run_counts(review.match_rows(reviewed(spark, sf_dir)))
     return rows.select("doc_id", F.array_join(F.transform("counts", lambda c: F.concat_ws(":", c["category"], c["replaced"].cast("string"), c["kept"].cast("string"))), ",").alias("counts"))
@@ -276,16 +417,40 @@ p AS (SELECT doc_id, u.page::INTEGER AS page, string_agg(u.s, '') AS t FROM l GR
 SELECT doc_id, page, length(regexp_replace(t, '\s', '', 'g')) AS n_chars, n_chars = 0 AS is_empty, n_chars BETWEEN 1 AND 29 AS is_sparse, false AS is_faulty FROM p"""
 
 
+def _page_counts(items):
+    """Documents with an odd id have one page more than their items tell."""
+    return items.groupBy("doc_id").agg((F.max("page") + F.max(F.col("doc_id") % 2)).cast("int").alias("n_pages"))
+
+
 def assemble_pages(spark, sf_dir):
-    done = assemble.assembled(assemble.page_texts(text_items(spark, sf_dir)))
-    return done.select("doc_id", F.size("warnings").cast("long").alias("n_warnings"), "reject_reason", F.size(F.split("text", "## PDF 第 ")).cast("long").alias("n_parts"))
+    items = text_items(spark, sf_dir)
+    done = assemble.assembled(assemble.page_texts(items), _page_counts(items))
+    return done.select("doc_id", F.sha2(F.array_join("warnings", "\n"), 256).alias("warnings_sha256"), "reject_reason", F.sha2("text", 256).alias("text_sha256"))
+
+
+_PAGES_SQL = r"""
+l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'s': trim(regexp_replace(x, ' +', ' ', 'g'), ' '), 'i': i, 'page': (i - 1) // 20 + 1})) AS u FROM documents),
+q AS (SELECT doc_id, u.page AS page, string_agg(u.s, chr(10) ORDER BY u.i) FILTER (u.s <> '') AS t FROM l GROUP BY ALL),
+r AS (SELECT doc_id, unnest(range(1, max(page) + 1 + doc_id % 2)) AS page FROM q GROUP BY doc_id),
+p AS (SELECT doc_id, page, coalesce(t, '') AS t, length(regexp_replace(coalesce(t, ''), '\s', '', 'g')) AS n FROM r LEFT JOIN q USING (doc_id, page))"""
+ASSEMBLE_SQL = f"""
+WITH {_PAGES_SQL},
+d AS (SELECT doc_id, count(*) AS pages, sum(n) AS chars, string_agg('## PDF 第 ' || page || e' 页\\n\\n' || CASE WHEN t = '' THEN '{fixed.EMPTY_PAGE}' ELSE t END, e'\\n\\n' ORDER BY page) AS text,
+  count(*) FILTER (n = 0) AS n_empty, string_agg(page::VARCHAR, '、' ORDER BY page) FILTER (n = 0) AS empty, string_agg(page::VARCHAR, '、' ORDER BY page) FILTER (n BETWEEN 1 AND {fixed.SPARSE_CHARS - 1}) AS sparse FROM p GROUP BY doc_id)
+SELECT doc_id, sha256('{fixed.PDF_NOTICE}' || e'\\n共 ' || pages || ' 页，其中 ' || (pages - n_empty) || ' 页提取到文字；提取到文字不代表该页内容完整。'
+  || coalesce(e'\\n第 ' || empty || ' 页没有提取到文字，已在稿内标记，请勿将缺失内容理解为原文未载明。', '') || coalesce(e'\\n第 ' || sparse || ' 页提取文字很少，可能仅有页码或标题，请检查扫描内容是否遗漏。', '')) AS warnings_sha256,
+  CASE WHEN pages > {fixed.PDF_PAGES} THEN 'too many pages' WHEN chars > {fixed.PDF_CHARS} THEN 'too many characters' WHEN chars = 0 THEN 'no text' END AS reject_reason, sha256(text) AS text_sha256 FROM d"""
+
+
+def scanned_pages(spark, sf_dir):
+    """Documents of pages without any text, some of them with a broken character."""
+    c = table(spark, sf_dir, "customer")
+    items = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("doc_id"), F.lit(2).alias("page"), F.lit(0).alias("item_no"), F.when(F.col("c_custkey") % 6 == 0, "a\uFFFD").alias("str"), *[F.lit(0.0).alias(x) for x in ("x", "y", "width", "height")], F.lit(False).alias("has_eol"))
+    done = assemble.assembled(assemble.page_texts(items), c.select(F.col("c_custkey").alias("doc_id"), F.lit(3).alias("n_pages")))
+    return done.select("doc_id", F.size("warnings").cast("long").alias("n_warnings"), "reject_reason")
 
 
-ASSEMBLE_SQL = r"""
-WITH l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'s': x, 'page': (i - 1) // 20 + 1})) AS u FROM documents),
-p AS (SELECT doc_id, u.page AS page, length(regexp_replace(string_agg(u.s, ''), '\s', '', 'g')) AS n FROM l GROUP BY ALL)
-SELECT doc_id, 2 + bool_or(n = 0)::BIGINT + bool_or(n BETWEEN 1 AND 29)::BIGINT AS n_warnings,
-  CASE WHEN count(*) > 200 THEN 'too many pages' WHEN sum(n) > 1000000 THEN 'too many characters' WHEN sum(n) = 0 THEN 'no text' END AS reject_reason, count(*) + 1 AS n_parts FROM p GROUP BY doc_id"""
+SCANNED_SQL = "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 6 = 0 THEN 4 ELSE 3 END AS n_warnings, CASE WHEN c_custkey % 6 = 0 THEN 'fault on page 2' ELSE 'no text' END AS reject_reason FROM customer"
 
 
 def order_tables(spark, sf_dir):
@@ -293,7 +458,7 @@ def order_tables(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem")
     cell = lambda c: F.array(F.concat(F.lit(" "), c, F.lit(" ")), F.lit(" "), F.lit("a|b"))
     row = F.when(F.col("l_linenumber") % 2 == 1, F.array(cell(F.col("l_partkey").cast("string")), cell(F.col("l_returnflag")))).otherwise(F.array(cell(F.col("l_partkey").cast("string"))))
-    t = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("r")))).alias("rs"))
+    t = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", row.alias("r")))).alias("rs"))
     body = t.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("part_no"), F.lit(1).alias("block_no"), F.lit("tbl").alias("kind"), F.lit(None).cast("string").alias("style"), F.lit(None).cast("string").alias("text"), F.transform("rs", lambda r: r["r"]).alias("rows"))
     head = t.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("part_no"), F.lit(0).alias("block_no"), F.lit("p").alias("kind"), F.lit("Heading2").alias("style"), F.lit(" Order ").alias("text"), F.lit(None).cast("array<array<array<string>>>").alias("rows"))
     foot = t.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("part_no"), F.lit(0).alias("block_no"), F.lit("p").alias("kind"), F.lit(None).cast("string").alias("style"), F.lit("foot").alias("text"), F.lit(None).cast("array<array<array<string>>>").alias("rows"))
@@ -301,7 +466,7 @@ def order_tables(spark, sf_dir):
 
 
 ORDER_TABLES_SQL = r"""
-WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, bool_or(l_linenumber % 2 = 1) OVER (PARTITION BY l_orderkey) AS wide,
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS i, bool_or(l_linenumber % 2 = 1) OVER (PARTITION BY l_orderkey) AS wide,
   '| ' || l_partkey || '；a\|b' || CASE WHEN l_linenumber % 2 = 1 THEN ' | ' || l_returnflag || '；a\|b' WHEN wide THEN ' | ' ELSE '' END || ' |' AS line FROM lineitem)
 SELECT l_orderkey AS doc_id, e'## Order\n\n' || max(line) FILTER (i = 1) || chr(10) || CASE WHEN bool_or(wide) THEN '| --- | --- |' ELSE '| --- |' END
   || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY i) FILTER (i > 1), '') || e'\n\n---\n\n> 页眉或页脚内容\n\nfoot' AS text FROM r GROUP BY l_orderkey"""
@@ -325,19 +490,37 @@ SELECT doc_id, CASE WHEN count(DISTINCT k) < count(*) THEN 'duplicate names' WHE
 # --- streaming ---------------------------------------------------------------------------------------
 
 
+def _shared(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def stream_redact(spark, sf_dir):
-    """Documents replayed as a stream through the redaction plan's mail and phone rules; read back."""
+    """Documents replayed as a stream through the whole redaction plan; read back."""
     from ..streaming import jobs
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    out = f"{base.rstrip('/')}/stream-{spark.sql('SELECT uuid()').first()[0]}"
+    out = _shared(spark)
     docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
-    done = jobs.redact_stream(docs, rules=[r for r in fixed.DETECTORS if r[0] in ("D01", "D02")], fields=None, parties=False, persons=False)
+    done = jobs.redact_stream(docs)
     query = done.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.sha2("redacted", 256).alias("redacted_sha256")).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
 
+def stream_history(spark, sf_dir):
+    """Records replayed as a stream into the stored history; read back."""
+    from ..streaming import jobs
+
+    out = _shared(spark)
+    events = table(spark, sf_dir, "events")
+    now = F.lit(events.agg(F.max("ts").cast("timestamp").alias("t")).first()["t"])
+    query = jobs.maintain_history(history_rows(spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")), f"{out}/history", now)
+    query.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return history_shown(jobs.stored_history(spark, f"{out}/history", now))
+
+
 QUERIES = {
     "redact_documents": redact_documents,
     "redact_contracts": redact_contracts,
@@ -363,6 +546,15 @@ QUERIES = {
     "order_tables": order_tables,
     "packages": packages,
     "stream_redact": stream_redact,
+    "stream_history": stream_history,
+    "redact_rules": redact_rules,
+    "redact_roles": redact_roles,
+    "keep_amounts": keep_amounts,
+    "manual_types": manual_types,
+    "select_all": select_all,
+    "export_notes": export_notes,
+    "history_deleted": history_deleted,
+    "scanned_pages": scanned_pages,
 }
 ORACLE = {
     "redact_contracts": REDACT_CONTRACTS_SQL,
@@ -387,5 +579,14 @@ ORACLE = {
     "assemble_pages": ASSEMBLE_SQL,
     "order_tables": ORDER_TABLES_SQL,
     "packages": PACKAGES_SQL,
+    "stream_history": CLEAN_HISTORY_SQL,
+    "redact_rules": _rendered_sql("技术开发合同", RULE_LINES),
+    "redact_roles": _rendered_sql("测试文件", ROLE_LINES),
+    "keep_amounts": _rendered_sql("> 甲\n> 乙\n\n测试文件", AMOUNT_LINES),
+    "manual_types": MANUAL_SQL,
+    "select_all": f"WITH {_REVIEW_SQL} SELECT doc_id, count(*) AS n_selected, count(*) AS n_matches FROM m GROUP BY doc_id",
+    "export_notes": f"WITH {_REVIEW_SQL}, k AS (SELECT doc_id, count(*) FILTER (NOT selected AND category IN ({_HIGH})) AS n FROM m GROUP BY doc_id) SELECT doc_id, '已处理 ' || n || CASE WHEN doc_id % 2 = 0 THEN ' 处候选信息。导出仅包含 PDF 提取文字的脱敏稿，不代表原 PDF 已脱敏或内容完整。' ELSE ' 处候选信息，输出文件只包含脱敏后的文本内容。' END AS summary, CASE WHEN n > 0 THEN '你保留了 ' || n || ' 处高风险信息。仍可导出，但请确认这些内容可以提交给大模型。' ELSE '' END AS note FROM k",
+    "history_deleted": HISTORY_DELETED_SQL,
+    "scanned_pages": SCANNED_SQL,
 }
 

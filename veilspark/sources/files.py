@@ -13,10 +13,24 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators.assemble import NEEDED
 from ..operators.history import RECORD
+from ..operators.reports import export_name
 
+ITEMS = "doc_id long, page int, item_no int, str string, x double, y double, width double, height double, has_eol boolean"
+REPORT_NAME = "文档_脱敏报告.md"
+ENTRIES = "path string, entry_no int, name string, declared_bytes long"
 BLOCKS = "path string, part_no int, block_no int, kind string, style string, text string, rows array<array<array<string>>>, problem string"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the files have fewer filled splits than there are cores; others stay as they lie.
+
+    For row-local jobs whose work on a row is large against its size. Only the splits' row counts are looked at.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    filled = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).count()
+    return rows.repartition(4 * cores) if filled < cores else rows
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """file_name, n_bytes, text of Markdown files, one document a file."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("n_bytes"), F.col("value").alias("text"))
@@ -37,6 +51,8 @@ def _blocks(raw: bytes):
     with zipfile.ZipFile(io.BytesIO(raw)) as package:
         if len(package.infolist()) > fixed.ENTRIES:
             raise ValueError("too many entries")
+        if len(set(package.namelist())) < len(package.infolist()):
+            raise ValueError("duplicate names")
         names = [n for n in package.namelist() if re.match(NEEDED, n)]
         if "word/document.xml" not in names:
             raise ValueError("no body")
@@ -71,12 +87,46 @@ def read_docx_blocks(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((path_, None, None, None, None, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["path", "part_no", "block_no", "kind", "style", "text", "rows", "problem"])
 
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= fixed.MARKDOWN_BYTES)
-    return files.select("path", "content").mapInPandas(run, BLOCKS)
+    large, small = _packages(spark, path)
+    return small.select("path", "content").mapInPandas(run, BLOCKS).unionByName(large.select("path", F.lit("too many bytes").alias("problem")), allowMissingColumns=True)
+
+
+def _packages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Packages over the byte limit, whose contents are not read, and the others."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.filter(F.col("length") > fixed.MARKDOWN_BYTES), files.filter(F.col("length") <= fixed.MARKDOWN_BYTES)
+
+
+def read_package_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Directory entries of office packages, for their admission and content warnings; none of what is no package."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for path_, raw in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(raw)) as package:
+                        rows += [(path_, i, x.filename, x.file_size) for i, x in enumerate(package.infolist())]
+                except zipfile.BadZipFile:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "entry_no", "name", "declared_bytes"])
+
+    return _packages(spark, path)[1].select("path", "content").mapInPandas(run, ENTRIES)
+
+
+def read_text_items(spark: SparkSession, path: str) -> DataFrame:
+    """Extracted PDF text items (JSON lines), one row an item."""
+    return spark.read.schema(ITEMS).json(path)
+
+
+def write_redacted(docs: DataFrame, path: str, is_pdf: bool = False) -> None:
+    """Redacted documents with their file names, by type."""
+    docs.withColumn("file_name", export_name(F.col("doc_type"), F.lit(is_pdf))).write.mode("overwrite").partitionBy("doc_type").parquet(path)
 
 
-def write_redacted(docs: DataFrame, path: str) -> None:
-    docs.write.mode("overwrite").partitionBy("doc_type").parquet(path)
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Reports (doc_id, report), a text column for each document."""
+    reports.select("doc_id", F.lit(REPORT_NAME).alias("file_name"), "report").write.mode("overwrite").parquet(path)
 
 
 def write_history(records: DataFrame, path: str) -> None:
