@@ -115,7 +115,7 @@ def test_substring_windows_by_brute_force(spark):
         at = int(rng.integers(0, 50))
         texts.append(" ".join(words[:at] + passage[int(rng.integers(0, 20)) : 60 - int(rng.integers(0, 15))] + words[at:]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for hot in (1, 1000):
+    for hot in (1, 20_000):
         got = {r.doc_id: r.kept_text for r in substring_dedup.substring_dedup(docs, hot=hot).collect()}
         seen = set()
         for i, text in enumerate(texts):
@@ -129,6 +129,33 @@ def test_substring_windows_by_brute_force(spark):
             assert got[i] == " ".join(w for w, g in zip(words, gone, strict=True) if not g)
 
 
+def test_substring_words_of_equal_low_hashes_differ(spark):
+    """Two words whose hashes agree in their low 32 bits are two words."""
+    words = [f"c{i}" for i in range(19)]
+    texts = [" ".join([*words[:10], "q14145", *words[10:]]), " ".join([*words[:10], "q21754", *words[10:]]), " ".join([*words[:10], "q14145", *words[10:]])]
+    got = {r.doc_id: r.removed for r in substring_dedup.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [len(got[i]) for i in range(3)] == [0, 0, 1]
+
+
+def test_substring_windows_on_odd_rows(spark):
+    """Null ids come first, equal rows count as one, a text repeats itself, copies of a hot passage stand in other words."""
+    hot = " ".join(f"h{i}" for i in range(30))
+    rows = [(None, hot), (3, hot), (3, hot), (1, "own " + hot + " end"), (2, None), (4, ""), (5, "a b c " * 20), (6, f"{hot} {hot}"), (9, hot.upper())]
+    rows += [(100 + i, f"x{i} y{i} {hot} z{i}") for i in range(40)]
+    for limit in (2, 20_000):
+        got = sorted(((r.doc_id if r.doc_id is not None else -1, r.n_words, r.kept_text) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=limit).collect()))
+        seen, want = set(), []
+        for doc_id, text in sorted({(-1 if i is None else i, t or "") for i, t in rows}):
+            words = text.split()
+            gone = np.zeros(len(words), dtype=bool)
+            for j in range(len(words) - 19):
+                key = tuple(words[j : j + 20])
+                gone[j : j + 20] |= key in seen
+                seen.add(key)
+            want += [(doc_id, len(words), " ".join(w for w, g in zip(words, gone, strict=True) if not g))] * (2 if doc_id == 3 else 1)
+        assert got == sorted(want)
+
+
 def test_fm_index_counts():
     text = np.random.default_rng(1).integers(1, 4, 500)
     index = FMIndex(text, 5)

@@ -1,6 +1,7 @@
 """An FM-index over byte symbols: Burrows-Wheeler transform in a wavelet matrix, backward search in numpy.
 
-Suffixes are sorted by their first ``depth`` symbols, which is enough for patterns of that length.
+Suffixes are sorted by their first ``depth`` symbols, then by place, which is enough for patterns of that length.
+Of the suffix array only the first place of each pattern of ``depth`` symbols that occurs again is kept.
 """
 
 from __future__ import annotations
@@ -48,28 +49,32 @@ class WaveletMatrix:
         return self._walk(symbol, at) - self.starts[symbol]
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Places of the suffixes, sorted by their first ``depth`` symbols at least, then by place."""
+def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the suffixes, sorted by their first ``depth`` symbols, then by place; and which rows begin a new prefix."""
     n, rank, size = len(symbols), symbols.astype(np.int64) + 1, 1
     order = np.argsort(rank, kind="stable")
+    new = np.diff(rank[order], prepend=0) != 0
     while size < depth:
+        step = min(size, depth - size)  # the second half may overlap the first
         after = np.zeros(n, dtype=np.int64)
-        after[: max(0, n - size)] = rank[size:]
+        after[: max(0, n - step)] = rank[step:]
         key = rank * (int(rank.max(initial=0)) + 1) + after
         order = np.argsort(key, kind="stable")
-        rank[order] = np.concatenate(([1], 1 + np.cumsum(np.diff(key[order]) != 0)))
-        size *= 2
-    return order
+        new = np.diff(key[order], prepend=-1) != 0
+        rank[order] = np.cumsum(new)
+        size += step
+    return order, new
 
 
 class FMIndex:
     def __init__(self, symbols: np.ndarray, depth: int):
         symbols = np.append(symbols, 0)  # the end is a symbol that no pattern holds
-        self.places = suffix_order(symbols, depth)
-        last = symbols[self.places - 1]
-        self.matrix = WaveletMatrix(last)
+        order, new = suffix_order(symbols, depth)
+        self.matrix = WaveletMatrix(symbols[order - 1])
         self.first = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=1 << LEVELS))))
         self.n = len(symbols)
+        again = new & ~np.append(new[1:], True)
+        self.again, self.places = RankBits(again), order[again].astype(np.int32)
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of patterns, one a row, all extended to the left together."""
@@ -81,10 +86,8 @@ class FMIndex:
         return low, high
 
     def earliest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The first place of each interval's occurrences; intervals of patterns of one length."""
-        starts, at = np.unique(low, return_inverse=True)
-        ends = np.empty(len(starts), dtype=np.int64)
-        ends[at] = high
-        places = np.append(self.places, self.n)
-        bounds = np.stack((starts, ends), 1).ravel()
-        return np.minimum.reduceat(places, bounds)[::2][at]
+        """The first place of intervals of patterns of ``depth`` symbols; -1 where there is one occurrence or none."""
+        out = np.full(len(low), -1, dtype=np.int64)
+        several = np.flatnonzero(high - low > 1)
+        out[several] = self.places[self.again.rank(low[several])]
+        return out

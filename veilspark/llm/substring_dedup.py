@@ -2,14 +2,16 @@
 
 A window is ``WINDOW`` consecutive words. Its anchor is its least run of ``RUN`` words by hash, so
 equal windows have equal anchors. Windows in a row with one anchor are a passage. Anchors are counted
-over all texts; passages of anchors that occur once cannot repeat. The others are cut out, passages of
-equal words are merged (the first one stays), and what is left goes to shards by anchor. Passages of
-an anchor with very many occurrences are cut into single windows and sharded by these, so that no
-shard grows with one passage that many documents hold. Each shard has an FM-index of its passages, over
-bytes of word hashes, and streams their windows through it by backward search; a window is reported if
-an earlier place holds the same words, which is confirmed on the words' hashes.
+over all texts; passages of anchors that occur once cannot repeat. The others are cut out as words, equal
+ones are combined before they are shuffled (the first place is kept), and go to shards by anchor. Each shard has
+a compressed FM-index of its passages over bytes of word numbers, and streams their windows through it by
+backward search: a window's matching statistic reaches the window's length where the interval holds more than the
+window itself, and the interval's first place tells whether that was earlier. Equal bytes are
+confirmed on the words. Every copy of a passage takes its windows from the passage's report.
 
-``HOT`` only chooses between the two ways of sharding; both give the same windows.
+Passages of an anchor with more than ``HOT`` different ones are cut into single windows, which go to shards by
+their content, so that no shard grows with an anchor; their reports are put together again. Both ways give
+the same windows.
 
 Defined cases: null text has no words; documents are ordered by id, nulls first, then by a hash of the
 text; rows that agree in id and text count as one document and are reported each; an empty table
@@ -18,18 +20,20 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, scratch, text_of
+from .common import documents, scratch, text_of, text_slices
 from .fm_index import FMIndex
-from .shingles import WordHashes, grams
+from .shingles import WordHashes, grams, mixed
 
-WINDOW, RUN, HOT = 20, 6, 1000
+WINDOW, RUN, HOT = 20, 6, 20_000
 SHARD_SYMBOLS = 1_000_000
 
 
@@ -59,50 +63,48 @@ def _passages(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_of(text_col)).alias("kt"), text_of(text_col).alias("t"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("kt"), text_of(text_col).alias("t"))
 
 
-def repeated_anchors(texts: DataFrame, window: int, run: int) -> DataFrame:
-    """anchor, n of the anchors that occur at least twice."""
+SPOTS = "array<struct<anchor:long,first:int,n:int>>"
 
-    def count(batches):
-        words = WordHashes()
-        for batch in batches:
-            found = [np.zeros(0, dtype=np.uint64)]
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                at, g = _anchors(words.of(text.split()), window, run)
-                found.append(g[at[_passages(at)[0]]])
-            anchors, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchors.view(np.int64)), "n": pa.array(n)})
 
-    return texts.select("t").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
+def anchors(texts: DataFrame, window: int, run: int) -> DataFrame:
+    """row (a number of its own), doc_id, kt, spots (anchor, first window and windows of each passage)."""
 
+    def find(batches):
+        words, row = WordHashes(), TaskContext.get().partitionId() << 33
+        for batch in text_slices(batches):
+            none = np.zeros(0, dtype=np.int64)
+            anchor, first, n, sizes = [none], [none], [none], [0]
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                at, g = _anchors(words.of(text.split()), window, run)
+                f, k = _passages(at)
+                anchor.append(g[at[f]].view(np.int64))
+                first.append(f)
+                n.append(k)
+                sizes.append(len(f))
+            cols = [pa.array(np.concatenate(c), t) for c, t in ((anchor, pa.int64()), (first, pa.int32()), (n, pa.int32()))]
+            spots = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.StructArray.from_arrays(cols, ["anchor", "first", "n"]))
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(batch.num_rows)), batch.column(0), batch.column(1), spots], ["row", "doc_id", "kt", "spots"])
+            row += batch.num_rows
 
-def suspects(texts: DataFrame, window: int, run: int, hot: int) -> DataFrame:
-    """doc_id, kt, places: first windows of the passages with repeated anchors (negative, less one: hot)."""
+    return texts.mapInArrow(find, f"row long, doc_id long, kt long, spots {SPOTS}")
 
-    def list_(batches):
-        words = WordHashes()
-        for batch in batches:
-            cols = [[], [], [], []]
-            for doc_id, kt, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                at, g = _anchors(words.of(text.split()), window, run)
-                first = _passages(at)[0]
-                cols[0].append(g[at[first]].view(np.int64))
-                cols[1] += [doc_id] * len(first)
-                cols[2].append(np.full(len(first), kt, dtype=np.int64) << 32 | first)
-            yield pa.RecordBatch.from_pydict({"anchor": pa.array(np.concatenate([np.zeros(0, np.int64), *cols[0]])), "doc_id": pa.array(cols[1], pa.int64()), "at": pa.array(np.concatenate([np.zeros(0, np.int64), *cols[2]]))})
 
-    every = texts.mapInArrow(list_, "anchor long, doc_id long, at long")
-    found = every.join(repeated_anchors(texts, window, run), "anchor")
-    place = F.col("at").bitwiseAND(0xFFFFFFFF)
-    marked = F.when(F.col("n") > hot, -place - 1).otherwise(place).cast("int")
-    return found.select("doc_id", F.shiftright("at", 32).cast("int").alias("kt"), marked.alias("place")).groupBy("doc_id", "kt").agg(F.collect_set("place").alias("places"))
+def suspects(found: DataFrame) -> DataFrame:
+    """doc_id, kt, spots: the passages whose anchors occur more than once, a row for each different document."""
+    each = found.select("row", F.explode("spots").alias("s")).select("row", "s.anchor", "s.first", "s.n")
+    # Stored, so that the join shuffles both sides for itself and can split what one anchor holds.
+    repeated = scratch(each.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "repeated")
+    spots = each.join(repeated, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("spots"))
+    one = found.groupBy("doc_id", "kt").agg(F.min("row").alias("row"))
+    return one.join(spots, "row").select("doc_id", "kt", "spots")
 
 
 def _with_texts(texts: DataFrame, more: DataFrame, how: str) -> DataFrame:
     """Texts beside what is known of their documents; texts travel compressed."""
-    packed = texts.select("doc_id", "kt", F.col("t").cast("binary").alias("t")).mapInArrow(_squeeze, "doc_id long, kt int, z binary")
+    packed = texts.select("doc_id", "kt", F.col("t").cast("binary").alias("t")).mapInArrow(_squeeze, "doc_id long, kt long, z binary")
     more = more.withColumnsRenamed({"doc_id": "id", "kt": "k"})
     return packed.join(more, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("kt") == F.col("k")), how).drop("id", "k")
 
@@ -115,55 +117,60 @@ def _squeeze(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress(t) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "kt", "z"])
 
 
-def _spans(words: WordHashes, tokens: list[bytes], places: list[int], window: int, run: int):
-    """(first window, windows, anchor, hot, hashes) of the marked passages of a text."""
-    hashes = words.of(tokens)
-    at, g = _anchors(hashes, window, run)
-    size = dict(zip(*map(np.ndarray.tolist, _passages(at)), strict=True))
-    for mark in places:
-        first = -mark - 1 if mark < 0 else mark
-        yield first, size[first], int(g[at[first]].view(np.int64)), mark < 0, hashes
+PASSAGE = "route long, digest binary, words binary, doc_id long, kt long, first int, n int"
+PASSAGE_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+
+def _batch(rows: list[list], types, names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], [x.split()[0] for x in names.split(", ")])
 
 
-def passages(texts: DataFrame, marked: DataFrame, window: int, run: int) -> DataFrame:
-    """route, words (32-bit hashes), doc_id, kt, first, windows."""
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def passages(texts: DataFrame, marked: DataFrame, window: int) -> DataFrame:
+    """The marked passages of all texts: route (the anchor), digest, words (joined by a blank), doc_id, kt, first, n."""
 
     def cut(batches):
         import zstandard
 
-        words, unpress = WordHashes(), zstandard.ZstdDecompressor()
+        unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = [[] for _ in range(6)]
-            for doc_id, kt, z, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for first, n, anchor, hot, hashes in _spans(words, unpress.decompress(z).split(), places, window, run):
-                    short = hashes[first : first + n + window - 1].astype(np.uint32)
-                    parts = [(first + i, 1, short[i : i + window].tobytes()) for i in range(n)] if hot else [(first, n, short.tobytes())]
-                    for f, k, content in parts:
-                        route = xxhash.xxh3_64_intdigest(content) - (1 << 63) if hot else anchor
-                        for col, v in zip(rows, (route, content, doc_id, kt, f, k), strict=True):
-                            col.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["route", "words", "doc_id", "kt", "first", "windows"])
-
-    return _with_texts(texts, marked, "inner").select("doc_id", "kt", "z", "places").mapInArrow(cut, "route long, words binary, doc_id long, kt int, first int, windows int")
-
-
-def repeats_in_shard(contents: list[np.ndarray], window: int) -> list[np.ndarray]:
+            rows = [[] for _ in PASSAGE_TYPES]
+            for doc_id, kt, z, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = unpress.decompress(z).split()
+                for s in spots:
+                    words = b" ".join(tokens[s["first"] : s["first"] + s["n"] + window - 1])
+                    for col, v in zip(rows, (s["anchor"], _digest(words), words, doc_id, kt, s["first"], s["n"]), strict=True):
+                        col.append(v)
+            yield _batch(rows, PASSAGE_TYPES, PASSAGE)
+
+    return _with_texts(texts, marked, "inner").select("doc_id", "kt", "z", "spots").mapInArrow(cut, PASSAGE)
+
+
+def repeats_in_shard(contents: list[bytes], window: int) -> list[np.ndarray]:
     """For passages in document order, the windows of each whose words occur earlier."""
-    lengths = np.array([len(c) for c in contents])
+    numbers: dict[bytes, int] = {}
+    split = [c.split() for c in contents]
+    lengths = np.array([len(c) for c in split])
     starts = np.cumsum(lengths + 1) - lengths - 1
-    flat = np.concatenate([np.append(c, np.uint32(0)) for c in contents])
-    symbols = (1 + flat % 255).astype(np.int64)
-    symbols[starts + lengths] = 0
+    flat = np.zeros(int(lengths.sum()) + len(split), dtype=np.int64)
+    inner = np.ones(len(flat), dtype=bool)
+    inner[starts + lengths] = False
+    flat[inner] = np.fromiter((numbers.setdefault(w, len(numbers)) for c in split for w in c), dtype=np.int64, count=int(lengths.sum()))
+    del split
+    symbols = np.where(inner, 1 + (mixed(flat.view(np.uint64)) % np.uint64(255)).astype(np.int64), 0)
     index = FMIndex(symbols, window)
-    owner = np.repeat(np.arange(len(contents)), lengths - window + 1)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(lengths - window + 1) - (lengths - window + 1), lengths - window + 1)
+    sizes = lengths - window + 1
+    owner = np.repeat(np.arange(len(contents)), sizes)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = starts[owner] + inside
     earliest = np.empty(len(at), dtype=np.int64)
     for a in range(0, len(at), 1 << 17):
         part = at[a : a + (1 << 17)]
         earliest[a : a + (1 << 17)] = index.earliest(*index.search(symbols[part[:, None] + np.arange(window)]))
-    repeated = earliest < at
+    repeated = (earliest >= 0) & (earliest < at)
     # Equal bytes are not yet equal words.
     unsure = np.flatnonzero(repeated)
     differ = np.zeros(len(unsure), dtype=bool)
@@ -179,75 +186,114 @@ def repeats_in_shard(contents: list[np.ndarray], window: int) -> list[np.ndarray
     return [inside[a:b][repeated[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def first_passages(found: DataFrame, window: int) -> DataFrame:
-    """doc_id, kt, first, repeated: the passages not repeated as a whole, with their windows that are."""
-    merged = found.groupBy("route", "words").agg(F.min(F.struct("doc_id", "kt", "first")).alias("at"))
-    routed = merged.select("route", "words", "at.*").repartition("route").sortWithinPartitions("route", "doc_id", "kt", "first")
+REPORT = "route long, digest binary, doc_id long, kt long, first int, n int, repeated array<int>"
+REPORT_TYPES = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+
+
+def shard_reports(distinct: DataFrame, window: int) -> DataFrame:
+    """Of different passages (PASSAGE, at their first places) the windows that occur earlier in their shard."""
 
     def shards(batches):
         held, size, route = [], 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != route:
-                    if size > SHARD_SYMBOLS:
-                        yield done(held)
-                        held, size = [], 0
-                    route = row[0]
+                if row[0] != route and size > SHARD_SYMBOLS:
+                    yield done(held)
+                    held, size = [], 0
+                route = row[0]
                 held.append(row)
-                size += len(row[1]) // 4
+                size += row[6] + window
         if held:
             yield done(held)
 
     def done(rows):
-        routes = np.array([r[0] for r in rows])
-        _, back, n = np.unique(routes, return_inverse=True, return_counts=True)
-        several = np.flatnonzero(n[back] > 1)
-        several = np.array(sorted(several.tolist(), key=lambda i: (rows[i][2] is not None, rows[i][2] or 0, rows[i][3], rows[i][4])), dtype=np.int64)
-        repeated = [[]] * len(rows)
-        if len(several):
-            for i, windows in zip(several.tolist(), repeats_in_shard([np.frombuffer(rows[i][1], dtype=np.uint32) for i in several.tolist()], window), strict=True):
-                repeated[i] = windows.tolist()
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
-        values = ([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], repeated)
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["doc_id", "kt", "first", "repeated"])
+        rows.sort(key=lambda r: (r[3] is not None, r[3] or 0, r[4], r[5]))
+        repeated = repeats_in_shard([r[2] for r in rows], window)
+        cols = [list(c) for c in zip(*rows, strict=True)]
+        return _batch([cols[0], cols[1], *cols[3:], [x.tolist() for x in repeated]], REPORT_TYPES, REPORT)
+
+    return distinct.repartition("route").sortWithinPartitions("route").mapInArrow(shards, REPORT)
+
+
+def _combined(found: DataFrame) -> DataFrame:
+    """Different passages at their first places."""
+    merged = found.groupBy("route", "words").agg(F.min(F.struct("doc_id", "kt", "first")).alias("at"), F.first("digest").alias("digest"), F.first("n").alias("n"))
+    return merged.select("route", "digest", "words", "at.doc_id", "at.kt", "at.first", "n")
+
 
-    return routed.select("route", "words", "doc_id", "kt", "first").mapInArrow(shards, "doc_id long, kt int, first int, repeated array<int>")
+def same_place(a: str, b: str):
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.kt") == F.col(f"{b}.kt")) & (F.col(f"{a}.first") == F.col(f"{b}.first"))
+
+
+def reports(found: DataFrame, window: int, hot: int) -> DataFrame:
+    """For each different passage: its first place and which of its windows occur before that."""
+    distinct = scratch(_combined(found), "distinct")
+    crowded = scratch(distinct.groupBy("route").count().filter(F.col("count") > hot).select("route"), "crowded")
+    if crowded.isEmpty():
+        return shard_reports(distinct, window)
+
+    def windows(batches):
+        for batch in batches:
+            rows = [[] for _ in range(9)]
+            for route, digest, words, doc_id, kt, first, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = words.split()
+                for i in range(n):
+                    part = b" ".join(tokens[i : i + window])
+                    for col, v in zip(rows, (xxhash.xxh3_64_intdigest(part) - (1 << 63), _digest(part), part, doc_id, kt, first + i, 1, route, digest), strict=True):
+                        col.append(v)
+            yield _batch(rows, (*PASSAGE_TYPES, pa.int64(), pa.binary()), PASSAGE + ", of_route long, of_digest binary")
+
+    single = scratch(distinct.join(crowded, "route").mapInArrow(windows, PASSAGE + ", of_route long, of_digest binary"), "windows")
+    told = shard_reports(_combined(single.drop("of_route", "of_digest")), window)
+    met = single.alias("w").join(told.alias("r"), ["route", "digest"])
+    owner = distinct.select(F.col("route").alias("of_route"), F.col("digest").alias("of_digest"), F.col("first").alias("begins"))
+    gone = met.select("w.of_route", "w.of_digest", F.col("w.first").alias("place"), (~same_place("w", "r") | (F.size("r.repeated") > 0)).alias("gone")).filter("gone")
+    gone = gone.join(owner, ["of_route", "of_digest"]).groupBy("of_route", "of_digest").agg(F.collect_list(F.col("place") - F.col("begins")).alias("repeated"))
+    parts = distinct.join(crowded, "route").drop("words").join(gone.withColumnsRenamed({"of_route": "route", "of_digest": "digest"}), ["route", "digest"], "left")
+    parts = parts.withColumn("repeated", F.coalesce("repeated", F.array().cast("array<int>")))
+    return shard_reports(distinct.join(crowded, "route", "left_anti"), window).unionByName(parts)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, removed (ranges of words), kept_text."""
     texts = _texts(docs, id_col, text_col)
-    marked = scratch(suspects(texts, window, run, hot), "suspects")
-    firsts = first_passages(passages(texts, marked, window, run), window)
-    firsts = firsts.groupBy("doc_id", "kt").agg(F.collect_list(F.struct("first", "repeated")).alias("firsts")).withColumnsRenamed({"doc_id": "id", "kt": "k"})
-    known = scratch(marked.join(firsts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("kt") == F.col("k")), "left").select("doc_id", "kt", "places", "firsts"), "known")
+    marked = scratch(suspects(scratch(anchors(texts, window, run), "anchors")), "suspects")
+    found = scratch(passages(texts, marked, window), "passages")
+    told = scratch(reports(found, window, hot), "reports")
+    copies = found.select("route", "digest", "doc_id", "kt", "first").alias("c").join(told.alias("r"), ["route", "digest"])
+    first = same_place("c", "r")
+    gone = copies.filter(~first | (F.size("r.repeated") > 0)).select("c.doc_id", "c.kt", F.struct("c.first", "r.n", F.when(first, F.col("r.repeated")).alias("repeated")).alias("gone"))
+    known = gone.groupBy("doc_id", "kt").agg(F.collect_list("gone").alias("gone"))
 
     def strip(batches):
         import zstandard
 
-        words, unpress = WordHashes(), zstandard.ZstdDecompressor()
+        unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             n_words, removed, kept = [], [], []
-            for z, places, firsts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            for z, gone in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 tokens = unpress.decompress(z).split()
+                n_words.append(len(tokens))
+                if not gone:
+                    removed.append([])
+                    kept.append(b" ".join(tokens))
+                    continue
                 cover = np.zeros(len(tokens) + 1, dtype=np.int64)
-                if places:
-                    stays = {x["first"]: x["repeated"] for x in firsts or ()}
-                    for first, n, _, hot_, _ in _spans(words, tokens, places, window, run):
-                        for part, size in [(first + i, 1) for i in range(n)] if hot_ else [(first, n)]:
-                            gone = stays.get(part)
-                            for i in range(size) if gone is None else gone:
-                                cover[part + i] += 1
-                                cover[part + i + window] -= 1
+                for part in gone:
+                    if part["repeated"] is None:  # a later copy: all its windows have occurred
+                        cover[part["first"]] += 1
+                        cover[part["first"] + part["n"] + window - 1] -= 1
+                    for i in part["repeated"] or ():
+                        cover[part["first"] + i] += 1
+                        cover[part["first"] + i + window] -= 1
                 out = np.cumsum(cover[:-1]) > 0
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], out.astype(np.int8), [0]))))
-                n_words.append(len(tokens))
                 removed.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
-                kept.append(b" ".join([t for t, gone in zip(tokens, out.tolist(), strict=True) if not gone]))
+                kept.append(b" ".join([t for t, o in zip(tokens, out.tolist(), strict=True) if not o]))
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "removed", "kept_text"])
 
-    joined = _with_texts(texts, known, "left").select("doc_id", "z", "places", "firsts")
+    joined = _with_texts(texts, known, "left").select("doc_id", "z", "gone")
     return joined.mapInArrow(strip, "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept_text string")
 
 
