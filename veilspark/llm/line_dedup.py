@@ -1,9 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Documents arrive in batches, largest ids first. A batch's line hashes are one run, sorted by hash.
-Each new batch is anti-joined with the runs so far: hashes that no run holds are added as new
-entries, the others only as counts. When a level has ``FANOUT`` runs they are merged into one run of
-the next level. The runs tell which hashes lie in enough documents. Those few lines are then taken
+Documents arrive in batches, largest ids first. A batch's line hashes are merge-anti-joined with the runs so
+far: a hash that no run holds becomes an entry of the batch's own run, sorted by hash, with its number of rows; for one
+that a run holds the batch only says how often it was seen again. So every hash has one entry in all
+runs. When a level has ``FANOUT`` runs they are compacted into one run of the next level. A hash lies in enough
+rows if its entry tells so by itself, or together with what was seen again. Those few lines are then taken
 again and grouped by their whole keys, so a hash collision cannot drop a line.
 
 Defined cases: null or empty text is one empty line; each row counts as one document, also when an
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, documents, scratch, text_of
 
-BATCHES, FANOUT, MIN_CHARS, MIN_DOCS = 3, 2, 20, 3
+BATCHES, BATCH_ROWS, FANOUT, MIN_CHARS, MIN_DOCS = 3, 1 << 30, 2, 20, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,41 +28,49 @@ def line_key(line: Column) -> Column:
 
 
 class LevelledRuns:
-    """Sorted runs (hash, n_docs); level i holds merges of FANOUT runs of level i - 1."""
+    """Sorted runs of entries (hash, n); level i holds compacted runs of level i - 1. Beside them, what was seen again."""
 
     def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, [[]]
+        self.fanout, self.levels, self.again = fanout, [[]], []
 
     def held(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
+    @staticmethod
+    def union(runs: list[DataFrame]) -> DataFrame:
+        both = runs[0]
+        for other in runs[1:]:
+            both = both.unionAll(other)
+        return both
+
     def add(self, batch: DataFrame) -> None:
-        run = batch.groupBy("hash").agg(F.count("*").alias("n_docs"))
-        held = self.held()
-        if held:
-            known = held[0].select("hash")
-            for other in held[1:]:
-                known = known.unionAll(other.select("hash"))
-            known = known.withColumn("old", F.lit(True)).dropDuplicates(["hash"])
-            run = run.join(known, "hash", "left").select("hash", "n_docs", F.col("old").isNull().alias("fresh"))
+        """Takes in a batch (hash, a row for each time): hashes new to the runs as entries, others as seen again."""
+        run = batch.groupBy("hash").agg(F.count("*").alias("n"))
+        if self.held():
+            known = self.union(self.held()).select("hash", F.lit(True).alias("old"))
+            met = scratch(run.join(known.hint("merge"), "hash", "left").sortWithinPartitions("hash"), "run")
+            self.again.append(met.filter("old").select("hash", "n"))
+            run = met.filter("old IS NULL").select("hash", "n")
         else:
-            run = run.withColumn("fresh", F.lit(True))
-        self.levels[0].append(scratch(run.sortWithinPartitions("hash"), "run"))
+            run = scratch(run.sortWithinPartitions("hash"), "run")
+        self.levels[0].append(run)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            merged = self.merged(self.levels[level])
+            merged = scratch(self.union(self.levels[level]).repartition("hash").sortWithinPartitions("hash"), "run")
             self.levels[level] = []
             level += 1
             if level == len(self.levels):
                 self.levels.append([])
-            self.levels[level].append(scratch(merged.sortWithinPartitions("hash"), "run"))
+            self.levels[level].append(merged)
 
-    @staticmethod
-    def merged(runs: list[DataFrame]) -> DataFrame:
-        both = runs[0]
-        for other in runs[1:]:
-            both = both.unionAll(other)
-        return both.groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.max("fresh").alias("fresh"))
+    def repeated(self, least: int) -> DataFrame:
+        """Hashes that came ``least`` times at least."""
+        entries = self.union(self.held())
+        often = entries.filter(F.col("n") >= least).select("hash")
+        if not self.again:
+            return often
+        again = self.union(self.again).groupBy("hash").agg(F.sum("n").alias("more"))
+        return often.unionAll(entries.filter(F.col("n") < least).join(again, "hash").filter(F.col("n") + F.col("more") >= least).select("hash"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,7 +80,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Hashes of lines that lie in ``min_docs`` rows at least, by way of the levelled runs."""
+    """Hashes of lines that lie in ``min_docs`` rows at least, by way of the levelled runs; more batches for more than ``BATCH_ROWS`` rows each."""
+    batches = max(batches, -(-docs.count() // BATCH_ROWS))
     hashes = _lines(docs, id_col, text_col).select("doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(F.lower(x))))).alias("hash"))
     cuts = docs.select(F.percentile_approx(id_col, [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []
     runs, cuts = LevelledRuns(), sorted(set(cuts), reverse=True)
@@ -84,7 +94,7 @@ def repeated_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if i == len(cuts):
             lies = lies | F.col("doc_id").isNull()
         runs.add(hashes.filter(lies))
-    return runs.merged(runs.held()).filter(F.col("n_docs") >= min_docs).select("hash")
+    return runs.repeated(min_docs)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, min_docs: int = MIN_DOCS) -> DataFrame:
