@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -189,6 +190,56 @@ def test_mixing_meets_targets(spark):
     assert ((one.taken - one.index).abs() <= 3 * mixing.BLOCK_WORDS).all()
 
 
+def test_shards_counts_are_drawn_and_decide(spark):
+    """Slots by shard and source follow the draw; other counts give other shards; totals meet the plan."""
+    sizes = spark.createDataFrame([("=a", "a", 40_000), ("=b", "b", 20_000), ("", None, 9_000)], "skey string, source string, source_size long")
+    plan = mixing.slot_plan(mixing.source_targets(sizes))
+    counts = mixing.shard_counts(plan, 100)
+    drawn = {(r.shard, r.skey): r.n for r in counts.collect()}
+    slots = mixing.draw_slots(plan, counts).toPandas()
+    assert slots.groupby(["shard", "skey"]).size().to_dict() == drawn
+    due = {r.skey: (r.slots, r.blocks) for r in plan.collect()}
+    for key, (n, blocks) in due.items():
+        own = slots[slots.skey == key]
+        assert len(own) == n and own.groupby("round").block.nunique().max() == min(n, blocks) and not own.duplicated(["round", "block"]).any()
+    share = np.array([drawn[s, "=a"] for s in range(sum(n for n, _ in due.values()) // 100)]) / 100
+    assert 0.02 < share.std() < 0.08 and abs(share.mean() - due["=a"][0] / sum(n for n, _ in due.values())) < 0.03
+    other = mixing.draw_slots(plan, counts.withColumn("shard", -F.col("shard") + 100)).toPandas()
+    order = ["skey", "round", "block", "shard"]
+    assert not slots.sort_values(order)[order].reset_index(drop=True).equals(other.sort_values(order)[order].reset_index(drop=True))
+
+
+def test_runs_take_only_new_hashes(spark):
+    """Each hash has one entry in all runs, and repeats across batches are found by what was seen again."""
+    rng = np.random.default_rng(4)
+    batches = [rng.integers(0, 40, 30).tolist() for _ in range(5)]
+    runs = line_dedup.LevelledRuns()
+    for b in batches:
+        runs.add(spark.createDataFrame([(x,) for x in b], "hash long"))
+    entries = [r.hash for run in runs.held() for r in run.collect()]
+    every = Counter(x for b in batches for x in b)
+    assert sorted(entries) == sorted(every) and len(runs.held()) == 2
+    assert sorted(r.hash for r in runs.repeated(3).collect()) == sorted(x for x, n in every.items() if n >= 3)
+    alone = [sum(x in c for c in map(set, batches)) > 1 for x in every]
+    assert any(alone) and {r.hash for run in runs.again for r in run.collect()} == {x for x, a in zip(every, alone, strict=True) if a}
+
+
+def test_mixed_documents_by_brute_force(spark):
+    """What a document gives in all rounds is what the mix takes of it; words are its own, in order."""
+    docs = spark.createDataFrame([(i, " ".join(f"d{i}w{j}" for j in range(10 + 17 * i % 300)), "abc"[i % 3], 7) for i in range(90)] + [(200, None, "a", 1), (201, " ", None, 1)], "doc_id long, text string, source string, size long")
+    taken = {r.doc_id: r.taken for r in mixing.mix_sources(docs).collect()}
+    rows = mixing.mixed_documents(docs).collect()
+    got = Counter()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in rows:
+        words = r.text.split()
+        at = [int(w.split("w")[1]) for w in words]
+        assert at == sorted(at) and all(w.startswith(f"d{r.doc_id}w") for w in words) and r.size == 7
+        assert len(words) < len(text[r.doc_id].split()) or r.text == text[r.doc_id]
+        got[r.doc_id] += len(words)
+    assert {k: v for k, v in taken.items() if v} == dict(got)
+
+
 def test_language_model_beats_its_base(spark):
     rows = lm_scoring.op10_lm_scoring(spark, DIR).toPandas()
     held = rows[rows.held_out]

@@ -18,9 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named."""
+    """The shared folder that the cluster names; on a local master, where none is named, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -37,6 +39,11 @@ def scratch(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Few rows that stand for much work, dealt to as many tasks as shuffles have; small partitions are not merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def text_of(column: str = "text"):
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -1,10 +1,11 @@
 """Mixing sources to target weights.
 
 Each source's words, document after document, are one stream, packed into blocks of ``block_words``.
-The mix has one slot for each block that a source's target asks for. The slots are dealt to output
-shards by one pseudorandom permutation of all of them, so an output shard's counts by source are a
-multinomial draw given that the totals meet the targets. A source's slots map to its blocks by a
-pseudorandom permutation of its own; a second round begins only when all its blocks are used.
+The mix has one slot for each block that a source's target asks for. For each output shard the number
+of slots of each source is drawn: a multinomial draw, given that the totals meet the targets (one pseudorandom
+permutation deals all slots to shards). The drawn counts, added up from shard to shard, say which of a source's slots
+a shard holds; these map to the source's blocks by a pseudorandom permutation of the blocks, and
+documents join them by the block's number. A second round begins only when all blocks are used.
 Permutations are swap-or-not shuffles: each place is computed alone, nothing is sorted or gathered.
 
 Targets: sources in code-point order, null last, weigh ``weights`` in turn and share ``share`` of all
@@ -19,11 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, text_of, word_count
+from .common import dealt, documents, text_of, word_count
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-BLOCK_WORDS, SHARD_SLOTS, ROUNDS, CHUNKS, SEED = 64, 4096, 8, 4096, 20250
-SLOT_RUN = 65536
+BLOCK_WORDS, SHARD_SLOTS, ROUNDS, SEED = 64, 4096, 8, 20250
+SLOT_RUN, CHUNK_ROWS, SHARD_RUN = 65536, 8192, 4096
 
 
 def shuffled(place: Column, n: Column, key: Column, rounds: int = ROUNDS, seed: int = SEED) -> Column:
@@ -66,30 +67,43 @@ def slot_plan(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return t.withColumn("first_slot", F.coalesce(F.sum("slots").over(upto), F.lit(0))).withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(0))))
 
 
-def draw_slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """One row for each slot of the mix: skey, block, limit (words to take), round, shard, place."""
+def shard_counts(plan: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The draw: shard, skey, n (slots of the source in this output shard)."""
     runs = plan.filter("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / SLOT_RUN))))
-    runs = runs.repartition("skey", "run")
-    slots = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least(F.col("slots"), (F.col("run") + 1) * SLOT_RUN) - 1)))
+    slots = dealt(runs, "skey", "run").withColumn("slot", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least(F.col("slots"), (F.col("run") + 1) * SLOT_RUN) - 1)))
     place = shuffled(F.col("first_slot") + F.col("slot"), F.col("all_slots"), F.lit("mix"))
+    return slots.select("skey", F.floor(place / shard_slots).alias("shard")).groupBy("shard", "skey").agg(F.count("*").alias("n"))
+
+
+def draw_slots(plan: DataFrame, counts: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row for each slot of the mix: skey, block, limit (words to take), round, shard, place (its order there)."""
+    # A source's slots before a shard: those of earlier runs of shards, and those of earlier shards of its run.
+    split = counts.withColumn("run", F.floor(F.col("shard") / SHARD_RUN))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    runs = split.groupBy("skey", "run").agg(F.sum("n").alias("all")).withColumn("runs_before", F.coalesce(F.sum("all").over(earlier(Window.partitionBy("skey").orderBy("run"))), F.lit(0)))
+    inside = F.coalesce(F.sum("n").over(earlier(Window.partitionBy("skey", "run").orderBy("shard"))), F.lit(0))
+    rows = split.withColumn("inside", inside).join(runs.select("skey", "run", "runs_before"), ["skey", "run"]).join(plan.select("skey", "blocks", "slots", "last_words"), "skey")
+    slots = dealt(rows, "shard", "skey").withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("slot", F.col("runs_before") + F.col("inside") + F.col("nth"))
     return slots.select(
         "skey",
         shuffled(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.col("skey")).alias("block"),
-        F.when(F.col("slot") == F.col("slots") - 1, F.col("last_words")).otherwise(F.lit(BLOCK_WORDS)).cast("long").alias("limit"),
+        F.when(F.col("slot") == F.col("slots") - 1, F.col("last_words")).otherwise(F.lit(block_words)).cast("long").alias("limit"),
         F.floor(F.col("slot") / F.col("blocks")).cast("int").alias("round"),
-        F.floor(place / shard_slots).alias("shard"),
-        place.alias("place"),
+        "shard",
+        F.xxhash64(F.lit(SEED), "shard", "skey", "nth").alias("place"),
     )
 
 
 def _laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """The documents with their place in their source's stream, and the plan by source."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _source_key(source_col).alias("skey"), word_count(text_of(text_col)).alias("size"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(CHUNKS)).alias("chunk"), *keep)
+    chunks_due = max(1, -(-docs.count() // CHUNK_ROWS))  # a source's documents are laid out in chunks of about CHUNK_ROWS at most
+    tie = F.xxhash64(text_of(text_col)).alias("tie")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _source_key(source_col).alias("skey"), word_count(text_of(text_col)).alias("size"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks_due)).alias("chunk"), tie, *keep)
     chunks = rows.groupBy("skey", "chunk").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
     starts = chunks.withColumn("chunk_start", F.sum("words").over(Window.partitionBy("skey").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
     sizes = chunks.groupBy("skey").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
     plan = source_targets(sizes)
-    inside = Window.partitionBy("skey", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("skey", "chunk").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = rows.join(starts.select("skey", "chunk", "chunk_start").hint("merge"), ["skey", "chunk"])
     laid = laid.withColumn("start", F.col("chunk_start") + F.sum("size").over(inside) - F.col("size")).withColumn("row", F.count("*").over(inside))
     return laid, plan
@@ -102,36 +116,42 @@ def _pieces(laid: DataFrame, keys: list[str], slots: DataFrame, block_words: int
     low = F.greatest("start", F.col("block") * block_words)
     parts = parts.withColumn("at", low - F.col("start")).withColumn("low", low - F.col("block") * block_words)
     parts = parts.withColumn("high", F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words)))
-    taken = parts.join(slots.select("skey", "block", "limit", "round").hint("merge"), ["skey", "block"])
+    taken = parts.join(slots.hint("merge"), ["skey", "block"])
     return taken.withColumn("take", F.least("high", "limit") - F.col("low")).filter("take > 0")
 
 
+def _slots(targets: DataFrame) -> DataFrame:
+    plan = slot_plan(targets)
+    return draw_slots(plan, shard_counts(plan))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken."""
+    """One row per input row: doc_id, size, source_size, target, taken, and the output shards that hold it: first_shard, last_shard, n_slots."""
     laid, targets = _laid_out(docs, id_col, text_col, source_col, [])
     keys = ["skey", "chunk", "row"]
-    taken = _pieces(laid, ["chunk", "row"], draw_slots(slot_plan(targets)), BLOCK_WORDS).groupBy(*keys).agg(F.sum("take").alias("taken"))
+    taken = _pieces(laid, ["chunk", "row"], _slots(targets), BLOCK_WORDS).groupBy(*keys).agg(F.sum("take").alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"), F.count("*").alias("n_slots"))
     out = laid.select("doc_id", "size", *keys).join(taken, keys, "left").join(targets, "skey")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard", F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each document and round with the words taken.
 
-    A document taken whole keeps its text as it is; of others the words taken are joined by a blank.
+    A document taken whole keeps its text as it is; of others the words taken are joined by a blank. Within a partition
+    rows stand in the order of the mix: by output shard and place of the document's first slot.
     """
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("whole")
     laid, targets = _laid_out(docs, id_col, text_col, source_col, [row])
     keys = ["skey", "chunk", "row"]
-    parts = _pieces(laid, ["chunk", "row"], draw_slots(slot_plan(targets)), BLOCK_WORDS)
-    rounds = parts.groupBy(*keys, "round").agg(F.sum("take").alias("taken"), F.array_sort(F.collect_list(F.struct("at", "take"))).alias("spans"))
+    parts = _pieces(laid, ["chunk", "row"], _slots(targets), BLOCK_WORDS)
+    rounds = parts.groupBy(*keys, "round").agg(F.sum("take").alias("taken"), F.array_sort(F.collect_list(F.struct("at", "take"))).alias("spans"), F.min(F.struct("shard", "place")).alias("spot"))
     mixed = laid.join(rounds.hint("merge"), keys)
     words = F.split(F.btrim(text_of(f"whole.{text_col}"), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")
     # The words are bound once, as the only element of an array: within the spans' lambda they would be split again for each span.
     of_spans = lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["take"].cast("int")))), " ")
     cut = F.element_at(F.transform(F.array(words), of_spans), 1)
     text = F.when(F.col("taken") == F.col("size"), F.col(f"whole.{text_col}")).otherwise(cut)
-    mixed = mixed.select("whole", text.alias("__mixed"))
+    mixed = mixed.select("whole", text.alias("__mixed"), "spot").sortWithinPartitions("spot")
     out = [F.col("__mixed").alias(c) if c == text_col else F.length("__mixed").cast("long").alias(c) if c == "n_chars" else F.col(f"whole.{c}").alias(c) for c in docs.columns]
     return mixed.select(*out)
 
