@@ -44,8 +44,8 @@ def test_odd_rows_and_empty_tables(spark, odd):
         assert run(none).count() == 0, run
     assert packing.packed_documents(none).count() == 0
     for docs in (odd, none):
-        model, counts = lm_scoring.train(docs.selectExpr("coalesce(text, '') AS t"))
-        assert lm_scoring.score(docs, model, counts, ["doc_id"]).count() == docs.count()
+        assert lm_scoring.score(docs, F.lit(True), ["doc_id", "size"]).count() == docs.count()
+        assert lm_scoring.score(docs, F.lit(None).cast("boolean"), ["doc_id"]).count() == docs.count()
     assert toxicity.score(odd, None, ["doc_id"]).count() == len(ODD)
 
 
@@ -252,27 +252,36 @@ def test_language_model_keeps_all_ngrams_at_any_size(spark):
     texts = [" ".join(f"w{i}" for i in rng.zipf(1.5, 60) % 50) for _ in range(60)] + ["x y z", "z y x", "w1", ""]
     asked = [*texts[:20], "x y z w1 w2", "w1 unseen w2 y z", "z"]
     split = lambda t: [*t.split(), "\n"]
-    one, two, three = (Counter(tuple(s[i : i + k]) for s in map(split, texts) for i in range(len(s) - k + 1)) for k in (1, 2, 3))
-    follow = lambda grams, context: [c for g, c in grams.items() if g[:-1] == context]
+    grams = lambda k: Counter(tuple(s[i : i + k]) for s in map(split, texts) for i in range(len(s) - k + 1))
+    one, three = grams(1), grams(3)
     total = sum(one.values()) + len(one) + 1
-
-    def p(gram):
-        if len(gram) == 1:
-            return (one[gram] + 1) / total
-        grams, near = (two, p(gram[1:])) if len(gram) == 2 else (three, p(gram[1:]))
-        seen = follow(grams, gram[:-1])
-        if not seen:
-            return near
-        kept = [max(c - lm_scoring.DISCOUNT, 0) for c in seen]
-        return max(grams[gram] - lm_scoring.DISCOUNT, 0) / sum(seen) + (1 - sum(kept) / sum(seen)) * near
-
-    want = [sum(np.log10(p(tuple(s[max(0, i - 2) : i + 1]))) for i in range(len(s))) for s in map(split, asked)]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
-    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(2)
+    rows = [(-1 - i, t, True) for i, t in enumerate(texts)] + [(i, t, False) for i, t in enumerate(asked)] + [(999, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3)
     for shard in (200, 10**6):  # words split over many shards; one shard
-        model, counts = lm_scoring.train(rows, least_share=0.02, shard=shard)
-        got = {r.doc_id: r.score for r in lm_scoring.score(docs, model, counts, ["doc_id"]).collect()}
-        assert np.allclose([got[i] for i in range(len(asked))], want, atol=0.02)
+        model, _ = lm_scoring.train(docs.filter("learn").select("text"), least_share=0.02, shard=shard)
+        code = lambda w: model.hashes([w.encode()])
+        part = lambda s, i: int(model.part(code(s[i - 2]) if i > 1 else np.zeros(1, dtype=np.uint64), code(s[i - 1]))[0])
+        two = Counter((part(s, i), s[i - 1], s[i]) for s in map(split, texts) for i in range(1, len(s)))  # a split word's pairs are counted by part
+        assert (len(model.hot) > 0) == (shard == 200)
+        follow = lambda counts, context: [n for g, n in counts.items() if g[:-1] == context]
+
+        def p(s, i, k):
+            if k == 1:
+                return (one[(s[i],)] + 1) / total
+            if k > i + 1:
+                return p(s, i, k - 1)
+            counts, gram = (two, (part(s, i), s[i - 1], s[i])) if k == 2 else (three, tuple(s[i - 2 : i + 1]))
+            seen, near = follow(counts, gram[:-1]), p(s, i, k - 1)
+            if not seen:
+                return near
+            kept = [max(n - lm_scoring.DISCOUNT, 0) for n in seen]
+            return max(counts[gram] - lm_scoring.DISCOUNT, 0) / sum(seen) + (1 - sum(kept) / sum(seen)) * near
+
+        got = {r.doc_id: r for r in lm_scoring.score(docs, F.col("learn"), ["doc_id"], least_share=0.02, shard=shard).collect()}
+        for i, s in enumerate(map(split, asked)):
+            assert abs(got[i].score - sum(np.log10(p(s, j, 3)) for j in range(len(s)))) < 0.02
+            assert abs(got[i].base_score - sum(np.log10((one[(w,)] + 1) / total) for w in s)) < 1e-9
+            assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(s), sum(one[(w,)] > 0 for w in s), sum(one.values()))
 
 
 def test_toxicity_on_held_out_rows(spark):
