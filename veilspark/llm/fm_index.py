@@ -76,13 +76,22 @@ class FMIndex:
         again = new & ~np.append(new[1:], True)
         self.again, self.places = RankBits(again), order[again].astype(np.int32)
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of patterns, one a row, all extended to the left together."""
+    def search(self, patterns: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix intervals of patterns, one a row, all extended to the left together.
+
+        With ``own`` the patterns are taken from the text: one whose interval is down to a single row is met nowhere else,
+        and is not extended further (its row is then that of its end).
+        """
         low, high = np.zeros(len(patterns), dtype=np.int64), np.full(len(patterns), self.n, dtype=np.int64)
+        open_ = np.arange(len(patterns))
         for i in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[:, i].astype(np.int64)
-            ends = self.matrix.rank(np.concatenate((symbol, symbol)), np.concatenate((low, high)))
-            low, high = self.first[symbol] + ends[: len(symbol)], self.first[symbol] + ends[len(symbol) :]
+            symbol, at = patterns[open_, i].astype(np.int64), np.concatenate((low[open_], high[open_]))
+            ends = self.first[np.concatenate((symbol, symbol))] + self.matrix.rank(np.concatenate((symbol, symbol)), at)
+            low[open_], high[open_] = ends[: len(open_)], ends[len(open_) :]
+            if own:
+                open_ = open_[high[open_] - low[open_] > 1]
+                if not len(open_):
+                    break
         return low, high
 
     def earliest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:

@@ -169,7 +169,7 @@ def repeats_in_shard(contents: list[bytes], window: int) -> list[np.ndarray]:
     earliest = np.empty(len(at), dtype=np.int64)
     for a in range(0, len(at), 1 << 17):
         part = at[a : a + (1 << 17)]
-        earliest[a : a + (1 << 17)] = index.earliest(*index.search(symbols[part[:, None] + np.arange(window)]))
+        earliest[a : a + (1 << 17)] = index.earliest(*index.search(symbols[part[:, None] + np.arange(window)], own=True))
     repeated = (earliest >= 0) & (earliest < at)
     # Equal bytes are not yet equal words.
     unsure = np.flatnonzero(repeated)
