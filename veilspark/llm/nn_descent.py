@@ -9,8 +9,7 @@ rounds of joins: it expands the best nodes it has not expanded, scores what is n
 ends when its best nodes are all expanded; edges are walked both ways. The best are scored again on the original vectors,
 and each node found stands for its smallest ids.
 
-Every valid row is indexed. Groups are bounded: cells by about ``CELL`` (vectors at the same
-place of a line are dealt among the cells that meet there), neighbour lists by ``DEGREE``
+Every valid row is indexed. Groups are bounded: cells by ``CELL`` vectors side by side on a line, neighbour lists by ``DEGREE``
 and ``REVERSE``.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and vectors of
@@ -27,11 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch
-from .shingles import mixed
 
 LINES, CELL, DEGREE, REVERSE, ROUNDS, OFFERS = 10, 256, 40, 64, 12, 24
 STILL = 0.01  # rounds end when a smaller share of the edges is new
-BEAM, EXPAND, RERANK, NEAREST, QUERY_EVERY = 320, 160, 60, 20, 20
+BEAM, EXPAND, RERANK, NEAREST, QUERY_EVERY, MATES = 320, 160, 60, 20, 20, 64
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -81,40 +79,39 @@ def _cell_neighbours(codes: DataFrame, lines: int, cell: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), line, dtype=np.int32)), batch.column(0), batch.column(1), at], ["line", "id", "code", "at"])
 
     along = codes.mapInArrow(project, "line int, id long, code binary, at double")
-    cells = -(-codes.count() // cell)
-    cuts = {}
-    if cells > 1:  # cells - 1 numbers for each line
-        steps = [i / cells for i in range(1, cells)]
-        cuts = {r["line"]: np.array(r["cuts"]) for r in along.groupBy("line").agg(F.percentile_approx("at", steps, max(10000, 20 * cells)).alias("cuts")).collect()}
-
-    def place(batches):
-        for batch in batches:
-            line = batch.column(0).to_numpy()
-            ids, at = batch.column(1).to_numpy(), batch.column(3).to_numpy()
-            found = line.astype(np.int64) * max(cells, 1)
-            for k in np.unique(line).tolist() if cuts else ():
-                here = line == k
-                first, last = (np.searchsorted(cuts[k], at[here], side=side) for side in ("left", "right"))
-                nth = mixed(ids[here].view(np.uint64)) % (last - first + 1).astype(np.uint64)
-                found[here] += first + nth.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(1), batch.column(2)], ["cell", "id", "code"])
-
-    placed = along.mapInArrow(place, "cell long, id long, code binary").repartition("cell").sortWithinPartitions("cell")
+    # Dealt by range of the place on each line, from a sample of bounded size; cells are cut while the rows pass by.
+    dealt = along.repartitionByRange(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "line", "at", "id").sortWithinPartitions("line", "at", "id")
 
     def join(batches):
-        for rows in _whole_groups(batches):
-            keys, ids = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        for rows in _cells(batches, cell):
+            ids = rows.column(1).to_numpy()
             x = _matrix(rows.column(2), np.float16).astype(np.float32)
-            bounds = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                k = min(DEGREE // 2, int(b - a) - 1)
-                for c in range(a, b, 1024) if k > 0 else ():
-                    near = x[c : min(b, c + 1024)] @ x[a:b].T
-                    near[np.arange(len(near)), np.arange(c - a, c - a + len(near))] = -np.inf
-                    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                    yield _edges(np.repeat(ids[c : c + len(near)], k), ids[a:b][best].ravel(), np.take_along_axis(near, best, 1).ravel())
+            k = min(DEGREE // 2, len(ids) - 1)
+            if k > 0:
+                near = x @ x.T
+                np.fill_diagonal(near, -np.inf)
+                best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                yield _edges(np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(near, best, 1).ravel())
 
-    return placed.mapInArrow(join, EDGE)
+    return dealt.select("line", "id", "code").mapInArrow(join, EDGE)
+
+
+def _cells(batches, cell: int):
+    """Runs of ``cell`` rows at most that lie side by side on one line."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        line, start = rows.column(0).to_numpy(), 0
+        while start < len(line):
+            end = min(start + cell, start + int(np.searchsorted(line[start:], line[start], side="right")))
+            if end == len(line):  # the run may go on in the next batch
+                break
+            yield rows.slice(start, end - start).combine_chunks()
+            start = end
+        held = rows.slice(start)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
 
 
 def _whole_groups(batches):
@@ -210,11 +207,24 @@ def _scored(asked: DataFrame, codes: DataFrame, queries: DataFrame) -> DataFrame
     return pairs.mapInArrow(run, "q long, id long, score float")
 
 
+def drawn_starts(codes: DataFrame, query_ids: DataFrame, mates: int = MATES) -> DataFrame:
+    """q, id: for each query about ``mates`` nodes drawn by a hash, wherever they lie; all nodes of a small table."""
+    groups = max(1, codes.count() // mates)
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
+    nodes = codes.select("id", of("id").alias("draw"))
+    return query_ids.select("q", of("q").alias("draw")).join(nodes, "draw").select("q", "id").filter("q <> id")
+
+
 def greedy_search(graph: DataFrame, codes: DataFrame, query_ids: DataFrame, rounds: int = 12) -> DataFrame:
-    """q, id, score, r of each query's best nodes; ``graph`` has id, others."""
+    """q, id, score, r of each query's best nodes; ``graph`` has id, others.
+
+    A walk starts at the query's own links and at nodes drawn from the whole table, so that it leaves a group of nodes
+    without links to others and no list stays short where there are enough nodes.
+    """
     queries = scratch(codes.join(query_ids.select(F.col("q").alias("id")), "id").select(F.col("id").alias("q"), F.col("code").alias("own")), "queries")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     start = graph.join(queries.select(F.col("q").alias("id")), "id").select(F.col("id").alias("q"), F.explode("others").alias("id")).filter("q <> id")
+    start = start.unionAll(drawn_starts(codes, query_ids)).dropDuplicates()
     state = scratch(_scored(start, codes, queries).withColumn("old", F.lit(False)).withColumn("r", F.row_number().over(best)), "beam")
     for _ in range(rounds):
         front = state.filter(~F.col("old") & (F.col("r") <= EXPAND))
