@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, scratch, text_of
+from .common import documents, scratch, text_of, text_slices
 
 SIZE, END_ID, SALTS = 1024, 2, 256
 REACHES = (1.0, 0.9, 0.8, 0.5, 0.0)
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, id_c
 
     def cut(batches):
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in text_slices(batches):
             cols = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encoder.ids(text.as_py()), np.uint32(END_ID)).astype("<u4")
@@ -86,13 +86,18 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, id_c
 
 
 class Lengths:
-    """Available counts by length, with exact look-ups of one, two or three lengths by their sum."""
+    """Available counts by length, with exact look-ups of one, two or three lengths by their sum.
+
+    Pairs are indexed by their sum, made when a sum is first asked for; as counts only fall, what has run out
+    leaves the index for good. A triple is a length and an indexed pair.
+    """
 
     def __init__(self, counts: dict[int, int], size: int):
         self.left = np.zeros(size + 1, dtype=np.int64)
         for length, n in counts.items():
             self.left[length] = n
         self.size = size
+        self.pairs: dict[int, list[int]] = {}
 
     def enough(self, combo: tuple[int, ...]) -> int:
         """How many times the combination can be taken."""
@@ -104,11 +109,13 @@ class Lengths:
 
     def pair(self, total: int, beside: tuple[int, ...] = ()) -> tuple[int, int] | None:
         """The most uneven available pair of this sum."""
-        longest = np.flatnonzero(self.left[: total] > 0)
-        for a in longest[longest >= (total + 1) // 2][::-1].tolist():
-            if self.left[total - a] > 0 and self.enough((*beside, a, total - a)):
-                return a, total - a
-        return None
+        if total not in self.pairs:
+            longer = np.arange((total + 1) // 2, total)
+            self.pairs[total] = longer[(self.left[longer] > 0) & (self.left[total - longer] > 0)].tolist()  # the most uneven last
+        held = self.pairs[total]
+        while held and not (self.left[held[-1]] and self.left[total - held[-1]]):
+            held.pop()
+        return next(((a, total - a) for a in reversed(held) if self.enough((*beside, a, total - a))), None)
 
     def complement(self, longest: int, reach: float) -> tuple[int, ...] | None:
         """A single, pair or triple that fills the gap beside ``longest`` exactly, its longest part
