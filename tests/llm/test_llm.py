@@ -164,6 +164,12 @@ def test_fm_index_counts():
     low, high = index.search(patterns)
     windows = Counter(map(tuple, text[np.arange(496)[:, None] + np.arange(5)].tolist()))
     assert (high - low).tolist() == [windows[tuple(p)] for p in patterns.tolist()]
+    first = {}
+    for i, p in enumerate(patterns.tolist()):
+        first.setdefault(tuple(p), i)
+    for own in (False, True):
+        got = index.earliest(*index.search(patterns, own)).tolist()
+        assert got == [first[tuple(p)] if windows[tuple(p)] > 1 else -1 for p in patterns.tolist()]
 
 
 def test_elias_fano_successor():
@@ -174,6 +180,40 @@ def test_elias_fano_successor():
     assert (ef.at(np.arange(300)) == values).all()
 
 
+def test_pieces_hold_the_tokenizers_ids(spark):
+    """Ids, pieces, starts and check sums against the tokenizer file's own library, on all texts and odd ones."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    odd = [(10**6 + i, t, 1) for i, t in enumerate(["", " \t\n ", "x" * 9000, "naïve 你好 😀 it's 1234", "<|endoftext|> [UNK] </s>", "a\u0000b\ufeff", LONG])] + [(-1, None, 2), (-1, None, 2)]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", F.lit(1).alias("length")).unionAll(spark.createDataFrame(odd, "doc_id long, text string, length int"))
+    exact, want = Tokenizer.from_file(packing.default_tokenizer()), []
+    for r in docs.collect():
+        ids = np.array([*exact.encode(r.text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        bounds = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        want += [(r.doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    rows = packing.packed_documents(docs).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(want) == sorted(zip(rows.doc_id, rows.piece, rows.start, rows.length, rows.ids_crc32))
+    total = rows.groupby("sequence_id")["length"]
+    assert (rows["offset"] == total.cumsum() - rows["length"]).all() and total.sum().max() <= 1024
+
+
+def test_pair_index_follows_the_counts():
+    rng = np.random.default_rng(6)
+    counts = {int(x): int(n) for x, n in zip(rng.choice(np.arange(1, 65), 30, replace=False), rng.integers(1, 9, 30))}
+    plan, left = packing.packing_plan(counts, 64), Counter(counts)
+    for times, combo in plan:
+        assert sum(combo) <= 64
+        for x in combo:
+            left[x] -= times
+    assert not any(left.values())
+    lengths = packing.Lengths(counts, 64)
+    for total in range(2, 64):
+        brute = [(a, total - a) for a in range(total - 1, (total + 1) // 2 - 1, -1) if lengths.left[a] and lengths.left[total - a] and lengths.enough((a, total - a))]
+        assert lengths.pair(total) == (brute[0] if brute else None)
+
+
 def test_packing_is_gapless_and_tight(spark):
     rows = packing.op1_packing(spark, DIR).toPandas().sort_values(["sequence_id", "offset"])
     total = rows.groupby("sequence_id")["length"]
@@ -284,6 +324,21 @@ def test_language_model_keeps_all_ngrams_at_any_size(spark):
             assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(s), sum(one[(w,)] > 0 for w in s), sum(one.values()))
 
 
+def test_toxicity_on_odd_rows(spark):
+    """Null, empty and repeated rows, labels without texts, null labels, one id with many rows, clashing columns."""
+    rng, plain = np.random.default_rng(8), "you are the quiet garden holds many green trees today".split()
+    bad = "you are a stupid worthless idiot today"
+    texts = [(i, " ".join(rng.permutation(plain + (["stupid", "worthless", "idiot"] if i % 2 else ["calm"]))), "s") for i in range(400)] + [(1, bad, "s")] * 50 + [(None, bad, "s"), (401, None, "s"), (402, "", "s"), (403, " 12 ", "s"), (403, " 12 ", "s")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(None, 1), (5000, 1), (7, None), (9, 3)], "doc_id long, toxic int")
+    field = toxicity.learn(docs, labels)
+    got = toxicity.score(docs.drop("score"), field, ["doc_id"]).collect()
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got)
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in got if r.doc_id is not None and r.doc_id < 400)
+    assert all(r.score == 0 for r in got if r.doc_id in (401, 402, 403)) and [r.score >= 0.5 for r in got if r.doc_id is None] == [True]
+    assert toxicity.learn(docs, labels.filter("toxic = 1")) is None and toxicity.learn(docs.limit(0), labels) is None and toxicity.learn(docs, labels.limit(0)) is None
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = toxicity.op6_toxicity(spark, "/root/testdata/sf0.1").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
@@ -303,6 +358,32 @@ def test_nearest_neighbours_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_nearest_neighbours_on_odd_rows(spark):
+    """Vectors that take no part, repeated ids, ties, clashing columns; lists are complete and scores exact."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-3, 4, (60, 6)).astype(float)
+    x[x.any(1) == 0] = 1.0
+    rows = [(i, v.tolist(), 1.0) for i, v in enumerate(x)]
+    rows += [(100, None, 1.0), (101, [0.0] * 6, 1.0), (102, [float("nan")] * 6, 1.0), (103, [float("inf")] + [1.0] * 5, 1.0), (104, [1.0, 2.0], 1.0), (105, [None] + [1.0] * 5, 1.0), (None, [1.0] * 6, 1.0), (7, x[7].tolist(), 2.0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double")
+    got = nn_descent.nearest_neighbours(table).toPandas().sort_values(["query_id", "rank"])
+    for q in (0, 20, 40):
+        mine = got[got.query_id == q]
+        want = sorted((-float(x[q] @ x[j]), j) for j in range(60) if j != q)[:20]
+        assert list(mine["rank"]) == list(range(1, 21)) and [(-s, j) for s, j in zip(mine.score, mine.vec_id)] == want
+    assert set(got.query_id) == {0, 20, 40} and nn_descent.nearest_neighbours(table.limit(0)).count() == 0
+
+
+def test_nearest_neighbours_leave_closed_groups(spark):
+    """Four groups of thirteen far from each other: every query finds twenty."""
+    rng = np.random.default_rng(1)
+    x = np.repeat(np.eye(4) * 10, 13, axis=0) + 0.01 * rng.standard_normal((52, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = nn_descent.nearest_neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), query_every=1)
+    found = Counter(r.query_id for r in got.collect())
+    assert len(found) == 52 and set(found.values()) == {20}
+
+
 def test_nearest_neighbours_among_copies(spark):
     """A third of the rows are copies of one vector: the smaller ids come first, and their group has edges to others."""
     rng = np.random.default_rng(2)

@@ -6,8 +6,8 @@ field has weights for a word (a rare one counts as its beginning), the word befo
 and for the transitions; it is fitted by gradient ascent with forward-backward sums. Marginals of all words of every whole text give the document's score,
 the largest marginal, and the offending spans.
 
-The fit uses at most ``SAMPLE`` toxic and ``CLEAN`` clean labelled rows, those of smallest hash; a
-documented bound. Clean rows weigh less where there are more of them. Scoring covers all rows.
+The fit uses at most ``SAMPLE`` toxic and ``CLEAN`` clean labelled ids, those of smallest hash, one row of each id and
+``FIT_BYTES`` of whole texts at most; a documented bound. Clean rows weigh less where there are more of them. Scoring covers all rows.
 
 Defined cases: null, empty or wordless text scores 0 and is not toxic; null labels are no labels;
 repeated rows are scored alike; without labels of both classes every score is 0; an empty table
@@ -22,12 +22,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_of_id, documents, text_of, text_slices
 
+FIT_BYTES = 64 << 20
 SAMPLE, CLEAN, FOLDS, STEPS, LEAST_DOCS, LEAST_ODDS, STEM = 500, 1500, 5, 30, 5, 3.0, 5
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -180,11 +181,14 @@ def fit(texts: list[str], toxic: list[bool], steps: int = STEPS) -> Field | None
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, clean: int = CLEAN, label_col: str = "toxic") -> Field | None:
-    """Fits the field on at most ``sample`` toxic and ``clean`` clean rows outside the held-out fold."""
+    """Fits the field on at most ``sample`` toxic and ``clean`` clean rows outside the held-out fold, ``FIT_BYTES`` in all."""
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).alias("y"))
     known = known.filter(F.col("doc_id").isNotNull() & (F.pmod(crc_of_id(), F.lit(FOLDS)) != 0))
     drawn = known.filter("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionAll(known.filter("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(clean))
-    rows = docs.select("doc_id", text_of().alias("t")).join(F.broadcast(drawn), "doc_id").orderBy("doc_id", "t").collect()  # at most sample + clean ids
+    rows = docs.select("doc_id", text_of().alias("t")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"), F.first("y").alias("y"))
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over at most sample + clean rows
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("t").cast("long")).over(upto)).filter(F.col("bytes") <= FIT_BYTES)
+    rows = rows.select("doc_id", "t", "y").orderBy("doc_id").collect()
     return fit([r["t"] for r in rows], [r["y"] == 1 for r in rows])
 
 
