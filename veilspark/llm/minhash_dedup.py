@@ -3,10 +3,15 @@
 Texts of equal shingle sets are one node. A node's signature has ``COORDS`` coordinates. Every
 (coordinate, value) pair is a posting list. A pair of nodes that agrees in ``MATCHES`` coordinates
 shares one of the ``COORDS - MATCHES + 1`` rarest of either (a global order, by counts in a table of fixed
-size), so only these prefixes are posted. Lists are merged in two steps: first each node is compared
-with the smallest node of its lists, which joins large groups by stars, without all pairs; then lists
-whose nodes already lie in one component are skipped, and in the others the nodes outside the list's
-largest component are compared with all the rest of other components. Candidates are kept if their
+size), so only these prefixes are posted. Lists are merged in three steps. First each node is compared
+with the smallest nodes of its lists (of those that agree in ``MATCHES`` coordinates, the most alike and the smallest),
+which joins large groups by stars, without all pairs. Then lists whose nodes already lie in one component are skipped; in the
+others the nodes outside the list's largest component are compared with that component's core, its node with the fewest
+shingles of its own. Last, in lists that still span components, they are compared with all the rest of other components, unless
+a bound rules a link out: the smallest node of the first step is a node's hub; its set was
+compared with the hub's, so it is known which of the hub's shingles it holds (a bit each) and which others. Two nodes of one hub share
+at most the hub's shingles that both hold, and of the others no more than either has that occur in several nodes of that
+hub. The bound is exact. Candidates are kept if their
 signatures agree in ``MATCHES`` coordinates, and links are confirmed on the full shingle sets.
 
 ``MATCHES`` of 36 of 64 loses a pair of similarity 0.8 with a probability of about 1e-5.
@@ -136,8 +141,12 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select("a", "b").dropDuplicates().join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, same int")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets are similar enough; ``pairs`` is a stored table."""
+COMPARED = "a long, b long, linked boolean, bits array<long>, rest array<long>"
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs with: whether their full sets are similar enough, which of a's shingles b holds (bits, in order), and b's
+    others (rest). ``pairs`` is a stored table."""
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).dropDuplicates()
     ids = nodes.join(wanted, "node").select(F.col("rep").alias("doc_id")).dropDuplicates()
 
@@ -152,15 +161,42 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perc
 
     def check(batches):
         for batch in batches:
-            good = []
+            linked, bits, rest = [], [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                hit = x[at] == y
+                both = int(hit.sum())
+                held = np.zeros(-(-len(x) // 64) * 64, dtype=np.uint8)
+                held[at[hit]] = 1
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                bits.append(np.packbits(held).view(np.int64))
+                rest.append(y[~hit].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(bits, pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "linked", "bits", "rest"])
 
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, COMPARED)
+
+
+def _spanning(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of lists that span components: token, node, n, label, most (the list's largest component), outside."""
+    placed = posted.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+    spans = placed.groupBy("token", "label").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("token", F.col("most.label").alias("most"))
+    return placed.join(spans, "token").withColumn("outside", F.col("label") != F.col("most"))
+
+
+def _marked(lists: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Of the nodes in ``lists``: node, n, label, hub, bits, several (shingles that are not the hub's but are in other nodes of the
+    hub), own (those in no other); a node without a hub is its own."""
+    crowd = lists.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"))
+    told = hubs.join(crowd.select("node"), "node", "left_semi")
+    rest = told.select("hub", "node", F.explode("rest").alias("shingle"))
+    shared = rest.groupBy("hub", "shingle").agg(F.count("*").alias("k")).filter("k > 1").select("hub", "shingle")
+    several = rest.join(shared, ["hub", "shingle"]).groupBy("node").agg(F.count("*").alias("several"))
+    known = told.select("node", "hub", "bits", F.size("rest").alias("others")).join(several, "node", "left")
+    every = F.array_repeat(F.lit(-1).cast("long"), F.ceil(F.col("n") / 64).cast("int"))
+    found = crowd.join(known, "node", "left").withColumn("several", F.coalesce("several", F.lit(0)))
+    return found.select("node", "n", "label", F.coalesce("hub", "node").alias("hub"), F.coalesce("bits", every).alias("bits"), "several", (F.coalesce("others", F.lit(0)) - F.col("several")).alias("own"))
 
 
 def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
@@ -170,24 +206,35 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_co
     linkable = sketches.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = scratch(linkable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     posted = scratch(postings(nodes), "postings")
+    compared = lambda pairs: _compared(pairs, docs, nodes, k, percent, id_col, text_col)
     near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    # Stars: each node with the smallest node of its lists; of several such, the one most alike.
+    # Stars: each node with the smallest nodes of its lists.
     heads = posted.groupBy("token").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1").select("token", F.col("head.node").alias("a"), F.col("head.n").alias("m"))
     stars = _alike(posted.join(heads, "token").filter((F.col("node") != F.col("a")) & near).select("a", F.col("node").alias("b")), nodes)
-    best = stars.groupBy("b").agg(F.max(F.struct("same", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = scratch(_confirmed(scratch(best, "stars"), docs, nodes, k, percent, id_col, text_col), "links")
+    picked = stars.groupBy("b").agg(F.max(F.struct("same", "a")).alias("best"), F.min("a").alias("hub"))
+    first = scratch(picked.select("b", "hub", F.explode(F.array_distinct(F.array("best.a", "hub"))).alias("a")), "stars")
+    seen = scratch(compared(first), "compared")
+    hubs = seen.join(first.filter("a = hub"), ["a", "b"]).select(F.col("b").alias("node"), "hub", "bits", "rest")
+    links = seen.filter("linked").select("a", "b")
     labels = components(links)
-    # The rest: lists that span several components.
-    placed = posted.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
-    spans = placed.groupBy("token", "label").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("token", F.col("most.label").alias("most"))
-    mixed_lists = placed.join(spans, "token").withColumn("outside", F.col("label") != F.col("most"))
-    one = mixed_lists.filter("outside").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"))
-    two = mixed_lists.select("token", F.col("node").alias("b"), "n", "label", "outside")
-    pairs = one.join(two, "token").filter((F.col("label") != F.col("other")) & near & (~F.col("outside") | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Cores: nodes outside a list's largest component with that component's core.
+    lists = scratch(_spanning(posted, labels), "lists")
+    marked = scratch(_marked(lists, hubs), "marked")
+    cores = marked.groupBy("label").agg(F.min(F.struct("own", "node", "n")).alias("core")).select(F.col("label").alias("most"), F.col("core.node").alias("a"), F.col("core.n").alias("m"))
+    asked = lists.filter("outside").select("most", F.col("node").alias("b"), "n").dropDuplicates(["most", "b"]).join(cores, "most").filter(near)
+    again = scratch(_alike(asked, nodes), "cores")
+    links = scratch(links.unionAll(compared(again).filter("linked").select("a", "b")), "links")
+    labels = components(links)
+    # The rest: lists that still span components, but for pairs that the hub rules out.
+    mixed_lists = scratch(_spanning(posted, labels).join(marked.select("node", "hub", "bits", "several"), "node"), "lists")
+    one = mixed_lists.filter("outside").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("hub").alias("hub_a"), F.col("bits").alias("bits_a"), F.col("several").alias("several_a"))
+    two = mixed_lists.select("token", F.col("node").alias("b"), "n", "label", "outside", "hub", "bits", "several")
+    both = F.expr("aggregate(zip_with(bits_a, bits, (x, y) -> bit_count(x & y)), 0, (s, x) -> s + x)") + F.least("several", "several_a")
+    may = (F.col("hub") != F.col("hub_a")) | (both * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+    pairs = one.join(two, "token").filter((F.col("label") != F.col("other")) & near & (~F.col("outside") | (F.col("a") < F.col("b"))) & may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     candidates = scratch(_alike(pairs, nodes), "pairs")
     if not candidates.isEmpty():
-        confirmed = _confirmed(candidates, docs, nodes, k, percent, id_col, text_col)
-        labels = components(scratch(links.unionAll(confirmed), "links"))
+        labels = components(scratch(links.unionAll(compared(candidates).filter("linked").select("a", "b")), "links"))
     where = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     first = where.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_node = where.join(first, "label").select("node", "label", "component_id")
