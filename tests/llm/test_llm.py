@@ -49,6 +49,28 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert toxicity.score(odd, None, ["doc_id"]).count() == len(ODD)
 
 
+def test_columns_that_clash_change_nothing(spark):
+    """Extra columns named like an operator's own are ignored."""
+    names = "digest salt n t hash depth chunk row size skey start node sig label route words anchor spots kt lines key shard blob h score rank piece length offset source_size".split()
+    plain = spark.createDataFrame([(i, f"a line of text that several hold\nown {i} " + "w " * i, "xy"[i % 2]) for i in range(9)], "doc_id long, text string, source string")
+    crowded = plain.withColumns({x: F.lit("z") for x in names})
+    lm = lambda d: lm_scoring.score(d, F.lit(True), ["doc_id"])
+    tagged = lambda d: toxicity.score(d, None, ["doc_id"])
+    for run in (exact_dedup.exact_dedup, line_dedup.line_dedup, sharding.extendible_shards, mixing.mix_sources, minhash_dedup.near_duplicates, substring_dedup.substring_dedup, packing.packed_documents, lm, tagged):
+        rows = [sorted(map(str, run(d).collect())) for d in (plain, crowded)]
+        assert rows[0] == rows[1], run
+
+
+def test_ties_in_exact_and_line_dedup(spark):
+    """Equal ids and equal texts: all rows of the largest id stay; lines count once a row."""
+    line = "a shared line of twenty chars"
+    docs = spark.createDataFrame([(1, line), (1, line), (2, line + "\n" + line), (2, line), (None, line)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect())
+    assert got == [("1", 2, 4, False), ("1", 2, 4, False), ("2", 2, 1, True), ("2", 2, 4, True), ("None", 2, 4, False)]
+    got = sorted((str(r.doc_id), r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(docs).collect())
+    assert got == [("1", 1, 1), ("1", 1, 1), ("2", 1, 0), ("2", 2, 0), ("None", 1, 1)]
+
+
 def test_near_duplicates_on_odd_rows(odd):
     got = {r.doc_id: r for r in minhash_dedup.near_duplicates(odd).collect()}
     assert got[4].component_id == 1 and got[6].component_id == 5 and got[2].component_id == 2 and got[2].n_shingles == 0
@@ -107,6 +129,57 @@ def test_pipeline_dedup_by_brute_force(spark):
     assert shape(got) == shape(want) and 12 < len(want) < len(left)
 
 
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A folder with documents and labels: toxic, copied, near-copied, odd and repeated rows."""
+    rng, path = np.random.default_rng(12), tmp_path_factory.mktemp("corpus")
+    plain = "the quiet garden holds many green trees you are there today".split()
+    rows = [(i, " ".join(rng.permutation(plain + [f"u{i}x{j}" for j in range(40)] + (["stupid", "worthless", "idiot"] if i % 4 == 0 else []))), "en", "abc"[i % 3], 5) for i in range(240)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(240)]
+    base = [f"n{j}" for j in range(120)]
+    rows += [(300 + i, " ".join(base[:60] + [f"e{i}"] + base[61:]), "en", "a", 5) for i in range(4)]
+    rows += [(400, rows[1][1], "en", "b", 5), (401, rows[1][1], "de", None, 5), (402, None, None, None, None), (403, "", "en", "c", 0), (None, "no id here", "en", "a", 3), (404, "same row twice", "en", "a", 3), (404, "same row twice", "en", "a", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path), rows
+
+
+def test_pipeline_stages_by_brute_force(spark, corpus):
+    path, rows = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    shape = lambda found: sorted((tuple(map(str, r)) for r in found))
+    clean = corpus_pipeline.drop_toxic(spark, docs, path)
+    want = [r for r in rows if not (r[0] is not None and r[0] < 240 and r[0] % 4 == 0)]
+    assert clean.columns == docs.columns and shape(clean.collect()) == shape(want)
+    one = corpus_pipeline.drop_copies(spark, clean, path)
+    best = {}
+    for r in want:
+        text = r[1] or ""
+        if text not in best or (r[0] or -1) > (best[text][0] or -1):
+            best[text] = r
+    assert one.columns == docs.columns and shape(one.collect()) == shape(best.values())
+    near = corpus_pipeline.drop_near_copies(spark, one, path)
+    left = [r for r in best.values() if r[0] not in (301, 302, 303)]
+    assert near.columns == docs.columns and shape(near.collect()) == shape(left)
+    mixed = corpus_pipeline.mix(spark, near, path)
+    taken = mixing.mix_sources(near).toPandas()
+    assert mixed.columns == docs.columns
+    assert sum(len(r.text.split()) for r in mixed.collect()) == taken.taken.sum() and abs(taken.taken.sum() - 1.5 * taken["size"].sum()) < 200
+    pieces = corpus_pipeline.pack(spark, mixed, path).toPandas()
+    encoder = packing.Encoder(packing.default_tokenizer())
+    assert pieces.length.sum() == sum(len(encoder.ids(r.text or "")) + 1 for r in mixed.collect())
+    ran = corpus_pipeline.run(spark, path).toPandas()
+    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert ran[cols].astype(str).sort_values(cols).reset_index(drop=True).equals(pieces[cols].astype(str).sort_values(cols).reset_index(drop=True))
+
+
+def test_pipeline_on_an_empty_table(spark, corpus):
+    path, _ = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, path).count() == 0, name
+
+
 def test_substring_windows_by_brute_force(spark):
     rng = np.random.default_rng(3)
     passage = [f"p{i}" for i in range(60)]
