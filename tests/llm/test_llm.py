@@ -372,10 +372,10 @@ def test_language_model_keeps_all_ngrams_at_any_size(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3)
     for shard in (200, 10**6):  # words split over many shards; one shard
         model, _ = lm_scoring.train(docs.filter("learn").select("text"), least_share=0.02, shard=shard)
-        code = lambda w: model.hashes([w.encode()])
-        part = lambda s, i: int(model.part(code(s[i - 2]) if i > 1 else np.zeros(1, dtype=np.uint64), code(s[i - 1]))[0])
+        code = lambda w: model.codes([w.encode()])
+        part = lambda s, i: int(model.part(code(s[i - 2]) if i > 1 else np.array([lm_scoring.NONE]), code(s[i - 1]))[0])
         two = Counter((part(s, i), s[i - 1], s[i]) for s in map(split, texts) for i in range(1, len(s)))  # a split word's pairs are counted by part
-        assert (len(model.hot) > 0) == (shard == 200)
+        assert (len(model.parts) > 0) == (shard == 200)
         follow = lambda counts, context: [n for g, n in counts.items() if g[:-1] == context]
 
         def p(s, i, k):
