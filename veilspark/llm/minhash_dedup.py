@@ -4,12 +4,12 @@ Texts of equal shingle sets are one node. A node's signature has ``COORDS`` coor
 (coordinate, value) pair is a posting list. A pair of nodes that agrees in ``MATCHES`` coordinates
 shares one of the ``COORDS - MATCHES + 1`` rarest of either (a global order, by counts in a table of fixed
 size), so only these prefixes are posted. Lists are merged in three steps. First each node is compared
-with the smallest nodes of its lists (of those that agree in ``MATCHES`` coordinates, the most alike and the smallest),
-which joins large groups by stars, without all pairs. Then lists whose nodes already lie in one component are skipped; in the
-others the nodes outside the list's largest component are compared with that component's core, its node with the fewest
-shingles of its own. Last, in lists that still span components, they are compared with all the rest of other components, unless
-a bound rules a link out: the smallest node of the first step is a node's hub; its set was
-compared with the hub's, so it is known which of the hub's shingles it holds (a bit each) and which others. Two nodes of one hub share
+with the smallest node of its lists (the one most alike), which joins large groups by stars, without all pairs. Then lists
+whose nodes already lie in one component are skipped; the nodes of the others are compared with a core: the node of
+their lists' largest component that is in most of such lists. Last, in lists that still span components, the nodes outside the
+list's largest component are compared with all the rest of other components, unless
+a bound rules a link out: the core that a node was compared with is its hub, so it is known which of the
+hub's shingles the node holds (a bit each) and which others. Two nodes of one hub share
 at most the hub's shingles that both hold, and of the others no more than either has that occur in several nodes of that
 hub. The bound is exact. Candidates are kept if their
 signatures agree in ``MATCHES`` coordinates, and links are confirmed on the full shingle sets.
@@ -185,18 +185,15 @@ def _spanning(posted: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(spans, "token").withColumn("outside", F.col("label") != F.col("most"))
 
 
-def _marked(lists: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Of the nodes in ``lists``: node, n, label, hub, bits, several (shingles that are not the hub's but are in other nodes of the
-    hub), own (those in no other); a node without a hub is its own."""
-    crowd = lists.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"))
-    told = hubs.join(crowd.select("node"), "node", "left_semi")
-    rest = told.select("hub", "node", F.explode("rest").alias("shingle"))
+def _marked(crowd: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Of the nodes in ``crowd``: node, hub, bits, several (shingles that are not the hub's but are in other nodes of the
+    hub); a node without a hub is its own."""
+    rest = hubs.select("hub", "node", F.explode("rest").alias("shingle"))
     shared = rest.groupBy("hub", "shingle").agg(F.count("*").alias("k")).filter("k > 1").select("hub", "shingle")
     several = rest.join(shared, ["hub", "shingle"]).groupBy("node").agg(F.count("*").alias("several"))
-    known = told.select("node", "hub", "bits", F.size("rest").alias("others")).join(several, "node", "left")
+    known = hubs.select("node", "hub", "bits").join(several, "node", "left")
     every = F.array_repeat(F.lit(-1).cast("long"), F.ceil(F.col("n") / 64).cast("int"))
-    found = crowd.join(known, "node", "left").withColumn("several", F.coalesce("several", F.lit(0)))
-    return found.select("node", "n", "label", F.coalesce("hub", "node").alias("hub"), F.coalesce("bits", every).alias("bits"), "several", (F.coalesce("others", F.lit(0)) - F.col("several")).alias("own"))
+    return crowd.join(known, "node", "left").select("node", F.coalesce("hub", "node").alias("hub"), F.coalesce("bits", every).alias("bits"), F.coalesce("several", F.lit(0)).alias("several"))
 
 
 def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
@@ -208,22 +205,20 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_co
     posted = scratch(postings(nodes), "postings")
     compared = lambda pairs: _compared(pairs, docs, nodes, k, percent, id_col, text_col)
     near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    # Stars: each node with the smallest nodes of its lists.
+    # Stars: each node with the smallest node of its lists; of several such, the one most alike.
     heads = posted.groupBy("token").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1").select("token", F.col("head.node").alias("a"), F.col("head.n").alias("m"))
     stars = _alike(posted.join(heads, "token").filter((F.col("node") != F.col("a")) & near).select("a", F.col("node").alias("b")), nodes)
-    picked = stars.groupBy("b").agg(F.max(F.struct("same", "a")).alias("best"), F.min("a").alias("hub"))
-    first = scratch(picked.select("b", "hub", F.explode(F.array_distinct(F.array("best.a", "hub"))).alias("a")), "stars")
-    seen = scratch(compared(first), "compared")
-    hubs = seen.join(first.filter("a = hub"), ["a", "b"]).select(F.col("b").alias("node"), "hub", "bits", "rest")
-    links = seen.filter("linked").select("a", "b")
+    best = stars.groupBy("b").agg(F.max(F.struct("same", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    links = scratch(compared(scratch(best, "stars")).filter("linked").select("a", "b"), "links")
     labels = components(links)
-    # Cores: nodes outside a list's largest component with that component's core.
-    lists = scratch(_spanning(posted, labels), "lists")
-    marked = scratch(_marked(lists, hubs), "marked")
-    cores = marked.groupBy("label").agg(F.min(F.struct("own", "node", "n")).alias("core")).select(F.col("label").alias("most"), F.col("core.node").alias("a"), F.col("core.n").alias("m"))
-    asked = lists.filter("outside").select("most", F.col("node").alias("b"), "n").dropDuplicates(["most", "b"]).join(cores, "most").filter(near)
-    again = scratch(_alike(asked, nodes), "cores")
-    links = scratch(links.unionAll(compared(again).filter("linked").select("a", "b")), "links")
+    # Cores: each node of lists that span components with the core of the component that is most often the largest in them.
+    lists = _spanning(posted, labels)
+    crowd = scratch(lists.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.count("*").alias("times"), F.mode("most", True).alias("most")), "crowd")
+    cores = crowd.groupBy("label").agg(F.max(F.struct("times", "node", "n")).alias("core")).select(F.col("label").alias("most"), F.col("core.node").alias("a"), F.col("core.n").alias("m"))
+    asked = crowd.select("most", F.col("node").alias("b"), "n").join(cores, "most").filter((F.col("a") != F.col("b")) & near)
+    seen = scratch(compared(scratch(_alike(asked, nodes), "cores")), "compared")
+    marked = scratch(_marked(crowd, seen.select(F.col("b").alias("node"), F.col("a").alias("hub"), "bits", "rest")), "marked")
+    links = scratch(links.unionAll(seen.filter("linked").select("a", "b")), "links")
     labels = components(links)
     # The rest: lists that still span components, but for pairs that the hub rules out.
     mixed_lists = scratch(_spanning(posted, labels).join(marked.select("node", "hub", "bits", "several"), "node"), "lists")
