@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # What a browser's \s and trim() take as blank (fixed values).
 BLANK = " \\t\\n\\x0B\\f\\r\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Marks put around matches; documents that hold one go to quarantine.
 MARKS = "﷐﷑﷒"
 CJK = "\\u4e00-\\u9fa5"
@@ -34,7 +35,7 @@ def java(pattern: str) -> str:
 
 
 def trim(column: Column | str) -> Column:
-    return F.regexp_replace(column, f"^[{BLANK}]+|[{BLANK}]+\\z", "")
+    return F.btrim(column, F.lit(BLANKS))
 
 
 def matches(column: Column | str, pattern: str) -> Column:

@@ -459,10 +459,11 @@ def order_tables(spark, sf_dir):
     cell = lambda c: F.array(F.concat(F.lit(" "), c, F.lit(" ")), F.lit(" "), F.lit("a|b"))
     row = F.when(F.col("l_linenumber") % 2 == 1, F.array(cell(F.col("l_partkey").cast("string")), cell(F.col("l_returnflag")))).otherwise(F.array(cell(F.col("l_partkey").cast("string"))))
     t = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", row.alias("r")))).alias("rs"))
-    body = t.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("part_no"), F.lit(1).alias("block_no"), F.lit("tbl").alias("kind"), F.lit(None).cast("string").alias("style"), F.lit(None).cast("string").alias("text"), F.transform("rs", lambda r: r["r"]).alias("rows"))
-    head = t.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("part_no"), F.lit(0).alias("block_no"), F.lit("p").alias("kind"), F.lit("Heading2").alias("style"), F.lit(" Order ").alias("text"), F.lit(None).cast("array<array<array<string>>>").alias("rows"))
-    foot = t.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("part_no"), F.lit(0).alias("block_no"), F.lit("p").alias("kind"), F.lit(None).cast("string").alias("style"), F.lit("foot").alias("text"), F.lit(None).cast("array<array<array<string>>>").alias("rows"))
-    return assemble.block_documents(head.unionByName(body).unionByName(foot))
+    text = lambda x: F.lit(x).cast("string")
+    block = lambda part, no, kind, style, said, rows: F.struct(F.lit(part).alias("part_no"), F.lit(no).alias("block_no"), F.lit(kind).alias("kind"), text(style).alias("style"), text(said).alias("text"), rows.alias("rows"))
+    none = F.lit(None).cast("array<array<array<string>>>")
+    blocks = F.array(block(0, 0, "p", "Heading2", " Order ", none), block(0, 1, "tbl", None, None, F.transform("rs", lambda r: r["r"])), block(1, 0, "p", None, "foot", none))
+    return assemble.block_documents(t.select(F.col("l_orderkey").alias("doc_id"), F.inline(blocks)))
 
 
 ORDER_TABLES_SQL = r"""
