@@ -6,7 +6,8 @@ shares one of the ``COORDS - MATCHES + 1`` rarest of either (a global order, by
 size), so only these prefixes are posted. Lists are merged in three steps. First each node is compared
 with the smallest node of its lists (the one most alike), which joins large groups by stars, without all pairs. Then lists
 whose nodes already lie in one component are skipped; the nodes of the others are compared with a core: the node of
-their lists' largest component that is in most of such lists. Last, in lists that still span components, the nodes outside the
+their lists' largest component that is in most of such lists; and those that stay outside it once more with its node that has the
+fewest shingles of its own. Last, in lists that still span components, the nodes outside the
 list's largest component are compared with all the rest of other components, unless
 a bound rules a link out: the core that a node was compared with is its hub, so it is known which of the
 hub's shingles the node holds (a bit each) and which others. Two nodes of one hub share
@@ -187,13 +188,13 @@ def _spanning(posted: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _marked(crowd: DataFrame, hubs: DataFrame) -> DataFrame:
     """Of the nodes in ``crowd``: node, hub, bits, several (shingles that are not the hub's but are in other nodes of the
-    hub); a node without a hub is its own."""
+    hub), own (those in no other); a node without a hub is its own."""
     rest = hubs.select("hub", "node", F.explode("rest").alias("shingle"))
     shared = rest.groupBy("hub", "shingle").agg(F.count("*").alias("k")).filter("k > 1").select("hub", "shingle")
     several = rest.join(shared, ["hub", "shingle"]).groupBy("node").agg(F.count("*").alias("several"))
-    known = hubs.select("node", "hub", "bits").join(several, "node", "left")
+    known = hubs.select("node", "hub", "bits", F.size("rest").alias("others")).join(several, "node", "left")
     every = F.array_repeat(F.lit(-1).cast("long"), F.ceil(F.col("n") / 64).cast("int"))
-    return crowd.join(known, "node", "left").select("node", F.coalesce("hub", "node").alias("hub"), F.coalesce("bits", every).alias("bits"), F.coalesce("several", F.lit(0)).alias("several"))
+    return crowd.join(known, "node", "left").select("node", F.coalesce("hub", "node").alias("hub"), F.coalesce("bits", every).alias("bits"), F.coalesce("several", F.lit(0)).alias("several"), (F.coalesce("others", F.lit(0)) - F.coalesce("several", F.lit(0))).alias("own"))
 
 
 def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
@@ -220,6 +221,13 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_co
     marked = scratch(_marked(crowd, seen.select(F.col("b").alias("node"), F.col("a").alias("hub"), "bits", "rest")), "marked")
     links = scratch(links.unionAll(seen.filter("linked").select("a", "b")), "links")
     labels = components(links)
+    # Once more, nodes outside the largest component with its node that has the fewest shingles of its own.
+    lists = _spanning(posted, labels)
+    crowd = scratch(lists.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.mode("most", True).alias("most")), "crowd")
+    cores = crowd.join(marked.filter("hub <> node").select("node", "own"), "node").groupBy("label").agg(F.min(F.struct("own", "node", "n")).alias("core")).select(F.col("label").alias("most"), F.col("core.node").alias("a"), F.col("core.n").alias("m"))
+    asked = crowd.filter("label <> most").select("most", F.col("node").alias("b"), "n").join(cores, "most").filter(near)
+    links = scratch(links.unionAll(compared(scratch(_alike(asked, nodes), "cores")).filter("linked").select("a", "b")), "links")
+    labels = components(links)
     # The rest: lists that still span components, but for pairs that the hub rules out.
     mixed_lists = scratch(_spanning(posted, labels).join(marked.select("node", "hub", "bits", "several"), "node"), "lists")
     one = mixed_lists.filter("outside").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("hub").alias("hub_a"), F.col("bits").alias("bits_a"), F.col("several").alias("several_a"))
