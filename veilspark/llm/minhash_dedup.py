@@ -9,10 +9,10 @@ whose nodes already lie in one component are skipped; the nodes of the others ar
 their lists' largest component that is in most of such lists; and those that stay outside it once more with its node that has the
 fewest shingles of its own. Last, in lists that still span components, the nodes outside the
 list's largest component are compared with all the rest of other components, unless
-a bound rules a link out: the core that a node was compared with is its hub, so it is known which of the
+coordinates' last bits tell that too few agree, or a bound rules a link out: the core that a node was compared with is its hub, so it is known which of the
 hub's shingles the node holds (a bit each) and which others. Two nodes of one hub share
 at most the hub's shingles that both hold, and of the others no more than either has that occur in several nodes of that
-hub. The bound is exact. Candidates are kept if their
+hub. Both tests are exact. Candidates are kept if their
 signatures agree in ``MATCHES`` coordinates, and links are confirmed on the full shingle sets.
 
 ``MATCHES`` of 36 of 64 loses a pair of similarity 0.8 with a probability of about 1e-5.
@@ -61,10 +61,22 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def briefs(sig: np.ndarray) -> np.ndarray:
+    """The last four bits of each coordinate, 16 of them to a number."""
+    last = (sig & np.uint32(15)).astype(np.uint64).reshape(len(sig), COORDS // 16, 16)
+    return np.bitwise_or.reduce(last << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+
+
+def _unlike(i: int) -> str:
+    """SQL for how many of 16 coordinates differ in their last four bits."""
+    x = f"(brief_a[{i}] ^ brief[{i}])"
+    return f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {0x1111111111111111}L)"
+
+
 def sketch(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n (set size), node (from the set; null for empty sets), sig, and ``more`` columns as they are."""
+    """doc_id, n (set size), node (from the set; null for empty sets), sig, brief, and ``more`` columns as they are."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"), *more)
-    schema = rows.select(F.col("doc_id"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("node"), F.lit(b"").alias("sig"), *more).schema
+    schema = rows.select(F.col("doc_id"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("node"), F.lit(b"").alias("sig"), F.array(F.lit(0).cast("long")).alias("brief"), *more).schema
     for field in schema:
         field.nullable = True
 
@@ -72,12 +84,14 @@ def sketch(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col:
         hashes = WordHashes()
         for batch in batches:
             sets = _sets(batch.column(1).cast(pa.binary()).to_pylist(), k, hashes)
-            sig = iter(signatures([s for s in sets if len(s)]))
+            found = signatures([s for s in sets if len(s)])
+            sig, short = iter(found), iter(briefs(found))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                 "sig": pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
+                "brief": pa.array([next(short) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 **{name: batch.column(2 + i) for i, name in enumerate(more)},
             })
 
@@ -202,7 +216,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_co
     smallest id) and ``more`` columns. Groups that hold different texts of one id differ in label only."""
     sketches = scratch(sketch(docs, k, id_col, text_col, more), "sketches")
     linkable = sketches.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = scratch(linkable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
+    nodes = scratch(linkable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief")), "nodes")
     posted = scratch(postings(nodes), "postings")
     compared = lambda pairs: _compared(pairs, docs, nodes, k, percent, id_col, text_col)
     near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
@@ -229,12 +243,13 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_co
     links = scratch(links.unionAll(compared(scratch(_alike(asked, nodes), "cores")).filter("linked").select("a", "b")), "links")
     labels = components(links)
     # The rest: lists that still span components, but for pairs that the hub rules out.
-    mixed_lists = scratch(_spanning(posted, labels).join(marked.select("node", "hub", "bits", "several"), "node"), "lists")
-    one = mixed_lists.filter("outside").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("hub").alias("hub_a"), F.col("bits").alias("bits_a"), F.col("several").alias("several_a"))
-    two = mixed_lists.select("token", F.col("node").alias("b"), "n", "label", "outside", "hub", "bits", "several")
+    mixed_lists = scratch(_spanning(posted, labels).join(marked.select("node", "hub", "bits", "several"), "node").join(nodes.select("node", "brief"), "node"), "lists")
+    one = mixed_lists.filter("outside").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("hub").alias("hub_a"), F.col("bits").alias("bits_a"), F.col("several").alias("several_a"), F.col("brief").alias("brief_a"))
+    two = mixed_lists.select("token", F.col("node").alias("b"), "n", "label", "outside", "hub", "bits", "several", "brief")
     both = F.expr("aggregate(zip_with(bits_a, bits, (x, y) -> bit_count(x & y)), 0, (s, x) -> s + x)") + F.least("several", "several_a")
+    alike = F.expr(f"{' + '.join(map(_unlike, range(COORDS // 16)))} <= {COORDS - MATCHES}")  # else fewer than MATCHES coordinates agree
     may = (F.col("hub") != F.col("hub_a")) | (both * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
-    pairs = one.join(two, "token").filter((F.col("label") != F.col("other")) & near & (~F.col("outside") | (F.col("a") < F.col("b"))) & may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = one.join(two, "token").filter((F.col("label") != F.col("other")) & near & (~F.col("outside") | (F.col("a") < F.col("b"))) & alike & may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     candidates = scratch(_alike(pairs, nodes), "pairs")
     if not candidates.isEmpty():
         labels = components(scratch(links.unionAll(compared(candidates).filter("linked").select("a", "b")), "links"))
