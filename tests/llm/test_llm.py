@@ -29,7 +29,8 @@ def odd(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_meets_its_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DIR}/documents.parquet'")
+    for table in ("documents", "embeddings", "labels"):
+        con.sql(f"create view {table} as select * from '{DIR}/{table}.parquet'")
     want, got = con.sql(SQL[name]).df(), QUERIES[name](spark, DIR).toPandas()
     cols = sorted(want.columns)
     shape = lambda d: d[cols].astype(str).sort_values(cols).reset_index(drop=True)
