@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import centroid_clustering, exact_dedup, filter_audit, line_dedup, lm_scoring, minhash_dedup, mixing, nn_descent, packing, sharding, substring_dedup, toxicity
+from . import centroid_clustering, exact_dedup, filter_audit, line_dedup, lm_scoring, minhash_dedup, mixing, ngram_join, nn_descent, packing, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op5_nn_descent": nn_descent.op5_nn_descent,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op11_centroid_clustering": centroid_clustering.op11_centroid_clustering,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_ngram_join": ngram_join.op13_ngram_join,
 }
 SQL = {
     "op3_sharding": sharding.OP3_SQL,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import xxhash
 
@@ -46,3 +48,8 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     if len(words) == 0:
         return np.zeros(0, dtype=np.uint64)
     return np.unique(grams(words, k) if len(words) >= k else grams(words, len(words)) + np.uint64(len(words)))
+
+
+def set_hash(shingles: np.ndarray) -> int:
+    """A 64-bit hash of a shingle set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
