@@ -7,7 +7,8 @@ eight ranges of the shingles after it. A pair is sought where it shares a posted
 - by length: the smaller set has fewer than t times as many shingles;
 - by position: too few shingles are left from the shared one on;
 - by suffix: shingles before the shared one, and the differences of the ranges' sizes after it, are already too different.
-These bounds hold for a pair's first shared shingle, whose row always decides for the pair. What passes is verified on the full sets, once for each pair.
+These bounds hold for a pair's first shared shingle, whose row always decides for the pair. A pair that passes is held once more against the sizes of ``RANGES``
+ranges of the whole sets (kept with the nodes, a byte each), and what is left is verified on the full sets, once for each pair.
 
 Links are asked for as components, so not all pairs of a group are listed. First each posting list is passed once in order of position:
 every node is paired with the list's first node, the one with the fewest rare shingles. Then only lists whose nodes still
@@ -38,6 +39,7 @@ LEAST, FREQUENT = 8, 1 << 18  # shingles ranked by count: met so often, and at m
 LIST = 50_000  # nodes of one list that a task of the first pass takes
 FEW = 1 << 20  # ids that are broadcast at most (8 MiB); more are joined by a shuffle
 CLASS = math.log(1.03)
+RANGES = 128
 
 
 def _sets(texts, k: int, hashes: WordHashes) -> list[np.ndarray]:
@@ -48,8 +50,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
 
 
+def _ranges(s: np.ndarray) -> bytes | None:
+    """The numbers of shingles in RANGES ranges of hashes, modulo 256."""
+    return np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=RANGES).astype(np.uint8).tobytes() if len(s) else None
+
+
 def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """One pass over the texts. kind 0: a document's id, set size and node; kind 1: a shingle met again in the task, its count."""
+    """One pass over the texts. kind 0: a document's id, set size, node and sizes of ranges; kind 1: a shingle met again in the task, its count."""
 
     def run(batches):
         hashes, again, once = WordHashes(), {}, np.zeros(0, dtype=np.uint64)
@@ -57,12 +64,12 @@ def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
         def shingles():
             keys = np.fromiter(again.keys(), dtype=np.uint64, count=len(again)).view(np.int64)
             counts = pa.array(np.fromiter(again.values(), dtype=np.int64, count=len(again)))
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(again), dtype=np.int32)), pa.array(keys), counts, pa.nulls(len(again), pa.int64())], ["kind", "a", "b", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(again), dtype=np.int32)), pa.array(keys), counts, pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.binary())], ["kind", "a", "b", "c", "d"])
 
         for batch in text_slices(batches):
             sets = _sets(batch.column(1).cast(pa.binary()).to_pylist(), k, hashes)
             node = pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), dtype=np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), node], ["kind", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), dtype=np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), node, pa.array([_ranges(s) for s in sets], pa.binary())], ["kind", "a", "b", "c", "d"])
             keys, counts = np.unique(np.concatenate([once, *sets]), return_counts=True)
             for x, n in zip(keys[counts > 1].tolist(), counts[counts > 1].tolist(), strict=True):
                 again[x] = again[x] + n - 1 if x in again else n
@@ -72,7 +79,7 @@ def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 again.clear()
         yield shingles()
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "kind int, a long, b long, c long")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "kind int, a long, b long, c long, d binary")
 
 
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -215,8 +222,25 @@ def crossing(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return met.filter((F.col("label") != F.col("other")) & shorter & position & suffix).select("a", F.col("node").alias("b")).dropDuplicates()
 
 
+def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose ranges' sizes do not tell that they differ too much; sizes are known modulo 256, so their difference is at least the shorter way round."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, RANGES) for i in (4, 5))
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            apart = np.abs((x - y).view(np.int8).astype(np.int64)).sum(axis=1)
+            yield batch.select([0, 1]).filter(pa.array(apart <= n + m - 2 * allowed(n, m, percent)))
+
+    left, right = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("ranges").alias(f"ranges_{k}")) for k in "ab")
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b")
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a stored table) whose full sets are similar enough."""
+    if pairs.isEmpty():
+        return pairs
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).dropDuplicates()
     ids = scratch(nodes.join(wanted, "node").select(F.col("rep").alias("doc_id")).dropDuplicates(), "wanted")
     if ids.count() <= FEW:
@@ -249,16 +273,17 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     found = scratch(sketch(docs, k, id_col, text_col), "sketch", "kind")
     members = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
     takes_part = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
-    nodes = scratch(members.filter(takes_part).groupBy("node").agg(F.min("doc_id").alias("rep")), "nodes")
+    of_set = found.filter("kind = 0 AND a IS NOT NULL AND c IS NOT NULL").groupBy(F.col("c").alias("node"))
+    nodes = scratch(of_set.agg(F.min("a").alias("rep"), F.first("b").alias("n"), F.first("d").alias("ranges")), "nodes")
     frequent = spark.sparkContext.broadcast(_frequent(found.filter("kind = 1")))
     rows = scratch(lists(postings(docs, k, percent, id_col, text_col, frequent), percent), "lists")
-    check = lambda pairs: verified(scratch(pairs, "pairs"), docs, nodes, k, percent, id_col, text_col)
+    check = lambda pairs: verified(scratch(near(pairs, nodes, percent), "pairs"), docs, nodes, k, percent, id_col, text_col)
     links = scratch(check(rows.filter("head IS NOT NULL").select(F.col("head").alias("a"), F.col("node").alias("b")).dropDuplicates()), "links")
     labels = components(links)
     more = scratch(check(crossing(rows, labels, percent)), "links")
     if not more.isEmpty():
         labels = components(scratch(links.unionAll(more), "links"))
-    where = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    where = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     of_node = where.join(where.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("node", "component_id")
     linked = members.filter(takes_part).join(of_node, "node").select("doc_id", "n_shingles", "component_id")
     return linked.unionAll(members.filter(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
