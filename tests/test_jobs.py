@@ -93,19 +93,6 @@ def test_streamed_documents_match_the_batch(spark):
     assert rows("stream_redact") == rows("redact_documents")
 
 
-def test_stored_history_survives_a_restart(spark, tmp_path):
-    """A new checkpoint goes on from the stored records, which expire with time."""
-    ok, day = "2024.01.02.3+0123456789", datetime(2024, 2, 1)
-    rid = lambda n: f"JQ-{n:08x}-0000-0000-0000-000000000000"
-    schema = history.RECORD + ", pos long"
-    for turn, n in enumerate((1, 2)):
-        spark.createDataFrame([(7, rid(n), day + timedelta(days=turn), ok, [], n)], schema).write.parquet(str(tmp_path / f"in{turn}"))
-        stream = jobs.maintain_history(jobs.read_stream(spark, str(tmp_path / f"in{turn}"), schema), str(tmp_path / "kept"), F.lit(day + timedelta(days=turn)))
-        stream.option("checkpointLocation", str(tmp_path / f"state{turn}")).trigger(availableNow=True).start().awaitTermination()
-    ids = lambda now: sorted(r.id for r in jobs.stored_history(spark, str(tmp_path / "kept"), F.lit(now)).collect())
-    assert ids(day + timedelta(days=1)) == [rid(1), rid(2)] and ids(day + timedelta(days=30)) == [rid(2)]
-
-
 def test_decisions_without_ids_are_left_out(spark):
     match = "match_id string, start int, `end` int, value string, category string, placeholder string, selected boolean"
     docs = spark.createDataFrame([(1, [("a-0-1", 0, 1, "v", "amount", "P", True)])], f"doc_id long, matches array<struct<{match.replace(' ', ':').replace(',:', ',')}>>")

@@ -22,9 +22,14 @@ def new_run_id() -> Column:
     return F.concat(F.lit("JQ-"), F.uuid())
 
 
+def well_formed() -> Column:
+    """Whether a record's id and version have the asked form."""
+    return F.col("id").rlike(fixed.RUN_ID) & F.col("version").rlike(fixed.VERSION)
+
+
 def valid(records: DataFrame, now: Column) -> DataFrame:
     recent = (F.col("created_at") > now - F.expr(f"INTERVAL {fixed.HISTORY_DAYS} DAYS")) & (F.col("created_at") <= now)
-    return records.filter(F.col("id").rlike(fixed.RUN_ID) & recent & F.col("version").rlike(fixed.VERSION) & F.col("counts").isNotNull())
+    return records.filter(well_formed() & recent & F.col("counts").isNotNull())
 
 
 def clean_counts(counts: Column) -> Column:

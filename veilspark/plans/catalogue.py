@@ -511,15 +511,15 @@ def stream_redact(spark, sf_dir):
 
 
 def stream_history(spark, sf_dir):
-    """Records replayed as a stream into the stored history; read back."""
-    from ..streaming import jobs
+    """Records replayed as a stream through keyed state; what is in force is read back."""
+    from ..streaming import history as stateful
 
     out = _shared(spark)
     events = table(spark, sf_dir, "events")
-    now = F.lit(events.agg(F.max("ts").cast("timestamp").alias("t")).first()["t"])
-    query = jobs.maintain_history(history_rows(spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")), f"{out}/history", now)
-    query.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return history_shown(jobs.stored_history(spark, f"{out}/history", now))
+    now = events.agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("t")).first()["t"]
+    replay = history_rows(spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]"))
+    stateful.start_history(replay, f"{out}/changes", f"{out}/state", now, availableNow=True).awaitTermination()
+    return history_shown(stateful.stored_history(spark, f"{out}/changes"))
 
 
 QUERIES = {

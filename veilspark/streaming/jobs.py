@@ -1,14 +1,9 @@
-"""The two event-driven jobs as Structured Streaming."""
+"""Redaction as a stream; the run history is in ``history``."""
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..operators import history
 from ..operators.redact import redact
 
 
@@ -17,39 +12,5 @@ def redact_stream(docs: DataFrame, **options) -> DataFrame:
     return redact(docs, **options)
 
 
-def _newest(spark: SparkSession, snapshot: str) -> str | None:
-    """The folder of the version written last, as the snapshot's pointer names it; none before the first one."""
-    try:
-        return spark.read.text(f"{snapshot}/newest").first()[0]
-    except AnalysisException:
-        return None
-
-
-def maintain_history(records: DataFrame, snapshot: str, now: Column | None = None):
-    """A query that keeps ``snapshot`` (a folder) at the cleaned union of stored and new records.
-
-    Each batch reads the version that the pointer names, writes a new one and then the pointer, so a lost batch is
-    repeated whole, and a restart with another checkpoint goes on from what is stored. Records are judged at the
-    batch's time unless ``now`` is given.
-    """
-    spark, columns = records.sparkSession, records.columns
-
-    def absorb(batch: DataFrame, _: int) -> None:
-        stored = _newest(spark, snapshot)
-        both = batch if stored is None else batch.unionByName(spark.read.schema(batch.schema).parquet(stored))
-        count = lambda c: F.struct(c["category"].alias("category"), c["replaced"].cast("double").alias("replaced"), c["kept"].cast("double").alias("kept"))
-        clean = history.cleaned(both, F.current_timestamp() if now is None else now).withColumn("counts", F.transform("counts", count))
-        version = f"{snapshot}/v-{uuid.uuid4().hex}"
-        clean.select(*columns).write.parquet(version)
-        spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{snapshot}/newest")
-
-    return records.writeStream.foreachBatch(absorb)
-
-
-def stored_history(spark: SparkSession, snapshot: str, now: Column | None = None) -> DataFrame:
-    """The stored records that are still valid at ``now`` (the present time, if none is given)."""
-    return history.cleaned(spark.read.parquet(_newest(spark, snapshot)), F.current_timestamp() if now is None else now)
-
-
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
