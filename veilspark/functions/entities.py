@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import fixed
 from .detectors import is_party, is_person
 from .dialect import BLANK, escaped, extract, matches, replace, trim
-from .spans import candidate, none, scan_fields, scan_fields_each, scan_java
+from .spans import bound, candidate, none, scan_fields, scan_fields_each, scan_java
 
 ENTITY = "array<struct<value:string,category:string,placeholder:string>>"
 
@@ -116,24 +116,17 @@ def party_aliases(text: Column, parties: Column) -> Column:
     return F.get(F.transform(F.array(F.flatten(F.transform(parties, of))), first), F.lit(0))
 
 
-def wrapped(text: Column, start: Column, value: Column) -> Column:
-    """The span (start, value), widened over square brackets that enclose it."""
-    end = start + F.length(value)
-    left, right = F.when(start > 0, F.substr(text, start, F.lit(1))).otherwise(""), F.substr(text, end + 1, F.lit(1))
-    both = ((left == "【") & (right == "】")) | ((left == "[") & (right == "]"))
-    return F.struct(F.when(both, start - 1).otherwise(start).alias("start"), F.when(both, F.concat(left, value, right)).otherwise(value).alias("value"))
-
-
 def mention_candidates(text: Column, entities: Column) -> Column:
     """All mentions of the entities, in their order."""
 
     def of(entity):
         default = F.create_map(*[F.lit(x) for k, v in fixed.CATEGORIES.items() for x in (k, v[1])])
         shown = F.coalesce(entity["placeholder"], F.element_at(default, entity["category"]))
-        spans = F.transform(scan_java(text, flexible(entity["value"])), lambda h: wrapped(text, h["start"], h["value"]))
-        return F.transform(spans, lambda s: candidate(s["start"], s["value"], entity["category"], shown))
+        # A mention in square brackets is found with them.
+        mention = bound(flexible(entity["value"]), lambda p: F.concat(F.lit("【(?:"), p, F.lit(")】|\\[(?:"), p, F.lit(")\\]|"), p))
+        return F.transform(scan_java(text, mention), lambda h: candidate(h["start"], h["value"], entity["category"], shown))
 
     return F.flatten(F.transform(entities, of))
 
 
-__all__ = ["assigned_parties", "cleaned", "declared_roles", "extract", "flexible", "mention_candidates", "party_aliases", "preamble", "related_entities", "with_labelled_parties", "wrapped"]
+__all__ = ["assigned_parties", "cleaned", "declared_roles", "extract", "flexible", "mention_candidates", "party_aliases", "preamble", "related_entities", "with_labelled_parties"]

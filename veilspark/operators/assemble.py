@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.dialect import BLANK, matches, replace, trim
+from ..functions.spans import swept
 
 NEEDED = "^word/(?:document|(?:header|footer)[0-9]+)\\.xml$"
 
@@ -32,13 +33,12 @@ def page_texts(items: DataFrame) -> DataFrame:
         space = (i > 0) & ~line & ~matches(m["str"], "^\\s") & ((gap > height * 0.25) | (words & (gap > height * 0.08)))
         return F.struct(line.alias("line"), space.alias("space"), m["str"].alias("str"), m["has_eol"].alias("eol"))
 
-    def step(acc, m):
-        brk = F.when(m["line"] & (acc["end"] != "\n"), "\n").when(m["space"] & ~matches(acc["end"], "^\\s"), " ").otherwise("")
+    def step(state, m):
+        brk = F.when(m["line"] & (state["end"] != "\n"), "\n").when(m["space"] & ~matches(state["end"], "^\\s"), " ").otherwise("")
         piece = F.concat(brk, m["str"], F.when(m["eol"], "\n").otherwise(""))
-        return F.struct(F.array_append(acc["parts"], piece).alias("parts"), F.when(piece == "", acc["end"]).otherwise(F.right(piece, F.lit(1))).alias("end"))
+        return F.struct(F.when(piece == "", state["end"]).otherwise(F.right(piece, F.lit(1))).alias("end")), piece, F.lit(True)
 
-    zero = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("end"))
-    text = F.array_join(F.aggregate(F.transform("items", joined), zero, step, lambda acc: acc["parts"]), "")
+    text = F.array_join(swept(F.transform("items", joined), F.struct(F.lit("").alias("end")), step, "array<string>"), "")
     text = F.regexp_replace(F.regexp_replace(text, "[ \\t]+\\n", "\n"), "\\n{3,}", "\n\n")
     return pages.select("doc_id", "page", trim(text).alias("text"))
 
