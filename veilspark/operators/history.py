@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,14 @@ def run_counts(matches: DataFrame) -> DataFrame:
     return each.groupBy("doc_id").agg(F.transform(rows, lambda x: x["c"]).alias("counts"))
 
 
-def new_run_id() -> Column:
-    return F.concat(F.lit("JQ-"), F.uuid())
+def new_run_id(*keys: Column, seed: str | None = None) -> Column:
+    """Run ids, one for each value of ``keys``, drawn once: the job draws a seed when the plan is made, and a row's id follows from it and the row's keys.
+
+    So a task that runs again, and a record and a report that are made from the same rows, have the same ids.
+    """
+    drawn = F.lit(uuid.uuid4().hex if seed is None else seed)
+    h = F.sha2(F.concat_ws("\x1f", drawn, *[F.coalesce(k.cast("string"), F.lit("\x1e")) for k in keys]), 256)
+    return F.concat(F.lit("JQ-"), F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
 
 
 def well_formed() -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, detectors, entities, fixed, spans
 from ..functions.dialect import MARKS, trim
+from .terms import with_terms
 
 
 def normalised(text: Column) -> Column:
@@ -46,8 +47,11 @@ def admitted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("reject_reason", reason).withColumn(text_col, F.when(F.col("reject_reason").isNull(), normalised(F.col(text_col))).otherwise(F.col(text_col)))
 
 
-def detected(docs: DataFrame, rules: list[tuple] = fixed.DETECTORS, fields: list[tuple] | None = fixed.FIELDS, parties: bool = True, persons: bool = True, terms: str = "", keep_amounts: bool = False, manual_type: str | None = None) -> DataFrame:
-    """``docs`` (normalised text) with doc_type, type_name and candidates in order of insertion."""
+def detected(docs: DataFrame, rules: list[tuple] = fixed.DETECTORS, fields: list[tuple] | None = fixed.FIELDS, parties: bool = True, persons: bool = True, terms: str = "", keep_amounts: bool = False, manual_type: str | None = None, term_table: DataFrame | None = None, folder: str | None = None) -> DataFrame:
+    """``docs`` (normalised text) with doc_type, type_name and candidates in order of insertion.
+
+    ``terms`` is a user's list; ``term_table`` (term_no, term) is for many, see ``terms.with_terms``.
+    """
     text = F.col("text")
     manual = None if manual_type is None else F.lit(manual_type)
     out = docs.withColumn("doc_type", classify.document_type(text, manual)).withColumn("type_name", classify.type_name(text, F.col("doc_type"), manual))
@@ -63,7 +67,10 @@ def detected(docs: DataFrame, rules: list[tuple] = fixed.DETECTORS, fields: list
         found.append(detectors.person_candidates(text))
     if terms:
         found.append(detectors.term_candidates(text, detectors.parsed_terms(terms)))
-    return out.withColumn("candidates", F.concat(*found))
+    if term_table is not None:
+        out = with_terms(out, term_table, "__terms", folder=folder)
+        found.append(F.col("__terms"))
+    return out.withColumn("candidates", F.concat(*found)).drop("__terms")
 
 
 def matched(docs: DataFrame, strict: bool = False) -> DataFrame:
@@ -89,6 +96,28 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     return replaced(matched(detected(good, **options), strict))
 
 
+OUTCOMES = "accepted", "rejected"
+
+
+def with_outcome(docs: DataFrame, **options) -> DataFrame:
+    """Every document once: its outcome (accepted or rejected), the reason, and what redaction made of it (null if rejected).
+
+    Rejected texts stay as they came and are not searched: the plan sees an empty text in their place.
+    """
+    strict = options.pop("strict", False)
+    every = admitted(docs).withColumn("__raw", F.when(F.col("reject_reason").isNotNull(), F.col("text"))).withColumn("text", F.when(F.col("reject_reason").isNull(), F.col("text")).otherwise(""))
+    done = replaced(matched(detected(every, **options), strict))
+    made = [c for c in done.columns if c not in docs.columns and c not in ("reject_reason", "__raw")]
+    good = F.col("reject_reason").isNull()
+    shown = done.withColumns({c: F.when(good, F.col(c)) for c in made}).withColumn("text", F.when(good, F.col("text")).otherwise(F.col("__raw")))
+    return shown.drop("__raw").withColumn("outcome", F.when(good, OUTCOMES[0]).otherwise(OUTCOMES[1]))
+
+
+def write_outcomes(docs: DataFrame, path: str, **options) -> None:
+    """Both sinks from one pass and one commit: ``path``/outcome=accepted and ``path``/outcome=rejected."""
+    with_outcome(docs, **options).write.partitionBy("outcome").parquet(path)
+
+
 def with_late_term(docs: DataFrame, term: str) -> DataFrame:
     """Adds a term to documents already matched; without hits nothing changes."""
     added = F.transform(detectors.term_candidates(F.col("text"), [term.strip()] if term.strip() else [], numbered=False), lambda c: F.struct(spans.match_id(c).alias("match_id"), c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["category"].alias("category"), c["placeholder"].alias("placeholder"), F.lit(True).alias("selected")))

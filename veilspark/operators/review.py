@@ -33,12 +33,15 @@ def category_order(category: Column) -> Column:
 
 
 def with_decisions(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Applies decisions (doc_id, match_id, selected, placeholder); an empty placeholder becomes the deleted token.
+    """Applies decisions (doc_id, match_id, selected, placeholder and, if there is one, decided_at); an empty placeholder becomes the deleted token.
 
-    Of several decisions on one match the greatest counts; decisions without a match id or document are left out.
+    Of several decisions on one match the last selection and the last placeholder count, each for itself (a null decides nothing); of
+    decisions of one time, or without a time, the greatest. Decisions without a match id or document are left out.
     """
     named = decisions.filter("doc_id IS NOT NULL AND match_id IS NOT NULL")
-    nested = named.groupBy("doc_id", "match_id").agg(F.max(F.struct("selected", "placeholder")).alias("d")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("match_id", "d"))).alias("__decided"))
+    at = F.col("decided_at") if "decided_at" in decisions.columns else F.lit(None).cast("timestamp")
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("v"))))["v"].alias(c)
+    nested = named.groupBy("doc_id", "match_id").agg(last("selected"), last("placeholder")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("match_id", F.struct("selected", "placeholder").alias("d")))).alias("__decided"))
 
     def decided(m):
         d = F.try_element_at("__decided", m["match_id"])
@@ -68,8 +71,12 @@ def batch_counters(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("x.g").alias("batch_group"), total.alias("total"), kept.alias("kept"), ((total > 0) & (kept == total)).alias("all_kept"))
 
 
+def n_high_risk_kept(matches: Column) -> Column:
+    return F.size(F.filter(matches, lambda m: ~m["selected"] & (risk(m["category"]) == "high"))).cast("long")
+
+
 def high_risk_kept(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size(F.filter("matches", lambda m: ~m["selected"] & (risk(m["category"]) == "high"))).cast("long").alias("high_risk_kept"))
+    return docs.select("doc_id", n_high_risk_kept(F.col("matches")).alias("high_risk_kept"))
 
 
 def match_rows(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, detectors, fixed, spans
-from ..operators import assemble, history, redact, reports, review
+from ..operators import assemble, history, redact, reports, review, terms
 from ..sources.files import spread
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,14 +80,6 @@ def custom_terms(spark, sf_dir):
 CUSTOM_TERMS_SQL = "SELECT doc_id, " + ", ".join(f"(length(text) - length(replace(text, '{t}', ''))) // {len(t)} AS n_{i}" for i, t in enumerate(("the", "License", "stupid"), 1)) + " FROM documents"
 
 
-def late_term(spark, sf_dir):
-    docs = redact.matched(table(spark, sf_dir, "documents").select("doc_id", "text", spans.none(spans.CANDIDATE).alias("candidates")))
-    done = redact.replaced(redact.with_late_term(docs, " License "))
-    return done.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.sha2("redacted", 256).alias("redacted_sha256"))
-
-
-LATE_TERM_SQL = "SELECT doc_id, (length(text) - length(replace(text, 'License', ''))) // 7 AS n_matches, sha256(replace(text, 'License', '【敏感信息】')) AS redacted_sha256 FROM documents"
-
 # --- contracts from customers: golden by construction ------------------------------------------------
 
 HEADS = {"AUTOMOBILE": ("授权委托书", "mandate"), "BUILDING": ("授权书", "authorization"), "FURNITURE": ("技术开发合同", "tech"), "HOUSEHOLD": ("货物采购合同", "purchase"), "MACHINERY": ("情况说明函", "letter")}
@@ -119,6 +111,76 @@ SELECT c_custkey AS doc_id, {_TYPE} AS doc_type,
 FROM customer"""
 
 
+def late_term(spark, sf_dir):
+    """Terms added to detected matches: one apart from them, and one that begins before a match and so takes its place."""
+    docs = redact.matched(redact.detected(redact.admitted(contracts(spark, sf_dir)).drop("reject_reason")))
+    done = redact.replaced(redact.with_late_term(redact.with_late_term(docs, " 负责 "), "交付日期为2026"))
+    return done.select("doc_id", F.size("matches").cast("long").alias("n_matches"), "redacted")
+
+
+LATE_TERM_SQL = f"""WITH r AS ({REDACT_CONTRACTS_SQL})
+SELECT doc_id, CAST(19 AS BIGINT) AS n_matches, replace(replace(redacted, '负责', '【敏感信息】'), '交付日期为20XX年XX月XX日', '【敏感信息】年3月1日') AS redacted FROM r"""
+
+
+# --- both outcomes of admission, and tables of terms ---------------------------------------------------
+
+
+def unsettled_documents(spark, sf_dir):
+    """Documents of which some are blank, hold reserved characters, are too long or of other formats."""
+    d, kind = table(spark, sf_dir, "documents"), F.col("doc_id") % 10
+    text = F.when(kind == 1, " \n\t　\n").when(kind == 2, F.concat(F.lit("a﷐b "), "text")).when(F.col("doc_id") % 50 == 3, F.rpad("text", fixed.TEXT_CHARS + 1, "x")).when(kind == 5, F.concat(F.lit("邮箱：u"), F.col("doc_id").cast("string"), F.lit("@example.com。"))).otherwise(F.col("text"))
+    name = F.when(kind == 7, "x.DOC").when(kind == 8, "x.txt").otherwise("x.md")
+    return spread(d.select("doc_id", text.alias("text"), name.alias("file_name")))
+
+
+UNSETTLED_SQL = f"""CASE WHEN doc_id % 10 = 7 THEN 'legacy format' WHEN doc_id % 10 = 8 THEN 'unknown format' WHEN doc_id % 50 = 3 THEN 'too many characters'
+  WHEN doc_id % 10 = 1 OR (doc_id % 10 NOT IN (2, 5) AND trim(text, e' \\t\\n\\r') = '') THEN 'no text' WHEN doc_id % 10 = 2 THEN 'reserved characters' END"""
+_OUTCOMES_SQL = f"""WITH d AS (SELECT *, {UNSETTLED_SQL} AS reject_reason FROM documents)
+SELECT doc_id, CASE WHEN reject_reason IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, reject_reason, CASE WHEN doc_id % 10 = 5 THEN '邮箱：【邮箱已删除】。' END AS redacted FROM d"""
+
+
+def _outcome_rows(done):
+    """Of accepted texts only those are shown whose redaction SQL can tell."""
+    return done.select("doc_id", "outcome", "reject_reason", F.when(F.col("doc_id") % 10 == 5, F.col("redacted")).alias("redacted"))
+
+
+def quarantine(spark, sf_dir):
+    """Every document in exactly one of two sinks, written by one pass and read back."""
+    path = f"{_shared(spark)}/outcomes"
+    redact.write_outcomes(unsettled_documents(spark, sf_dir), path)
+    return _outcome_rows(spark.read.parquet(path))
+
+
+def stream_quarantine(spark, sf_dir):
+    """The same from a stream of the documents."""
+    from ..streaming import jobs
+
+    out = _shared(spark)
+    unsettled_documents(spark, sf_dir).write.parquet(f"{out}/in")
+    schema = spark.read.parquet(f"{out}/in").schema
+    jobs.outcome_stream(jobs.read_stream(spark, f"{out}/in", schema), f"{out}/outcomes", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return _outcome_rows(spark.read.parquet(f"{out}/outcomes"))
+
+
+def term_table(spark, sf_dir):
+    """Hits of a table of terms (all names of customers, parts and suppliers, and the customers' segments) in texts that hold some of them."""
+    names = lambda t, c: table(spark, sf_dir, t).select(F.col(c).alias("term")).distinct()
+    # Numbered by place in the sorted list; the table of terms is what is broadcast, so one task may number it.
+    every = names("customer", "c_name").union(names("part", "p_name")).union(names("supplier", "s_name")).union(names("customer", "c_mktsegment")).distinct()
+    listed = every.groupBy().agg(F.array_sort(F.collect_list("term")).alias("l")).select(F.posexplode("l").alias("i", "term")).select((F.col("i") + 1).alias("term_no"), "term")
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat_ws("; ", "c_mktsegment", "c_name", "c_name", F.lit("no term"), F.substring("c_name", 1, 12)).alias("text"))
+    found = terms.with_terms(docs, listed, "found", folder=_shared(spark))
+    return found.select("doc_id", F.array_join(F.transform("found", lambda c: F.concat_ws(":", c["start"].cast("string"), c["value"], c["placeholder"])), "|").alias("hits"))
+
+
+TERM_TABLE_SQL = """
+WITH t AS (SELECT term, row_number() OVER (ORDER BY term) AS no FROM (SELECT c_name AS term FROM customer UNION SELECT p_name FROM part UNION SELECT s_name FROM supplier UNION SELECT c_mktsegment FROM customer)),
+d AS (SELECT c_custkey AS doc_id, c_mktsegment || '; ' || c_name || '; ' || c_name || '; no term; ' || c_name[1:12] AS text FROM customer),
+p AS (SELECT doc_id, no, term, string_split(text, term) AS parts FROM d JOIN t ON contains(text, term)),
+h AS (SELECT doc_id, no, term, unnest(list_transform(parts[1:len(parts) - 1], lambda x, i: list_sum(list_transform(parts[1:i], lambda y: length(y))) + (i - 1) * length(term))) AS st FROM p)
+SELECT d.doc_id, coalesce(string_agg(st || ':' || term || ':【敏感信息' || no || '】', '|' ORDER BY no, st), '') AS hits FROM d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id"""
+
+
 def classify_contracts(spark, sf_dir):
     kind = classify.document_type(F.col("text"))
     return contracts(spark, sf_dir).select("doc_id", kind.alias("doc_type"), classify.type_name(F.col("text"), kind).alias("type_name"), F.length(reports.analysis_prompt(kind)).cast("long").alias("prompt_chars"), reports.export_name(kind, F.lit(False)).alias("export_name"))
@@ -300,9 +362,10 @@ def select_all(spark, sf_dir):
 
 
 def export_notes(spark, sf_dir):
-    """The summary of an export and the note on retained risks."""
-    docs = review.high_risk_kept(reviewed(spark, sf_dir)).withColumn("pdf", F.col("doc_id") % 2 == 0)
-    return docs.select("doc_id", reports.export_summary(F.col("high_risk_kept"), F.col("pdf")).alias("summary"), reports.risk_note(F.col("high_risk_kept")).alias("note"))
+    """The summary of an export (selected matches) and the note on retained risks."""
+    chosen = F.size(F.filter("matches", lambda m: m["selected"]))
+    docs = reviewed(spark, sf_dir).withColumns({"chosen": chosen, "risky": review.n_high_risk_kept(F.col("matches"))})
+    return docs.select("doc_id", reports.export_summary(F.col("chosen"), F.col("doc_id") % 2 == 0).alias("summary"), reports.risk_note(F.col("risky")).alias("note"))
 
 
 def risk_retained(spark, sf_dir):
@@ -533,6 +596,9 @@ QUERIES = {
     "normalise": normalise,
     "custom_terms": custom_terms,
     "late_term": late_term,
+    "quarantine": quarantine,
+    "stream_quarantine": stream_quarantine,
+    "term_table": term_table,
     "resolve_spans": resolve_spans,
     "review_matches": review_matches,
     "batch_counts": batch_counts,
@@ -567,6 +633,9 @@ ORACLE = {
     "normalise": NORMALISE_SQL,
     "custom_terms": CUSTOM_TERMS_SQL,
     "late_term": LATE_TERM_SQL,
+    "quarantine": _OUTCOMES_SQL,
+    "stream_quarantine": _OUTCOMES_SQL,
+    "term_table": TERM_TABLE_SQL,
     "resolve_spans": RESOLVE_SQL,
     "review_matches": f"WITH {_REVIEW_SQL} SELECT doc_id, ordinal, st AS start, category, selected, placeholder FROM m",
     "batch_counts": f"WITH {_REVIEW_SQL}, g(batch_group, cats) AS (VALUES {_GROUPS}), k AS (SELECT t.doc_id, g.batch_group, count(m.st) AS total, count(m.st) FILTER (NOT m.selected) AS kept FROM t CROSS JOIN g LEFT JOIN m ON m.doc_id = t.doc_id AND list_contains(g.cats, m.category) GROUP BY ALL) SELECT *, total > 0 AND kept = total AS all_kept FROM k",
@@ -586,7 +655,7 @@ ORACLE = {
     "keep_amounts": _rendered_sql("> 甲\n> 乙\n\n测试文件", AMOUNT_LINES),
     "manual_types": MANUAL_SQL,
     "select_all": f"WITH {_REVIEW_SQL} SELECT doc_id, count(*) AS n_selected, count(*) AS n_matches FROM m GROUP BY doc_id",
-    "export_notes": f"WITH {_REVIEW_SQL}, k AS (SELECT doc_id, count(*) FILTER (NOT selected AND category IN ({_HIGH})) AS n FROM m GROUP BY doc_id) SELECT doc_id, '已处理 ' || n || CASE WHEN doc_id % 2 = 0 THEN ' 处候选信息。导出仅包含 PDF 提取文字的脱敏稿，不代表原 PDF 已脱敏或内容完整。' ELSE ' 处候选信息，输出文件只包含脱敏后的文本内容。' END AS summary, CASE WHEN n > 0 THEN '你保留了 ' || n || ' 处高风险信息。仍可导出，但请确认这些内容可以提交给大模型。' ELSE '' END AS note FROM k",
+    "export_notes": f"WITH {_REVIEW_SQL}, k AS (SELECT doc_id, count(*) FILTER (NOT selected AND category IN ({_HIGH})) AS n, count(*) FILTER (selected) AS c FROM m GROUP BY doc_id) SELECT doc_id, '已处理 ' || c || CASE WHEN doc_id % 2 = 0 THEN ' 处候选信息。导出仅包含 PDF 提取文字的脱敏稿，不代表原 PDF 已脱敏或内容完整。' ELSE ' 处候选信息，输出文件只包含脱敏后的文本内容。' END AS summary, CASE WHEN n > 0 THEN '你保留了 ' || n || ' 处高风险信息。仍可导出，但请确认这些内容可以提交给大模型。' ELSE '' END AS note FROM k",
     "history_deleted": HISTORY_DELETED_SQL,
     "scanned_pages": SCANNED_SQL,
 }
