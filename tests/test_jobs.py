@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilspark.operators import assemble, history, redact, review
 from veilspark.plans.catalogue import ORACLE, QUERIES
 from veilspark.sources import files
+from veilspark.sources.document_files import read_documents
 from veilspark.streaming import jobs
 
 DIR = "/root/testdata/sf0.001"
@@ -77,10 +78,9 @@ def test_files_written_and_read_again(spark, tmp_path):
     (tmp_path / "in" / "a.md").write_text("# 授权书\n联系电话：13812345678", encoding="utf-8")
     docs = files.read_markdown(spark, str(tmp_path / "in")).withColumn("doc_id", F.lit(1))
     files.write_redacted(redact.redact(docs), str(tmp_path / "out"))
-    row = spark.read.parquet(str(tmp_path / "out")).first()
-    assert (row.file_name, row.redacted, row.doc_type) == ("授权书_脱敏版.md", "# 授权书\n联系电话：【联系方式已删除】", "authorization")
+    assert tuple(read_documents(spark, str(tmp_path / "out")).first()) == ("1", "授权书_脱敏版.md", "# 授权书\n联系电话：【联系方式已删除】")
     files.write_reports(spark.createDataFrame([(1, "# r")], "doc_id long, report string"), str(tmp_path / "reports"))
-    assert tuple(spark.read.parquet(str(tmp_path / "reports")).first()) == (1, "文档_脱敏报告.md", "# r")
+    assert tuple(read_documents(spark, str(tmp_path / "reports")).first()) == ("1", "文档_脱敏报告.md", "# r")
     (tmp_path / "items.json").write_text('{"doc_id": 1, "page": 2, "item_no": 0, "str": "ab", "x": 1.0, "y": 0.0, "width": 2.0, "height": 1.0, "has_eol": false}\n', encoding="utf-8")
     assert assemble.page_texts(files.read_text_items(spark, str(tmp_path / "items.json"))).first().text == "ab"
     records = spark.createDataFrame([(1, "JQ-x", datetime(2024, 1, 1), "v", [("amount", 1.0, 0.0)])], history.RECORD)

@@ -14,6 +14,7 @@ from ..functions import fixed
 from ..operators.assemble import NEEDED
 from ..operators.history import RECORD
 from ..operators.reports import export_name
+from .document_files import write_documents
 
 ITEMS = "doc_id long, page int, item_no int, str string, x double, y double, width double, height double, has_eol boolean"
 REPORT_NAME = "文档_脱敏报告.md"
@@ -119,14 +120,24 @@ def read_text_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEMS).json(path)
 
 
+def redacted_files(docs: DataFrame, is_pdf: bool = False) -> DataFrame:
+    """folder (the document's id), file_name, content of redacted documents, named by their types."""
+    return docs.select(F.col("doc_id").cast("string").alias("folder"), export_name(F.col("doc_type"), F.lit(is_pdf)).alias("file_name"), F.col("redacted").alias("content"))
+
+
+def report_files(reports: DataFrame) -> DataFrame:
+    """folder, file_name, content of reports (doc_id, report)."""
+    return reports.select(F.col("doc_id").cast("string").alias("folder"), F.lit(REPORT_NAME).alias("file_name"), F.col("report").alias("content"))
+
+
 def write_redacted(docs: DataFrame, path: str, is_pdf: bool = False) -> None:
-    """Redacted documents with their file names, by type."""
-    docs.withColumn("file_name", export_name(F.col("doc_type"), F.lit(is_pdf))).write.mode("overwrite").partitionBy("doc_type").parquet(path)
+    """One Markdown file for each redacted document."""
+    write_documents(redacted_files(docs, is_pdf), path)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Reports (doc_id, report), a text column for each document."""
-    reports.select("doc_id", F.lit(REPORT_NAME).alias("file_name"), "report").write.mode("overwrite").parquet(path)
+    """One Markdown file for each report."""
+    write_documents(report_files(reports), path)
 
 
 def write_history(records: DataFrame, path: str) -> None:
