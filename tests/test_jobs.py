@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables; history edges; office packages."""
 
 import io
+import os
 import zipfile
 from datetime import datetime, timedelta
 
@@ -56,6 +57,31 @@ def test_office_package(spark, tmp_path):
     assert docs.first().text == "# T\n\nx\n\n| a | b\\|c |\n| --- | --- |\n| d |  |\n\n---\n\n> 页眉或页脚内容\n\nend"
 
 
+def test_packages_are_read_in_ranges(spark, tmp_path):
+    """A package of nine million bytes of pictures: its directory and body are read, not its pictures; one reading gives entries and blocks."""
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/media/a.png", os.urandom(9_000_000))
+        z.writestr("word/document.xml", "<d><body><p><t>x</t></p></body></d>".replace("<d>", '<d xmlns="w">'))
+    (tmp_path / "a b.docx").write_bytes(raw.getvalue())
+
+    class Counting(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            got = super().read(size)
+            self.n += len(got)
+            return got
+
+    file = Counting(raw.getvalue())
+    entries, blocks, problem = files.opened_package(file)
+    assert len(entries) == 2 and [b[4] for b in blocks] == ["x"] and problem is None and file.n < 200_000
+    packages = files.read_packages(spark, str(tmp_path))
+    assert "content" not in packages._jdf.queryExecution().executedPlan().toString()
+    row = packages.first()
+    assert [e.name for e in row.entries] == ["word/media/a.png", "word/document.xml"] and row.blocks[0].text == "x"
+
+
 def test_office_package_admission(spark, tmp_path):
     """Packages over the limit and with repeated names are rows with their reasons; entries feed the content warnings."""
     (tmp_path / "large.docx").write_bytes(b"x" * (10 * 1024 * 1024 + 1))

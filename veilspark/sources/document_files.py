@@ -22,10 +22,17 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 SCHEMA = "folder string, file_name string, content string"
 
 
-def _files(path: str):
+def located(path: str):
+    """The file system of a path or address, and the path there."""
     from pyarrow import fs
 
-    system, root = fs.FileSystem.from_uri(path if re.match("^[a-z0-9+.-]+://", path) or path.startswith("file:") else f"file://{path}")
+    if path.startswith(("/", "file:")):
+        return fs.LocalFileSystem(), "/" + re.sub("^(?:file:)?/*", "", path)
+    return fs.FileSystem.from_uri(path)
+
+
+def _files(path: str):
+    system, root = located(path)
     return system, root.rstrip("/")
 
 

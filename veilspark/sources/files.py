@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 from xml.etree import ElementTree
 
@@ -14,12 +13,13 @@ from ..functions import fixed
 from ..operators.assemble import NEEDED
 from ..operators.history import RECORD
 from ..operators.reports import export_name
-from .document_files import write_documents
+from .document_files import located, write_documents
 
 ITEMS = "doc_id long, page int, item_no int, str string, x double, y double, width double, height double, has_eol boolean"
 REPORT_NAME = "文档_脱敏报告.md"
-ENTRIES = "path string, entry_no int, name string, declared_bytes long"
-BLOCKS = "path string, part_no int, block_no int, kind string, style string, text string, rows array<array<array<string>>>, problem string"
+ENTRY = "struct<entry_no:int,name:string,declared_bytes:long>"
+BLOCK = "struct<part_no:int,block_no:int,kind:string,style:string,text:string,rows:array<array<array<string>>>>"
+PACKAGES = f"path string, entries array<{ENTRY}>, blocks array<{BLOCK}>, problem string"
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -45,74 +45,92 @@ def _paragraph(node) -> str:
     return "".join((x.text or "") if tag == "t" else marks.get(tag, "") for x, tag in tags)
 
 
-def _blocks(raw: bytes):
-    """(part, block, kind, style, text, rows) of a package's body, headers and footers."""
-    import re
+def _entries(package: zipfile.ZipFile) -> list[tuple]:
+    """(entry, name, declared bytes) of a package's directory."""
+    return [(i, x.filename, x.file_size) for i, x in enumerate(package.infolist())]
 
-    with zipfile.ZipFile(io.BytesIO(raw)) as package:
-        if len(package.infolist()) > fixed.ENTRIES:
-            raise ValueError("too many entries")
-        if len(set(package.namelist())) < len(package.infolist()):
-            raise ValueError("duplicate names")
-        names = [n for n in package.namelist() if re.match(NEEDED, n)]
-        if "word/document.xml" not in names:
-            raise ValueError("no body")
-        left = fixed.TOTAL_BYTES
-        for info in (package.getinfo(n) for n in names):
-            if info.file_size > min(fixed.PART_BYTES, left):
-                raise ValueError("part too large")
-            left -= info.file_size
-        for part, name in enumerate(["word/document.xml", *sorted(n for n in names if n != "word/document.xml")]):
-            root = ElementTree.fromstring(package.read(name))
-            body = next((x for x in root.iter() if x.tag.endswith("}body")), root)
-            for block, node in enumerate(body):
-                tag = node.tag.rpartition("}")[2]
-                if tag == "p":
-                    style = next((v for x in node.iter() if x.tag.endswith("}pStyle") for k, v in x.attrib.items() if k.endswith("}val")), None)
-                    yield part, block, "p", style, _paragraph(node), None
-                elif tag == "tbl":
-                    own = lambda x, t: [c for c in x if c.tag.endswith("}" + t)]
-                    yield part, block, "tbl", None, None, [[[_paragraph(p) for p in own(c, "p")] for c in own(r, "tc")] for r in own(node, "tr")]
 
+def _blocks(package: zipfile.ZipFile):
+    """(part, block, kind, style, text, rows) of a package's body, headers and footers; no other part is read."""
+    import re
 
-def read_docx_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of office packages; a package that can't be read is one row with its problem."""
+    if len(package.infolist()) > fixed.ENTRIES:
+        raise ValueError("too many entries")
+    if len(set(package.namelist())) < len(package.infolist()):
+        raise ValueError("duplicate names")
+    names = [n for n in package.namelist() if re.match(NEEDED, n)]
+    if "word/document.xml" not in names:
+        raise ValueError("no body")
+    left = fixed.TOTAL_BYTES
+    for info in (package.getinfo(n) for n in names):
+        if info.file_size > min(fixed.PART_BYTES, left):
+            raise ValueError("part too large")
+        left -= info.file_size
+    for part, name in enumerate(["word/document.xml", *sorted(n for n in names if n != "word/document.xml")]):
+        root = ElementTree.fromstring(package.read(name))
+        body = next((x for x in root.iter() if x.tag.endswith("}body")), root)
+        for block, node in enumerate(body):
+            tag = node.tag.rpartition("}")[2]
+            if tag == "p":
+                style = next((v for x in node.iter() if x.tag.endswith("}pStyle") for k, v in x.attrib.items() if k.endswith("}val")), None)
+                yield part, block, "p", style, _paragraph(node), None
+            elif tag == "tbl":
+                own = lambda x, t: [c for c in x if c.tag.endswith("}" + t)]
+                yield part, block, "tbl", None, None, [[[_paragraph(p) for p in own(c, "p")] for c in own(r, "tc")] for r in own(node, "tr")]
+
+
+def opened_package(file) -> tuple[list | None, list | None, str | None]:
+    """entries, blocks, problem of an open package: its directory and the parts that are needed are read, nothing else."""
+    try:
+        with zipfile.ZipFile(file) as package:
+            entries = _entries(package)
+            try:
+                return entries, list(_blocks(package)), None
+            except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                return entries, None, str(e) or type(e).__name__
+    except (zipfile.BadZipFile, ValueError):  # the latter from a file too short to hold a directory
+        return None, None, "no package"
+
+
+def read_packages(spark: SparkSession, path: str) -> DataFrame:
+    """path, entries, blocks, problem: one row a package, from one reading.
+
+    Files are listed with their sizes and without their contents; those over the byte limit are never opened, of the others
+    tasks read ranges. Packages are dealt out by size, so that tasks have about as many bytes.
+    """
 
     def run(frames):
         for frame in frames:
-            rows = []
-            for path_, raw in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    rows += [(path_, *b, None) for b in _blocks(raw)]
-                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                    rows.append((path_, None, None, None, None, None, None, str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["path", "part_no", "block_no", "kind", "style", "text", "rows", "problem"])
+            out = []
+            for name in frame["path"]:
+                system, place = located(name)
+                with system.open_input_file(place) as file:
+                    out.append((name, *opened_package(file)))
+            yield pd.DataFrame(out, columns=["path", "entries", "blocks", "problem"])
 
-    large, small = _packages(spark, path)
-    return small.select("path", "content").mapInPandas(run, BLOCKS).unionByName(large.select("path", F.lit("too many bytes").alias("problem")), allowMissingColumns=True)
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    large, small = files.filter(F.col("length") > fixed.MARKDOWN_BYTES), files.filter(F.col("length") <= fixed.MARKDOWN_BYTES)
+    read = spread(small).select("path").mapInPandas(run, PACKAGES)
+    return read.unionByName(large.select("path", F.lit("too many bytes").alias("problem")), allowMissingColumns=True)
 
 
-def _packages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Packages over the byte limit, whose contents are not read, and the others."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.filter(F.col("length") > fixed.MARKDOWN_BYTES), files.filter(F.col("length") <= fixed.MARKDOWN_BYTES)
+def package_blocks(packages: DataFrame) -> DataFrame:
+    """Blocks of read packages; a package that can't be read is one row with its problem."""
+    good = packages.filter("problem IS NULL").select("path", F.inline("blocks"), F.lit(None).cast("string").alias("problem"))
+    return good.unionByName(packages.filter("problem IS NOT NULL").select("path", "problem"), allowMissingColumns=True)
 
 
-def read_package_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Directory entries of office packages, for their admission and content warnings; none of what is no package."""
+def package_entries(packages: DataFrame) -> DataFrame:
+    """Directory entries of read packages, for their admission and content warnings; none of what is no package."""
+    return packages.filter("entries IS NOT NULL").select("path", F.inline("entries"))
 
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for path_, raw in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(raw)) as package:
-                        rows += [(path_, i, x.filename, x.file_size) for i, x in enumerate(package.infolist())]
-                except zipfile.BadZipFile:
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "entry_no", "name", "declared_bytes"])
-
-    return _packages(spark, path)[1].select("path", "content").mapInPandas(run, ENTRIES)
+
+def read_docx_blocks(spark: SparkSession, path: str) -> DataFrame:
+    return package_blocks(read_packages(spark, path))
+
+
+def read_package_entries(spark: SparkSession, path: str) -> DataFrame:
+    return package_entries(read_packages(spark, path))
 
 
 def read_text_items(spark: SparkSession, path: str) -> DataFrame:
