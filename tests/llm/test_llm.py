@@ -474,7 +474,8 @@ def test_nearest_neighbours_among_copies(spark):
         if i in copies:
             assert got[i] == near
     assert np.mean(hits) >= 0.95
-    codes = nn_descent._coded(table.selectExpr("vec_id AS id", "embedding AS vector"))
+    rows = table.selectExpr("vec_id AS id", "embedding AS vector")
+    codes = nn_descent._coded(rows, nn_descent.scaling(rows)[0])
     edges = {r.id: [e.other for e in r.near] for r in nn_descent.neighbour_graph(codes, cell=20).collect()}
     tied = [edges[i][: nn_descent.DEGREE] for i in copies.tolist()]
     assert all(t == sorted(t) for t in tied)
@@ -502,7 +503,8 @@ def test_nearest_neighbours_recall_beyond_the_cells(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((3000, 4)) @ rng.standard_normal((4, 32)) + 0.1 * rng.standard_normal((3000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    codes = nn_descent._coded(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>"))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    codes = nn_descent._coded(rows, nn_descent.scaling(rows)[0])
     near = x @ x.T
     np.fill_diagonal(near, -np.inf)
     graph = nn_descent.neighbour_graph(codes, lines=2, cell=50).collect()

@@ -6,7 +6,7 @@ under their first word, contexts of two words, triples under their context), and
 of training texts too. So no table of n-grams has to fit the driver, a broadcast or a file that all tasks
 read. Words travel by number, the commonest by their rank and others by their hash. A shard has about ``SHARD`` training tokens; a word with more occurrences is split into parts by the word
 before it, and pairs under it are counted in its part: the context of such a pair is the word and the part.
-Only the commonest words' own counts (at most 1 / ``LEAST_SHARE``) are broadcast; those of all other words meet texts and
+Only the commonest words' own counts (at most 1 / ``LEAST_SHARE``) are broadcast, and the list of the table's files; those of all other words meet texts and
 shards in joins.
 
 Probabilities: words have (c + 1) / (N + V + 1); longer n-grams are discounted by ``DISCOUNT`` and
@@ -21,7 +21,9 @@ base formula; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -300,8 +302,8 @@ def train(rows: DataFrame, least_share: float = LEAST_SHARE, shard: int = SHARD)
     """The words of a one-column table of texts: the model of the commonest ones, and the table (word, n, h) of all."""
     counts, seed = _hashed(count_words(rows))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    least = max(1.0, min(least_share * total["n"], float(shard)))
-    frequent = counts.filter(F.col("n") >= least).select("h", "n").toArrow()  # at most 1 / least_share rows, and N / shard
+    least = max(1.0, least_share * total["n"])
+    frequent = counts.filter(F.col("n") >= least).select("h", "n").toArrow()  # at most 1 / least_share rows
     return Model(frequent.column("h").to_numpy().view(np.uint64), frequent.column("n").to_numpy(), total["n"], total["v"], seed, shard), counts
 
 
@@ -324,17 +326,36 @@ class Tokens:
         return np.where(here > self.starts[self.text[here]] + 1, self.codes[here - 2], NONE), self.codes[here - 1], self.codes[here]
 
 
-PARTITION = 33  # bits of a row's number below its partition's
+MOST_TASKS = 20_000  # a task takes several shards in order beyond that
+BUCKET = 20  # bits of a row's number below its bucket's: a task sums the answers for so many rows at most
+FILE = 40  # bits of a row's number below its file's
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Rows of a stored table with a number of their own, the same one whenever they are read."""
-    return rows.select(F.monotonically_increasing_id().alias("__number"), "*")
+class Numbers:
+    """Numbers of a stored table's rows, by file and place in the file: the same ones however the files are split."""
+
+    def __init__(self, rows: DataFrame):
+        self.of = {self.plain(name): i for i, name in enumerate(sorted(rows.inputFiles()))}
+
+    @staticmethod
+    def plain(name: str) -> str:
+        """An address as both listings give it: one slash after the scheme, nothing escaped."""
+        return re.sub("^([A-Za-z0-9+.-]+:)/+", r"\1/", unquote(name))
+
+    def __call__(self, batch) -> np.ndarray:
+        files, place = batch.column(0).dictionary_encode(), batch.column(1).to_numpy().astype(np.int64)
+        first = np.array([self.of[self.plain(name)] for name in files.dictionary.to_pylist()], dtype=np.int64)
+        return (first[files.indices.to_numpy()] << FILE) + place if batch.num_rows else place
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of a stored table behind their file and place in it."""
+    return rows.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"), "*")
 
 
 def _told(rows: DataFrame, model: Model, keep: int) -> DataFrame:
     """Of each row what the commonest words tell of it, and its rare words; and the rare words (h) whose counts a shard needs."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared, numbers = rows.sparkSession.sparkContext.broadcast(model), rows.sparkSession.sparkContext.broadcast(Numbers(rows))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema[:keep]])
     for field in T._parse_datatype_string(TOLD):
         schema = schema.add(field)
@@ -347,8 +368,8 @@ def _told(rows: DataFrame, model: Model, keep: int) -> DataFrame:
             known, base = own >= 0, np.where(own >= 0, m.log_word(np.maximum(own, 0)), 0.0)
             unknown, many = np.flatnonzero(~known), len(t.n)
             rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(t.text[unknown], np.arange(many + 1)), pa.int32()), pa.array((t.codes[unknown] & NONE).view(np.int64)))
-            told = [pa.array(t.n), *(pa.array(np.add.reduceat(x, t.starts)) for x in (known.astype(np.int64), base)), rare, batch.column(0), pa.nulls(many, pa.int64()), pa.nulls(many, pa.int64())]
-            out = pa.RecordBatch.from_arrays([*batch.columns[1 : keep + 1], *told], schema.names)
+            told = [pa.array(t.n), *(pa.array(np.add.reduceat(x, t.starts)) for x in (known.astype(np.int64), base)), rare, pa.array(numbers.value(batch)), pa.nulls(many, pa.int64()), pa.nulls(many, pa.int64())]
+            out = pa.RecordBatch.from_arrays([*batch.columns[2 : keep + 2], *told], schema.names)
             yield out
             need = t.here[~known[t.here] & (t.learning[t.text[t.here]] == 1)]
             if len(need):
@@ -360,34 +381,34 @@ def _told(rows: DataFrame, model: Model, keep: int) -> DataFrame:
                 filled = {"shard": pa.array(shard[new]), "h": pa.array((c[new] & NONE).view(np.int64))}
                 yield pa.RecordBatch.from_arrays([filled.get(f.name, pa.nulls(int(new.sum()), f.type)) for f in out.schema], schema.names)
 
-    return scratch(_numbered(rows).mapInArrow(run, schema), "told")
+    return scratch(_placed(rows).mapInArrow(run, schema), "told")
 
 
 def _pieces(rows: DataFrame, model: Model) -> DataFrame:
     """shard, blob: the tokens of all rows with the words before them, in pieces for their shards."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared, numbers = rows.sparkSession.sparkContext.broadcast(model), rows.sparkSession.sparkContext.broadcast(Numbers(rows))
 
     def run(batches):
         m = shared.value
         for batch in text_slices(batches, most=SLICE):
-            t, row = Tokens(batch, m), batch.column(0).to_numpy()
+            t, row = Tokens(batch, m), numbers.value(batch)
             (a, b, c), of = t.grams(t.here), t.text[t.here]
             found = [(k, _pack(*part)) for k, *part in _by_shard(m.shard(a, b), a, b, c, row[of] * 2 + t.learning[of])]
             yield pa.RecordBatch.from_pydict({"shard": pa.array([k for k, _ in found], pa.int64()), "blob": pa.array([x for _, x in found], pa.binary())})
 
-    return _numbered(rows).mapInArrow(run, "shard long, blob binary")
+    return _placed(rows).mapInArrow(run, "shard long, blob binary")
 
 
 def _gains(rows: DataFrame, told: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """__row, gain: what the shards answer, summed for each row. Answers travel packed, to the task that sums their input
-    partition's rows (the high bits of a row's number)."""
+    """__row, gain: what the shards answer, summed for each row. Answers travel packed, to the task that sums their
+    bucket's rows (the high bits of a row's number)."""
     shared = told.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         def done(rare, rare_n, blobs):
             at = np.concatenate([np.zeros(0, dtype=np.int64), *rare]).view(np.uint64)
             rows, gain = shard_gains(blobs, at, np.concatenate([np.zeros(0, dtype=np.int64), *rare_n]), shared.value)
-            found = [(k, _planes(np.diff(r, prepend=0).astype(np.uint32)) + _planes(g)) for k, r, g in _by_shard(rows >> PARTITION, rows & ((1 << PARTITION) - 1), gain.astype(np.float32))]
+            found = [(k, _planes(np.diff(r, prepend=0).astype(np.uint32)) + _planes(g)) for k, r, g in _by_shard(rows >> BUCKET, rows & ((1 << BUCKET) - 1), gain.astype(np.float32))]
             press = zstandard.ZstdCompressor(level=3)
             return pa.RecordBatch.from_pydict({"bucket": pa.array([k for k, _ in found], pa.int64()), "sums": pa.array([press.compress(x) for _, x in found], pa.binary())})
 
@@ -409,11 +430,11 @@ def _gains(rows: DataFrame, told: DataFrame, counts: DataFrame, model: Model) ->
                 rows.append(np.cumsum(steps, dtype=np.int64))
                 gains.append(_numbers(raw, np.float32, len(raw) // 8, at)[0])
             found, place = np.unique(np.concatenate(rows), return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"__row": pa.array((k << PARTITION) + found), "gain": pa.array(np.bincount(place, np.concatenate(gains), len(found)))})
+            yield pa.RecordBatch.from_pydict({"__row": pa.array((k << BUCKET) + found), "gain": pa.array(np.bincount(place, np.concatenate(gains), len(found)))})
 
     own = told.filter("h IS NOT NULL").select("shard", "h").join(counts.select("h", "n"), "h")
     both = own.selectExpr("shard", "0 AS kind", "h", "n", "CAST(NULL AS binary) AS blob").unionAll(_pieces(rows, model).selectExpr("shard", "1 AS kind", "0L AS h", "0L AS n", "blob"))
-    met = both.repartition(model.shards, "shard").sortWithinPartitions("shard", "kind")
+    met = both.repartition(min(model.shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "kind")
     sums = met.mapInArrow(run, "bucket long, sums binary").repartition("bucket").sortWithinPartitions("bucket")
     return sums.mapInArrow(add, "__row long, gain double")
 
@@ -421,7 +442,7 @@ def _gains(rows: DataFrame, told: DataFrame, counts: DataFrame, model: Model) ->
 def score(docs: DataFrame, learn, keep: list[str], text_col: str = "text", least_share: float = LEAST_SHARE, shard: int = SHARD, stored: bool = False) -> DataFrame:
     """``keep`` columns with n_tokens, n_known, train_tokens, base_score and score, learnt from rows where ``learn`` holds.
 
-    Rows are read twice and must come in the same order: ``docs`` is stored first, unless it is ``stored`` already.
+    Rows are read twice and known by their files and places there: ``docs`` is stored first, unless it comes straight from ``stored`` files.
     """
     learn = F.coalesce(learn, F.lit(False)).cast("int").alias("__learn")
     rows = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], learn, text_of(text_col).alias("__text"))

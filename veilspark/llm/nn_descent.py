@@ -29,7 +29,7 @@ from .common import scratch
 
 LINES, CELL, DEGREE, REVERSE, ROUNDS, OFFERS = 10, 256, 40, 64, 12, 24
 STILL = 0.01  # rounds end when a smaller share of the edges is new
-BEAM, EXPAND, RERANK, NEAREST, QUERY_EVERY, MATES = 320, 160, 60, 20, 20, 64
+BEAM, EXPAND, STEPS, RERANK, NEAREST, QUERY_EVERY, MATES, LONG = 64, 16, 24, 60, 20, 20, 64, 64
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -46,13 +46,34 @@ def _matrix(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1) if raw else np.zeros((0, 1), dtype=kind)
 
 
-def _coded(rows: DataFrame) -> DataFrame:
-    """id, code (half floats, scaled to norms of at most 1, with the norm-filling component last)."""
-    most = rows.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()["m"] or 1.0
+def norms(rows: DataFrame) -> DataFrame:
+    """id, norm; computed by the largest component, so that no square overflows."""
+    top = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    parts = rows.select("id", "vector", top.alias("top"))
+    return parts.select("id", (F.col("top") * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top"))))).alias("norm"))
+
+
+def scaling(rows: DataFrame) -> tuple[float, dict[int, float]]:
+    """The norm that codes are scaled by, and how many times longer each of the LONG longest vectors is.
+
+    A few very long vectors would press all others to nothing if they set the scale.
+    """
+    top = [(r.id, r.norm) for r in norms(rows).orderBy(F.desc("norm"), "id").limit(LONG + 1).collect()]
+    if len(top) <= LONG:
+        return (top[0][1] if top else 1.0), {}
+    return top[-1][1], {i: n / top[-1][1] for i, n in top[:-1]}
+
+
+def _coded(rows: DataFrame, scale: float) -> DataFrame:
+    """id, code (half floats of the vector over ``scale``, or of its direction if it is longer, with the norm-filling component last)."""
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1) / np.sqrt(most)
+            x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1) / scale
+            top = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1.0)
+            x /= top  # squares stay finite
+            norm = np.sqrt((x * x).sum(1, keepdims=True))
+            x *= np.where(norm * top > 1, 1 / norm, top)
             last = np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))
             codes = np.hstack((x, last)).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "code"])
@@ -195,16 +216,22 @@ def both_ways(graph: DataFrame, most: int = REVERSE) -> DataFrame:
     return ahead.select("id", "other").unionAll(back.select("id", "other")).groupBy("id").agg(F.collect_set("other").alias("others"))
 
 
-def _scored(asked: DataFrame, codes: DataFrame, queries: DataFrame) -> DataFrame:
-    """q, id, score (the inner product of the halved vectors)."""
+def _scored(asked: DataFrame, codes: DataFrame, queries: DataFrame, longer: dict[int, float]) -> DataFrame:
+    """q, id, score (the inner product of the coded vectors, for the longest times what their codes lack)."""
+    ids, times = np.array(sorted(longer), dtype=np.int64), np.array([longer[i] for i in sorted(longer)])
     pairs = asked.join(codes, "id").join(queries, "q").select("q", "id", "code", "own")
 
     def run(batches):
         for batch in batches:
             x, y = (_matrix(batch.column(i), np.float16).astype(np.float32)[:, :-1] for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", x, y).astype(np.float32))], ["q", "id", "score"])
+            score = np.einsum("ij,ij->i", x, y).astype(np.float64)
+            if len(ids):
+                node = batch.column(1).to_numpy()
+                at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
+                score = np.where(ids[at] == node, score * times[at], score)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["q", "id", "score"])
 
-    return pairs.mapInArrow(run, "q long, id long, score float")
+    return pairs.mapInArrow(run, "q long, id long, score double")
 
 
 def drawn_starts(codes: DataFrame, query_ids: DataFrame, mates: int = MATES) -> DataFrame:
@@ -215,26 +242,30 @@ def drawn_starts(codes: DataFrame, query_ids: DataFrame, mates: int = MATES) ->
     return query_ids.select("q", of("q").alias("draw")).join(nodes, "draw").select("q", "id").filter("q <> id")
 
 
-def greedy_search(graph: DataFrame, codes: DataFrame, query_ids: DataFrame, rounds: int = 12) -> DataFrame:
-    """q, id, score, r of each query's best nodes; ``graph`` has id, others.
+def greedy_search(graph: DataFrame, codes: DataFrame, query_ids: DataFrame, longer: dict[int, float], rounds: int = STEPS) -> DataFrame:
+    """q, id, score of all nodes that were scored for each query; ``graph`` has id, others.
 
-    A walk starts at the query's own links and at nodes drawn from the whole table, so that it leaves a group of nodes
-    without links to others and no list stays short where there are enough nodes.
+    A walk starts at the query's own links, at the longest vectors and at nodes drawn from the whole table, so that it leaves a group of nodes
+    without links to others and no list stays short where there are enough nodes. In each round the EXPAND best nodes that
+    were not expanded before offer their links; what was scored once is not scored again. A walk ends when its BEAM best nodes are expanded.
     """
     queries = scratch(codes.join(query_ids.select(F.col("q").alias("id")), "id").select(F.col("id").alias("q"), F.col("code").alias("own")), "queries")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    start = graph.join(queries.select(F.col("q").alias("id")), "id").select(F.col("id").alias("q"), F.explode("others").alias("id")).filter("q <> id")
-    start = start.unionAll(drawn_starts(codes, query_ids)).dropDuplicates()
-    state = scratch(_scored(start, codes, queries).withColumn("old", F.lit(False)).withColumn("r", F.row_number().over(best)), "beam")
+    start = graph.join(queries.select(F.col("q").alias("id")), "id").select(F.col("id").alias("q"), F.explode("others").alias("id"))
+    start = start.unionAll(drawn_starts(codes, query_ids))
+    if longer:
+        start = start.unionAll(queries.select("q", F.explode(F.array(*[F.lit(i).cast("long") for i in longer])).alias("id")))
+    state = scratch(_scored(start.filter("q <> id").dropDuplicates(), codes, queries, longer).withColumn("old", F.lit(False)), "scored")
     for _ in range(rounds):
-        front = state.filter(~F.col("old") & (F.col("r") <= EXPAND))
+        beam = state.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= BEAM)
+        front = scratch(beam.filter(~F.col("old")).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= EXPAND).select("q", "id"), "front")
         if front.isEmpty():
             break
-        met = front.select("q", "id").join(graph, "id").select("q", F.explode("others").alias("id")).filter("q <> id").dropDuplicates().join(state.select("q", "id"), ["q", "id"], "left_anti")
-        new = _scored(met, codes, queries).withColumn("old", F.lit(False))
-        seen = state.select("q", "id", "score", (F.col("old") | (F.col("r") <= EXPAND)).alias("old"))
-        state = scratch(seen.unionAll(new).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= BEAM), "beam")
-    return state.select("q", "id", "score", "r")
+        met = front.join(graph, "id").select("q", F.explode("others").alias("id")).filter("q <> id").dropDuplicates().join(state.select("q", "id"), ["q", "id"], "left_anti")
+        new = _scored(met, codes, queries, longer).withColumn("old", F.lit(False))
+        seen = state.join(front.withColumn("now", F.lit(True)), ["q", "id"], "left").select("q", "id", "score", (F.col("old") | F.coalesce("now", F.lit(False))).alias("old"))
+        state = scratch(seen.unionAll(new), "scored")
+    return state.select("q", "id", "score")
 
 
 def nearest_neighbours(table: DataFrame, nearest: int = NEAREST, query_every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -243,12 +274,14 @@ def nearest_neighbours(table: DataFrame, nearest: int = NEAREST, query_every: in
     valid = valid_vectors(table, id_col, vector_col).select("id", "vector", F.first("id").over(same).alias("node"), F.row_number().over(same).alias("nth"))
     valid = scratch(valid, "vectors")
     rows = valid.filter("nth = 1").select("id", "vector")
-    codes = scratch(_coded(rows), "codes")
+    scale, longer = scaling(rows)
+    codes = scratch(_coded(rows, scale), "codes")
     graph = neighbour_graph(codes)
     asked = valid.filter(F.col("id") % query_every == 0).select(F.col("id").alias("query_id"), F.col("node").alias("q"))
     nodes = asked.select("q").dropDuplicates()
     queries = rows.select(F.col("id").alias("q"), F.col("vector").alias("own")).join(nodes, "q", "left_semi")
-    found = greedy_search(scratch(both_ways(graph), "links"), codes, nodes).filter(F.col("r") <= max(RERANK, 2 * nearest)).select("q", "id")
+    top = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    found = greedy_search(scratch(both_ways(graph), "links"), codes, nodes, longer).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max(RERANK, 2 * nearest)).select("q", "id")
     found = found.unionAll(nodes.select("q", F.col("q").alias("id")))  # a node holds its query's copies
     exact = F.aggregate(F.zip_with("own", "vector", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = found.join(rows, "id").join(queries, "q").select("q", F.col("id").alias("node"), exact.alias("score"))

@@ -185,8 +185,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, clean: int =
     known = known.filter(F.col("doc_id").isNotNull() & (F.pmod(crc_of_id(), F.lit(FOLDS)) != 0))
     drawn = known.filter("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionAll(known.filter("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(clean))
     rows = docs.select("doc_id", text_of().alias("t")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"), F.first("y").alias("y"))
-    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over at most sample + clean rows
-    rows = rows.withColumn("bytes", F.sum(F.octet_length("t").cast("long")).over(upto)).filter(F.col("bytes") <= FIT_BYTES)
+    # Each class has half of the bytes; long texts come last, and a class is never without its first text.
+    size = F.octet_length("t").cast("long")
+    upto = Window.partitionBy("y").orderBy(size > FIT_BYTES // 64, F.xxhash64("doc_id"), "doc_id")  # over at most sample or clean rows
+    rows = rows.withColumn("nth", F.row_number().over(upto)).withColumn("bytes", F.sum(size).over(upto.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("bytes") <= FIT_BYTES // 2) | (F.col("nth") == 1))
     rows = rows.select("doc_id", "t", "y").orderBy("doc_id").collect()
     return fit([r["t"] for r in rows], [r["y"] == 1 for r in rows])
 
