@@ -262,6 +262,19 @@ ROLE_LINES = [
     ("E10", "由【测试甲{k}有限公司】与测试乙{k}有限公司确认。", "由【主体A】与【主体B】确认。"),
     ("E8", "另见测试丙 {k}中 心。", "另见【相关主体】。"),
 ]
+# Texts at the edge of a rule: what it must leave alone (no second text), and sentences that several rules share.
+BOUNDARY_TEXTS = [
+    ("邮箱u1@example，u1@b.c。",), ("工号12812345678在",), ("号138123456789在",), ("座机（0210）55 1234在",), ("卡号6222 02在",), ("人民币小写：壹佰",), ("USD为本币。",), ("第[a]元在",), ("系数[12.505]在",),
+    ("计元/㎡/月。",), ("百分比%在",), ("百分之多在",), ("比‰在",), ("分之一在",), ("大半在",), ("3 × 数量在",), ("成交在",), ("分期支付在",), ("期满在",), ("≥若干在",), ("米制在",), ("版本2026.13.45在",), ("第一至二章在",), ("年月在",),
+    ("合同编号：--",), ("注册地址：无",), ("职务：1",), ("大写：无",), ("保证金：无",), ("违约金：无",), ("范围：全部",), ("项目名称：A",), ("2. 完成工作",), ("（一）总则",), ("第3条 价款",), ("1.7 工作日：指日期。",),
+    ("2.2组织刑事或行政打击的责任由违约方承担。",), ("所有通讯应发往相关接受方的下述地址、电邮地址、传真号码，或书面通知的其他地址、电邮地址。",), ("甲方不配合、主管机关要求额外说明而导致延误的，乙方不承担责任。",),
+    ("共有5万平方米在", "共有X万平方米在"), ("违约金增加1万元（大写：壹万元），余款≥100万时按0.55×余款计算。", "违约金增加X万元，余款≥X万时按X×余款计算。"), ("逾期付款按合同总费用的0.3‰向乙方支付违约金。", "逾期付款按合同总费用的X‰向乙方支付违约金。"),
+    ("服务期限为2个月（贰个月），乙方应在通知后【20】个工作日内补足资料。", "服务期限为Y个月，乙方应在通知后Y个工作日内补足资料。"), ("合同有效期为【2026】年【5】月【1】日至【2027】年【4】月【30】日。", "合同有效期为20XX年XX月XX日至20XX年XX月XX日。"),
+    ("其中一半费用分（三期）支付，首期支付总额的三分之一。", "其中【比例】费用分X期支付，首期支付总额的X分之Y。"), ("合同价款为1，000，000（壹佰万元整）。", "合同价款为【金额】。"), ("费用大写：人民币[捌拾叁万肆仟肆佰叁拾壹玖角]。", "费用大写：【金额】。"),
+    ("税率为6%，阶段付款比例为30%-40%，报价为$12,000，预算区间为100-200万元。", "税率为X%，阶段付款比例为X%-Y%，报价为【金额】，预算区间为X-Y万元。"), ("开票地址：东莞市长安镇示例社区东门中路168号。", "开票地址：【地址】"),
+    ("收件人[刘示例]；电话13100000000；邮箱example@example.com。", "收件人【收件人】；电话【联系方式已删除】；邮箱【邮箱已删除】。"),
+    ("光泽度要求50 – 120GU；粗糙度要求0.1 ~ 0.5μm；硬度要求>=3H；附着力要求0级；耐磨要求≥3000次；响应时间5 to 8ms；保密期0.5年。", "光泽度要求X-YGU；粗糙度要求X-Yμm；硬度要求>=XH；附着力要求X级；耐磨要求≥X次；响应时间X-Yms；保密期X年。"),
+]
 AMOUNT_LINES = [("V5", "费用为{k}元，税率为6%。", "费用为{k}元，税率为X%。"), ("V5", "押付USD 3000，共30天。", "押付USD 3000，共X天。")]
 
 
@@ -281,6 +294,17 @@ def redact_rules(spark, sf_dir):
     return redact.redact(_rendered(spark, sf_dir, "技术开发合同", RULE_LINES)).select("doc_id", "redacted")
 
 
+def redact_boundaries(spark, sf_dir):
+    """What lies at the edge of a rule; each customer has one of the texts."""
+    texts = F.array(*[F.lit("甲\n" + t[0]) for t in BOUNDARY_TEXTS])
+    c = spread(table(spark, sf_dir, "customer"))
+    docs = c.select(F.col("c_custkey").alias("doc_id"), F.get(texts, (F.col("c_custkey") % len(BOUNDARY_TEXTS)).cast("int")).alias("text"))
+    return redact.redact(docs).select("doc_id", "redacted")
+
+
+BOUNDARIES_SQL = "SELECT c_custkey AS doc_id, [" + ", ".join(f"e'甲\\n{t[-1]}'" for t in BOUNDARY_TEXTS) + f"][c_custkey % {len(BOUNDARY_TEXTS)} + 1] AS redacted FROM customer"
+
+
 def redact_roles(spark, sf_dir):
     """Declared roles, related entities, mentions in brackets and with blanks."""
     return redact.redact(_rendered(spark, sf_dir, "测试文件", ROLE_LINES)).select("doc_id", "redacted")
@@ -615,6 +639,7 @@ QUERIES = {
     "stream_redact": stream_redact,
     "stream_history": stream_history,
     "redact_rules": redact_rules,
+    "redact_boundaries": redact_boundaries,
     "redact_roles": redact_roles,
     "keep_amounts": keep_amounts,
     "manual_types": manual_types,
@@ -651,6 +676,7 @@ ORACLE = {
     "packages": PACKAGES_SQL,
     "stream_history": CLEAN_HISTORY_SQL,
     "redact_rules": _rendered_sql("技术开发合同", RULE_LINES),
+    "redact_boundaries": BOUNDARIES_SQL,
     "redact_roles": _rendered_sql("测试文件", ROLE_LINES),
     "keep_amounts": _rendered_sql("> 甲\n> 乙\n\n测试文件", AMOUNT_LINES),
     "manual_types": MANUAL_SQL,
