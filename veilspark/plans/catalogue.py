@@ -355,13 +355,22 @@ t AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN x.st >= a.e THEN {{'e
 RESOLVE_SQL = f"WITH {_SPAN_SQL} SELECT doc_id, array_to_string(list_transform(taken, lambda x: x.st || '-' || x.en || '-' || x.cat), ',') AS taken FROM t"
 
 
-def reviewed(spark, sf_dir):
-    """Settled matches with decisions: every third start is kept, every fifth placeholder emptied."""
+def settled(spark, sf_dir):
+    """Settled matches of the orders, all selected."""
     docs = span_documents(spark, sf_dir).withColumn("candidates", spans.resolved(F.col("candidates"), None))
-    docs = docs.select("doc_id", F.transform("candidates", lambda m: F.struct(spans.match_id(m).alias("match_id"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["category"].alias("category"), m["placeholder"].alias("placeholder"), F.lit(True).alias("selected"))).alias("matches"))
+    return docs.select("doc_id", F.transform("candidates", lambda m: F.struct(spans.match_id(m).alias("match_id"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["category"].alias("category"), m["placeholder"].alias("placeholder"), F.lit(True).alias("selected"))).alias("matches"))
+
+
+def decided(docs):
+    """Every third start is kept, every fifth placeholder emptied."""
     each = docs.select("doc_id", F.explode("matches").alias("m"))
-    decisions = each.filter("m.start % 3 = 0 OR m.start % 5 = 0").select("doc_id", "m.match_id", F.expr("m.start % 3 <> 0").alias("selected"), F.expr("if(m.start % 5 = 0, '', NULL)").alias("placeholder"))
-    return review.with_decisions(docs, decisions)
+    return each.filter("m.start % 3 = 0 OR m.start % 5 = 0").select("doc_id", "m.match_id", F.expr("m.start % 3 <> 0").alias("selected"), F.expr("if(m.start % 5 = 0, '', NULL)").alias("placeholder"))
+
+
+def reviewed(spark, sf_dir):
+    """Settled matches with decisions."""
+    docs = settled(spark, sf_dir)
+    return review.with_decisions(docs, decided(docs))
 
 
 _REVIEW_SQL = f"{_SPAN_SQL}, m AS (SELECT doc_id, i AS ordinal, x.st AS st, x.cat AS category, x.st % 3 <> 0 AS selected, CASE WHEN x.st % 5 = 0 THEN '【已删除】' ELSE 'P' END AS placeholder FROM (SELECT doc_id, u.x AS x, u.i AS i FROM (SELECT doc_id, unnest(list_transform(taken, lambda y, j: {{'x': y, 'i': j}})) AS u FROM t)))"
@@ -609,6 +618,23 @@ def stream_history(spark, sf_dir):
     return history_shown(stateful.stored_history(spark, f"{out}/changes"))
 
 
+def stream_review(spark, sf_dir):
+    """Matches and decisions replayed as streams; older, contrary decisions come too and must not hold."""
+    from ..streaming import jobs
+    from ..streaming import review as stateful
+
+    out = _shared(spark)
+    docs = settled(spark, sf_dir)
+    docs.write.parquet(f"{out}/docs")
+    last = decided(spark.read.parquet(f"{out}/docs")).withColumn("decided_at", F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    older = last.select("doc_id", "match_id", (~F.col("selected")).alias("selected"), F.when(F.col("placeholder").isNotNull(), "older").alias("placeholder"), (F.col("decided_at") - F.expr("INTERVAL 1 DAY")).alias("decided_at"))
+    last.unionByName(older).write.parquet(f"{out}/decisions")
+    streams = [jobs.read_stream(spark, f"{out}/{x}", spark.read.parquet(f"{out}/{x}").schema) for x in ("docs", "decisions")]
+    stateful.start_review(*streams, f"{out}/outcomes", f"{out}/state", availableNow=True).awaitTermination()
+    parts = F.split("match_id", "-")
+    return stateful.reviewed_matches(spark, f"{out}/outcomes").select("doc_id", F.get(parts, F.lit(1)).cast("int").alias("start"), F.get(parts, F.lit(0)).alias("category"), "selected", "placeholder")
+
+
 QUERIES = {
     "redact_documents": redact_documents,
     "redact_contracts": redact_contracts,
@@ -638,6 +664,7 @@ QUERIES = {
     "packages": packages,
     "stream_redact": stream_redact,
     "stream_history": stream_history,
+    "stream_review": stream_review,
     "redact_rules": redact_rules,
     "redact_boundaries": redact_boundaries,
     "redact_roles": redact_roles,
@@ -675,6 +702,7 @@ ORACLE = {
     "order_tables": ORDER_TABLES_SQL,
     "packages": PACKAGES_SQL,
     "stream_history": CLEAN_HISTORY_SQL,
+    "stream_review": f"WITH {_REVIEW_SQL} SELECT doc_id, st AS start, category, selected, placeholder FROM m",
     "redact_rules": _rendered_sql("技术开发合同", RULE_LINES),
     "redact_boundaries": BOUNDARIES_SQL,
     "redact_roles": _rendered_sql("测试文件", ROLE_LINES),

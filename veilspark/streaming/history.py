@@ -15,6 +15,7 @@ retention or later than now) is ignored; records of equal times are ordered by `
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -166,19 +167,26 @@ def history_changes(events: DataFrame, now_us: int | None = None, initial: DataF
     return good.groupBy("client_id").transformWithState(ClientHistory(now_us), CHANGES, "append", "processingTime" if now_us is None else "none", None if initial is None else initial.groupBy("client_id"))
 
 
+@contextmanager
+def with_rocksdb(spark: SparkSession):
+    """Queries that start meanwhile keep their state in RocksDB."""
+    had = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)  # read when a query starts
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, had) if had else spark.conf.unset(PROVIDER)
+
+
 def start_history(events: DataFrame, path: str, checkpoint: str, now_us: int | None = None, initial: DataFrame | None = None, **trigger) -> StreamingQuery:
     """Starts the query that appends changes to ``path``; its state is in RocksDB under ``checkpoint``."""
     spark = events.sparkSession
     if now_us is None:  # a source that always has news: a restarted query otherwise waits for the first event before its timers count
         beat = spark.readStream.format("rate").load().filter(F.lit(False))
         events = events.unionByName(beat.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]))
-    had = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)  # read when the query starts
-    try:
-        writer = history_changes(events, now_us, initial).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    writer = history_changes(events, now_us, initial).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    with with_rocksdb(spark):
         return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
-    finally:
-        spark.conf.set(PROVIDER, had) if had else spark.conf.unset(PROVIDER)
 
 
 def last_changes(spark: SparkSession, path: str) -> DataFrame:
