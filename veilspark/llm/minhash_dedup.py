@@ -9,7 +9,7 @@ whose nodes already lie in one component are skipped; the nodes of the others ar
 their lists' largest component that is in most of such lists; and those that stay outside it once more with its node that has the
 fewest shingles of its own. Last, in lists that still span components, the nodes outside the
 list's largest component are compared with all the rest of other components, unless
-coordinates' last bits tell that too few agree, or a bound rules a link out: the core that a node was compared with is its hub, so it is known which of the
+coordinates' last bits tell that too few agree (a pair is listed once, at the first token that both hold), or a bound rules a link out: the core that a node was compared with is its hub, so it is known which of the
 hub's shingles the node holds (a bit each) and which others. Two nodes of one hub share
 at most the hub's shingles that both hold, and of the others no more than either has that occur in several nodes of that
 hub. Both tests are exact. Candidates are kept if their
@@ -28,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, scratch, text_of
@@ -243,13 +243,16 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_co
     links = scratch(links.unionAll(compared(scratch(_alike(asked, nodes), "cores")).filter("linked").select("a", "b")), "links")
     labels = components(links)
     # The rest: lists that still span components, but for pairs that the hub rules out.
-    mixed_lists = scratch(_spanning(posted, labels).join(marked.select("node", "hub", "bits", "several"), "node").join(nodes.select("node", "brief"), "node"), "lists")
-    one = mixed_lists.filter("outside").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("hub").alias("hub_a"), F.col("bits").alias("bits_a"), F.col("several").alias("several_a"), F.col("brief").alias("brief_a"))
-    two = mixed_lists.select("token", F.col("node").alias("b"), "n", "label", "outside", "hub", "bits", "several", "brief")
+    spanning = _spanning(posted, labels).withColumn("held", F.collect_set("token").over(Window.partitionBy("node")))  # PREFIX tokens at most
+    spanning = spanning.withColumn("before", F.filter("held", lambda t: t < F.col("token"))).drop("held")
+    mixed_lists = scratch(spanning.join(marked.select("node", "hub", "bits", "several"), "node").join(nodes.select("node", "brief"), "node"), "lists")
+    one = mixed_lists.filter("outside").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("hub").alias("hub_a"), F.col("bits").alias("bits_a"), F.col("several").alias("several_a"), F.col("brief").alias("brief_a"), F.col("before").alias("before_a"))
+    two = mixed_lists.select("token", F.col("node").alias("b"), "n", "label", "outside", "hub", "bits", "several", "brief", "before")
+    once = ~F.arrays_overlap("before_a", "before")  # a pair is listed at the first of its shared tokens
     both = F.expr("aggregate(zip_with(bits_a, bits, (x, y) -> bit_count(x & y)), 0, (s, x) -> s + x)") + F.least("several", "several_a")
     alike = F.expr(f"{' + '.join(map(_unlike, range(COORDS // 16)))} <= {COORDS - MATCHES}")  # else fewer than MATCHES coordinates agree
     may = (F.col("hub") != F.col("hub_a")) | (both * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
-    pairs = one.join(two, "token").filter((F.col("label") != F.col("other")) & near & (~F.col("outside") | (F.col("a") < F.col("b"))) & alike & may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = one.join(two, "token").filter((F.col("label") != F.col("other")) & near & (~F.col("outside") | (F.col("a") < F.col("b"))) & alike & may & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     candidates = scratch(_alike(pairs, nodes), "pairs")
     if not candidates.isEmpty():
         labels = components(scratch(links.unionAll(compared(candidates).filter("linked").select("a", "b")), "links"))
