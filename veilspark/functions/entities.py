@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import fixed
 from .detectors import is_party, is_person
 from .dialect import BLANK, escaped, extract, matches, replace, trim
-from .spans import bound, candidate, none, scan_fields, scan_fields_each, scan_java
+from .spans import CANDIDATE, HIT, bound, candidate, literal_places, none, scan_fields, scan_fields_each, scan_java, without_blanks
 
 ENTITY = "array<struct<value:string,category:string,placeholder:string>>"
 
@@ -113,20 +113,52 @@ def party_aliases(text: Column, parties: Column) -> Column:
 
     # Bound as the only element of an array, so that the names are searched once and not again for each of them.
     first = lambda every: F.filter(every, lambda a, i: F.size(F.filter(F.slice(every, F.lit(1), i), lambda b: (b["value"] == a["value"]) & (b["category"] == a["category"]))) == 0)
-    return F.get(F.transform(F.array(F.flatten(F.transform(parties, of))), first), F.lit(0))
+    named = F.when(text.rlike(fixed.ALIAS_WORDS), parties).otherwise(F.filter(parties, lambda p: F.lit(False)))
+    return F.get(F.transform(F.array(F.flatten(F.transform(named, of))), first), F.lit(0))
+
+
+def _pattern_hits(text: Column, value: Column) -> Column:
+    """Start and text of a value's mentions by one pattern, with the square brackets around them."""
+    mention = bound(flexible(value), lambda p: F.concat(F.lit("【(?:"), p, F.lit(")】|\\[(?:"), p, F.lit(")\\]|"), p))
+    return scan_java(text, mention)
+
+
+def _literal_hits(text: Column, bare: Column, at: Column, value: Column) -> Column:
+    """The same for a value without blanks: a literal search in the text without blanks, and each place mapped back."""
+    n = F.length(value)
+
+    def placed(h):
+        start, end = F.get(at, h["place"]), F.get(at, h["place"] + n - 1) + 1
+        closing = F.when(h["before"] == "【", "】").when(h["before"] == "[", "]")
+        framed = (h["after"] == closing) & (F.get(at, h["place"] - 1) == start - 1) & (F.get(at, h["place"] + n) == end)
+        return F.struct(start.alias("start"), end.alias("end"), F.coalesce(framed, F.lit(False)).alias("framed"), h["before"].alias("before"), h["after"].alias("after"))
+
+    def hit(h):
+        inner = F.when(h["end"] - h["start"] == n, value).otherwise(F.substr(text, h["start"] + 1, h["end"] - h["start"]))
+        return F.struct(
+            F.when(h["framed"], h["start"] - 1).otherwise(h["start"]).alias("start"), F.when(h["framed"], F.concat(h["before"], inner, h["after"])).otherwise(inner).alias("value")
+        )
+
+    return F.transform(F.transform(literal_places(bare, value), placed), hit)
 
 
 def mention_candidates(text: Column, entities: Column) -> Column:
-    """All mentions of the entities, in their order."""
+    """All mentions of the entities, in their order.
+
+    Blanks may lie between a name's characters. The text is freed of its blanks once, for all entities; each is then a literal
+    search in it. A value that holds blanks itself is still searched by its pattern. A null text or array has no mentions.
+    """
+    default = F.create_map(*[F.lit(x) for k, v in fixed.CATEGORIES.items() for x in (k, v[1])])
+
+    def in_free(free):
+        def of(entity):
+            value, shown = entity["value"], F.coalesce(entity["placeholder"], F.element_at(default, entity["category"]))
+            hits = F.when(value.rlike(f"[{BLANK}]"), _pattern_hits(text, value)).when(value != "", _literal_hits(text, free["bare"], free["at"], value))
+            return F.transform(F.coalesce(hits, none(HIT)), lambda h: candidate(h["start"], h["value"], entity["category"], shown))
 
-    def of(entity):
-        default = F.create_map(*[F.lit(x) for k, v in fixed.CATEGORIES.items() for x in (k, v[1])])
-        shown = F.coalesce(entity["placeholder"], F.element_at(default, entity["category"]))
-        # A mention in square brackets is found with them.
-        mention = bound(flexible(entity["value"]), lambda p: F.concat(F.lit("【(?:"), p, F.lit(")】|\\[(?:"), p, F.lit(")\\]|"), p))
-        return F.transform(scan_java(text, mention), lambda h: candidate(h["start"], h["value"], entity["category"], shown))
+        return F.flatten(F.transform(entities, of))
 
-    return F.flatten(F.transform(entities, of))
+    return F.when((F.size(entities) > 0) & text.isNotNull(), bound(without_blanks(text), in_free)).otherwise(none(CANDIDATE))
 
 
 __all__ = ["assigned_parties", "cleaned", "declared_roles", "extract", "flexible", "mention_candidates", "party_aliases", "preamble", "related_entities", "with_labelled_parties"]

@@ -174,7 +174,8 @@ ROLE_END = f"(?={GAP}(?:[【\\[（(】\\]）)；;，,|]|\\n|$))"
 ROLE_BLANK = "^(?:姓名|名称|待填写|未填写|授权范围|委托事项)$"
 RELATED_LABEL = "(?:公司名称|单位名称|企业名称|主体名称|名\\s*称|监理人|设计人|发包人|承包人|代理人|采购人|供应商|服务商|收款方|付款方|第三方|相关方|户\\s*名|账户名|收款户名)"
 ALIAS_BLOCKED = ["甲方", "乙方", "丙方", "丁方", "戊方", "己方", "庚方", "辛方", "壬方", "癸方", "双方", "各方", "本公司", "该公司", "一方", "对方", "授权人", "被授权人", "授权方", "被授权方", "委托人", "受托人", "委托方", "受托方", "声明人", "承诺人"]
-ALIAS_AFTER = "[ \\t　]*[】\\]]?[ \\t　]*[（(【\\[][^\\n]{0,30}?(?:以下简称|以下称|后称|简称|略称)[：:，, \\t　]*(?:为[：:，, \\t　]*)?[“\"‘']?"
+ALIAS_WORDS = "以下简称|以下称|后称|简称|略称"
+ALIAS_AFTER = f"[ \\t　]*[】\\]]?[ \\t　]*[（(【\\[][^\\n]{{0,30}}?(?:{ALIAS_WORDS})[：:，, \\t　]*(?:为[：:，, \\t　]*)?[“\"‘']?"
 ALIAS_NAME = "[^”\"’'\\n，,；;）)\\]】]{1,20}"
 
 # Document types

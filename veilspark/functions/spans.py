@@ -10,9 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .dialect import BLANK, CJK, MARKS, extract, java, matches, trim
+from .dialect import BLANK, BLANKS, CJK, MARKS, escaped, extract, java, matches, trim
 
 HIT = "array<struct<start:int,value:string>>"
+PLACE = "array<struct<place:int,before:string,after:string>>"
 FIELD = "array<struct<start:int,whole:string,value:string>>"
 CLAUSE = "array<struct<line_start:int,line_end:int,start:int,end:int>>"
 CANDIDATE = "array<struct<start:int,end:int,value:string,category:string,placeholder:string>>"
@@ -97,6 +98,28 @@ def scan_java(text: Column, pattern: Column | str) -> Column:
     return _hits(_parts(text, pattern, WHOLE))
 
 
+def without_blanks(text: Column) -> Column:
+    """bare: the text without blanks; at: the place in the text of each character of it."""
+
+    def step(at, part):  # a part has blanks only at its end
+        n = F.length(F.rtrim(part, F.lit(BLANKS)))
+        return (at + F.length(part)).cast("int"), F.sequence(at, at + n - 1), n > 0
+
+    places = swept(F.split(text, f"(?<=[{BLANK}])(?=[^{BLANK}])"), F.lit(0), step, "array<array<int>>")
+    return F.struct(F.regexp_replace(text, f"[{BLANK}]+", "").alias("bare"), F.flatten(places).alias("at"))
+
+
+def literal_places(text: Column, value: Column) -> Column:
+    """Where a value (not empty) stands in a text, from left to right and without overlaps, and the characters before and after it."""
+
+    def step(state, part):  # a part is what lies between two hits; the hit before it is settled here
+        after = F.struct((state["end"] + F.length(part) + F.length(value)).cast("int").alias("end"), F.right(F.concat(value, part), F.lit(1)).alias("before"))
+        found = F.struct((state["end"] - F.length(value)).cast("int").alias("place"), state["before"].alias("before"), F.left(F.concat(part, value), F.lit(1)).alias("after"))
+        return after, found, state["end"] > 0
+
+    return swept(F.split(text, escaped(value)), F.struct(F.lit(0).alias("end"), F.lit("").alias("before")), step, PLACE)
+
+
 def scan(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     return scan_java(text, ("(?i)" if ignore_case else "") + java(pattern))
 

@@ -60,7 +60,7 @@ def detected(docs: DataFrame, rules: list[tuple] = fixed.DETECTORS, fields: list
         out = entities.with_labelled_parties(out, "__labelled").withColumn("__declared", entities.declared_roles(text))
         out = out.withColumn("parties", entities.assigned_parties("__labelled", "__declared")).drop("__labelled", "__declared")
         out = out.withColumn("related", entities.related_entities(text, F.col("parties"))).withColumn("aliases", entities.party_aliases(text, F.col("parties")))
-        found += [entities.mention_candidates(text, F.col(x)) for x in ("parties", "related", "aliases")]
+        found.append(entities.mention_candidates(text, F.concat("parties", "related", "aliases")))
     if fields:
         found.append(detectors.field_candidates(text, F.col("doc_type"), fields))
     if persons:
