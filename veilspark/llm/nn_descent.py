@@ -20,16 +20,18 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch
 
 LINES, CELL, DEGREE, REVERSE, ROUNDS, OFFERS = 10, 256, 40, 64, 12, 24
 STILL = 0.01  # rounds end when a smaller share of the edges is new
-BEAM, EXPAND, STEPS, RERANK, NEAREST, QUERY_EVERY, MATES, LONG = 64, 16, 24, 60, 20, 20, 64, 64
+BEAM, EXPAND, STEPS, RERANK, NEAREST, QUERY_EVERY, MATES, LONG = 96, 48, 24, 60, 20, 20, 64, 64
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -216,10 +218,10 @@ def both_ways(graph: DataFrame, most: int = REVERSE) -> DataFrame:
     return ahead.select("id", "other").unionAll(back.select("id", "other")).groupBy("id").agg(F.collect_set("other").alias("others"))
 
 
-def _scored(asked: DataFrame, codes: DataFrame, queries: DataFrame, longer: dict[int, float]) -> DataFrame:
-    """q, id, score (the inner product of the coded vectors, for the longest times what their codes lack)."""
+def _scored(asked: DataFrame, codes: DataFrame, longer: dict[int, float]) -> DataFrame:
+    """q, id, score of the asked q, own (the query's code), id (the inner product of the coded vectors, for the longest times what their codes lack)."""
     ids, times = np.array(sorted(longer), dtype=np.int64), np.array([longer[i] for i in sorted(longer)])
-    pairs = asked.join(codes, "id").join(queries, "q").select("q", "id", "code", "own")
+    pairs = asked.join(codes, "id").select("q", "id", "code", "own")
 
     def run(batches):
         for batch in batches:
@@ -242,30 +244,48 @@ def drawn_starts(codes: DataFrame, query_ids: DataFrame, mates: int = MATES) ->
     return query_ids.select("q", of("q").alias("draw")).join(nodes, "draw").select("q", "id").filter("q <> id")
 
 
-def greedy_search(graph: DataFrame, codes: DataFrame, query_ids: DataFrame, longer: dict[int, float], rounds: int = STEPS) -> DataFrame:
-    """q, id, score of all nodes that were scored for each query; ``graph`` has id, others.
+def _offers(scored: DataFrame) -> DataFrame:
+    """q, met: what was scored for each query in one row, far (the score with its sign turned), id and old."""
+    return scored.groupBy("q").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "id", F.lit(False).alias("old"))).alias("met"))
+
+
+def _walks(near: Column, seen: Column, held: int) -> list[Column]:
+    """The state of a walk: the ``held`` best nodes with the marks of expanded ones, all nodes that were scored, and the nodes to expand next."""
+    near = F.slice(F.sort_array(near), 1, held)
+    front = F.transform(F.slice(F.filter(F.slice(near, 1, BEAM), lambda e: ~e["old"]), 1, EXPAND), lambda e: e["id"])
+    return [near.alias("near"), seen.alias("seen"), front.alias("front")]
+
+
+def greedy_search(graph: DataFrame, codes: DataFrame, query_ids: DataFrame, longer: dict[int, float], rounds: int = STEPS, keep: int = RERANK) -> DataFrame:
+    """q, id, score of the ``keep`` best of all nodes that were scored for each query; ``graph`` has id, others.
 
     A walk starts at the query's own links, at the longest vectors and at nodes drawn from the whole table, so that it leaves a group of nodes
     without links to others and no list stays short where there are enough nodes. In each round the EXPAND best nodes that
     were not expanded before offer their links; what was scored once is not scored again. A walk ends when its BEAM best nodes are expanded.
+    It is one row, and one that has ended is set aside, so that a round's work is that of the walks that go on.
     """
+    held = max(keep, BEAM)
     queries = scratch(codes.join(query_ids.select(F.col("q").alias("id")), "id").select(F.col("id").alias("q"), F.col("code").alias("own")), "queries")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     start = graph.join(queries.select(F.col("q").alias("id")), "id").select(F.col("id").alias("q"), F.explode("others").alias("id"))
     start = start.unionAll(drawn_starts(codes, query_ids))
     if longer:
         start = start.unionAll(queries.select("q", F.explode(F.array(*[F.lit(i).cast("long") for i in longer])).alias("id")))
-    state = scratch(_scored(start.filter("q <> id").dropDuplicates(), codes, queries, longer).withColumn("old", F.lit(False)), "scored")
+    first = queries.join(_offers(_scored(start.filter("q <> id").dropDuplicates().join(queries, "q"), codes, longer)), "q")
+    walks = scratch(first.select("q", "own", *_walks(F.col("met"), F.col("met.id"), held)), "walks")
+    ended = []
     for _ in range(rounds):
-        beam = state.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= BEAM)
-        front = scratch(beam.filter(~F.col("old")).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= EXPAND).select("q", "id"), "front")
-        if front.isEmpty():
+        ended.append(walks.filter(F.size("front") == 0).select("q", "near"))
+        walks = walks.filter(F.size("front") > 0)
+        if walks.isEmpty():
             break
-        met = front.join(graph, "id").select("q", F.explode("others").alias("id")).filter("q <> id").dropDuplicates().join(state.select("q", "id"), ["q", "id"], "left_anti")
-        new = _scored(met, codes, queries, longer).withColumn("old", F.lit(False))
-        seen = state.join(front.withColumn("now", F.lit(True)), ["q", "id"], "left").select("q", "id", "score", (F.col("old") | F.coalesce("now", F.lit(False))).alias("old"))
-        state = scratch(seen.unionAll(new), "scored")
-    return state.select("q", "id", "score")
+        links = walks.select("q", F.explode("front").alias("id")).join(graph, "id").groupBy("q").agg(F.flatten(F.collect_list("others")).alias("others"))
+        unseen = F.array_except("others", F.concat("seen", F.array("q")))
+        asked = walks.select("q", "own", "seen").join(links, "q").select("q", "own", F.explode(unseen).alias("id"))
+        met = walks.join(_offers(_scored(asked, codes, longer)), "q", "left").withColumn("met", F.coalesce("met", F.slice("near", 1, 0)))
+        now = F.transform("near", lambda e: F.struct(e["far"].alias("far"), e["id"].alias("id"), (e["old"] | F.array_contains("front", e["id"])).alias("old")))
+        walks = scratch(met.select("q", "own", *_walks(F.concat(now, "met"), F.concat("seen", "met.id"), held)), "walks")
+    ended.append(walks.select("q", "near"))
+    return reduce(DataFrame.unionAll, ended).select("q", F.explode(F.slice("near", 1, keep)).alias("e")).select("q", "e.id", (-F.col("e.far")).alias("score"))
 
 
 def nearest_neighbours(table: DataFrame, nearest: int = NEAREST, query_every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -280,8 +300,7 @@ def nearest_neighbours(table: DataFrame, nearest: int = NEAREST, query_every: in
     asked = valid.filter(F.col("id") % query_every == 0).select(F.col("id").alias("query_id"), F.col("node").alias("q"))
     nodes = asked.select("q").dropDuplicates()
     queries = rows.select(F.col("id").alias("q"), F.col("vector").alias("own")).join(nodes, "q", "left_semi")
-    top = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    found = greedy_search(scratch(both_ways(graph), "links"), codes, nodes, longer).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max(RERANK, 2 * nearest)).select("q", "id")
+    found = greedy_search(scratch(both_ways(graph), "links"), codes, nodes, longer, keep=max(RERANK, 2 * nearest)).select("q", "id")
     found = found.unionAll(nodes.select("q", F.col("q").alias("id")))  # a node holds its query's copies
     exact = F.aggregate(F.zip_with("own", "vector", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = found.join(rows, "id").join(queries, "q").select("q", F.col("id").alias("node"), exact.alias("score"))
