@@ -2,7 +2,8 @@
 
 Rows are (folder, file_name, content). A task writes below ``path``/_staging-<job>/<attempt>; when all tasks have succeeded, the commit moves each successful
 attempt's folder to ``path``/part-<job>-<n>, one rename a task whatever the number of files; attempts that failed or were
-run twice never become visible, and an abort removes the staging folder. Files are at ``path``/part-*/<folder>/<file_name>.
+run twice never become visible, and an abort removes the staging folder. Tasks may still run when the job is aborted: the job makes the staging folder with a
+mark in it, a task never makes that folder and leaves nothing once the mark is gone. Files are at ``path``/part-*/<folder>/<file_name>.
 
 Paths are those of any file system that Arrow knows by its address (file, hdfs, s3 and others).
 
@@ -13,6 +14,7 @@ blank folders and names are "_"; of rows with one folder and name in a task the
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 SCHEMA = "folder string, file_name string, content string"
+OPEN = "_open"  # the mark of a job that was not aborted
 
 
 def located(path: str):
@@ -36,6 +39,12 @@ def _files(path: str):
     return system, root.rstrip("/")
 
 
+def _is(system, place: str) -> bool:
+    from pyarrow import fs
+
+    return system.get_file_info(place).type != fs.FileType.NotFound
+
+
 def _part(name: str | None) -> str:
     clean = re.sub(r'[\\/:*?"<>|\x00-\x1f]', "_", name or "").strip()
     return "_" if clean in ("", ".", "..") else clean
@@ -52,6 +61,10 @@ class Written(WriterCommitMessage):
 class DocumentFilesWriter(DataSourceWriter):
     def __init__(self, path: str):
         self.path, self.job = path, uuid.uuid4().hex
+        system, root = _files(path)
+        system.create_dir(f"{root}/{self.staging}", recursive=True)
+        with system.open_output_stream(f"{root}/{self.staging}/{OPEN}"):
+            pass
 
     @property
     def staging(self) -> str:
@@ -60,16 +73,22 @@ class DocumentFilesWriter(DataSourceWriter):
     def write(self, iterator) -> Written:
         system, root = _files(self.path)
         attempt, used = uuid.uuid4().hex, {}
+        own = f"{root}/{self.staging}/{attempt}"
         for row in iterator:
             folder, name = _part(row[0]), _part(row[1])
             nth = used[folder, name] = used.get((folder, name), 0) + 1
             if nth > 1:
                 stem, dot, end = name.rpartition(".")
                 name = f"{stem}_{nth}.{end}" if dot else f"{name}_{nth}"
-            place = f"{root}/{self.staging}/{attempt}/{folder}"
-            system.create_dir(place, recursive=True)
+            place = f"{own}/{folder}"
+            for made in (own, place):
+                system.create_dir(made, recursive=False)
             with system.open_output_stream(f"{place}/{name}") as out:
                 out.write((row[2] or "").encode("utf-8"))
+            if not _is(system, f"{root}/{self.staging}/{OPEN}"):  # where a file makes its folders again, it goes with them
+                if _is(system, own):
+                    system.delete_dir(own)
+                raise RuntimeError("the job was aborted")
         return Written(attempt, sum(used.values()))
 
     def commit(self, messages) -> None:
@@ -83,10 +102,18 @@ class DocumentFilesWriter(DataSourceWriter):
         self._clear(*_files(self.path))
 
     def _clear(self, system, root: str) -> None:
-        from pyarrow import fs
-
-        if system.get_file_info(f"{root}/{self.staging}").type == fs.FileType.Directory:
-            system.delete_dir(f"{root}/{self.staging}")
+        staging = f"{root}/{self.staging}"
+        if _is(system, f"{staging}/{OPEN}"):
+            system.delete_file(f"{staging}/{OPEN}")
+        for tries in range(20, -1, -1):  # a task that still runs may add a file while the folder is emptied
+            if not _is(system, staging):
+                return
+            try:
+                system.delete_dir(staging)
+            except OSError:
+                if not tries:
+                    raise
+                time.sleep(0.05)
 
 
 class DocumentFiles(DataSource):
