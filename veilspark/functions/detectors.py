@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
 from .dialect import CJK, extract, java, matches, replace, trim
-from .spans import CANDIDATE, HIT, candidate, none, scan, scan_each, scan_fields, scan_fields_each
+from .spans import CANDIDATE, FRAGMENTS, HIT, bound, candidate, fragments, holds, none, scan, scan_each, scan_fields, scan_fields_each, scan_fragments_each, separable
 
 
 def _ci(value: Column, pattern: str) -> Column:
@@ -55,12 +57,6 @@ PLACEHOLDERS = {
 }
 
 
-def _guards(text: Column) -> dict[str, Column]:
-    """Cheap tests that a text must meet for rules that need such characters."""
-    tests = {need: text.rlike(pattern) for need, pattern in fixed.NEEDS.items()}
-    return {"": None} | tests
-
-
 def _shown(kind: Column, value: Column, before: Column) -> Column:
     """The placeholder that a rule's kind makes from the match; only the kind's own branch is evaluated."""
     made = F.when(kind == "date", _date(value))
@@ -69,11 +65,22 @@ def _shown(kind: Column, value: Column, before: Column) -> Column:
     return made
 
 
-def pattern_candidates(text: Column, rules: list[tuple] = fixed.DETECTORS, keep_amounts: bool = False, guards: dict[str, Column] | None = None) -> Column:
-    """All pattern detectors in order; ``keep_amounts`` leaves the amount rules out."""
+def pattern_candidates(text: Column, rules: list[tuple] = fixed.DETECTORS, keep_amounts: bool = False) -> Column:
+    """All pattern detectors in order; ``keep_amounts`` leaves the amount rules out.
+
+    A rule of the fixed list is searched in the fragments that hold what it needs; other rules, and those that look at any character,
+    in the whole text.
+    """
     rules = [rule for rule in rules if not (keep_amounts and rule[1] == "amount")]
-    guards = guards or _guards(text)
-    found = scan_each(text, [(guards[fixed.RULE_NEEDS.get(rule_id, "")], pattern, ci) for rule_id, _, pattern, ci, _ in rules])
+    needs = [fixed.RULE_NEEDS.get(rule[0]) if rule in fixed.DETECTORS and separable(rule[2]) else None for rule in rules]
+    parted, whole = [i for i, n in enumerate(needs) if n], [i for i, n in enumerate(needs) if not n]
+    holds = lambda i: reduce(lambda a, b: a & b, [F.contains(text, F.lit(x)) for x in fixed.TEXT_NEEDS[rules[i][0]]]) if rules[i] in fixed.DETECTORS and rules[i][0] in fixed.TEXT_NEEDS else None
+    in_text = scan_each(text, [(holds(i), *rules[i][2:4]) for i in whole])
+    # No rule of the list matches without a digit, a Chinese character, an @ or 18 capitals.
+    pieces = F.when(text.rlike("[@\\d]|[A-HJ-NPQRTUWXY]{18}") | (F.octet_length(text) != F.length(text)) & text.rlike(fixed.NEEDS["han"]), fragments(text)).otherwise(none(FRAGMENTS))
+    in_pieces = bound(pieces, lambda p: scan_fragments_each(p, [(needs[i], *rules[i][2:4]) for i in parted])) if parted else none(f"array<{HIT}>")
+    order = [(parted + whole).index(i) for i in range(len(rules))]
+    found = bound(F.concat(in_pieces, in_text), lambda every: F.array(*[F.get(every, F.lit(i)) for i in order]))
     kinds, texts = [], []
     for _, category, _, _, placeholder in rules:
         kind = placeholder if placeholder in PLACEHOLDERS else "date" if placeholder is None and category == "date" else None
@@ -116,8 +123,8 @@ def _plain(category: str, shown: str):
 
 def field_candidates(text: Column, doc_type: Column, rules: list[tuple] = fixed.FIELDS) -> Column:
     """All labelled fields in order; a value starts where its text first occurs in the match, label included."""
-    guard = text.rlike(fixed.NEEDS["han"])
-    found = scan_fields_each(text, [(guard, before, value, after, flags) for _, _, before, value, after, flags, _ in rules])
+    guard = lambda rule: holds(text, fixed.FIELD_WORDS[rule[0]]) if rule in fixed.FIELDS else None
+    found = scan_fields_each(text, [(guard(rule), *rule[2:6]) for rule in rules])
     project = F.when(doc_type == "tech", fixed.PROJECT_TOKENS["tech"]).when(doc_type == "purchase", fixed.PROJECT_TOKENS["purchase"]).otherwise(fixed.PROJECT_TOKENS[""])
     categories, texts = F.array(*[F.lit(rule[1]) for rule in rules]), F.array(*[F.lit(rule[-1]).cast("string") for rule in rules])
 
@@ -134,9 +141,9 @@ def field_candidates(text: Column, doc_type: Column, rules: list[tuple] = fixed.
 def person_candidates(text: Column) -> Column:
     """Lecturers, names before the word for lawyer, and names in clauses that appoint lawyers."""
     name = f"[{CJK}·]{{2,4}}"
-    lawyer = F.contains(text, F.lit("律师"))
+    lawyer = holds(text, ("律师",))
     hit = lambda start, value: F.struct(start.cast("int").alias("start"), value.alias("value"))
-    lecturers = F.flatten(F.transform(scan_fields(text, fixed.LECTURER, "[^，,。\\n；;]{2,60}", guard=text.rlike("师|主讲人")), lambda h: F.transform(
+    lecturers = F.flatten(F.transform(scan_fields(text, fixed.LECTURER, "[^，,。\\n；;]{2,60}", guard=holds(text, ("师", "主讲人"))), lambda h: F.transform(
         F.filter(scan(h["value"], "[^、,，和及与\\s　]+"), lambda t: matches(t["value"], f"^{name}$")),
         lambda t: hit(h["start"] + F.instr(h["whole"], h["value"]) - 1 + t["start"], t["value"]))))
     before = F.transform(scan_fields(text, "(?:^|[、,，\\s　])", name, "(?=律师)", guard=lawyer), lambda h: hit(h["start"] + F.instr(h["whole"], h["value"]) - 1, h["value"]))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from . import fixed
 from .detectors import is_party, is_person
 from .dialect import BLANK, escaped, extract, matches, replace, trim
-from .spans import CANDIDATE, HIT, bound, candidate, literal_places, none, scan_fields, scan_fields_each, scan_java, without_blanks
+from .spans import CANDIDATE, HIT, bound, candidate, holds, literal_places, none, scan_fields, scan_fields_each, scan_java, without_blanks
 
+PARTY = "array<struct<value:string,category:string>>"
 ENTITY = "array<struct<value:string,category:string,placeholder:string>>"
 
 
@@ -28,7 +29,7 @@ def cleaned(value: Column) -> Column:
 def _labelled_parties(text: Column, guard: Column) -> Column:
     rules = []
     for stem, labels in fixed.PARTIES:
-        rules.append((guard & text.rlike(labels), f"(?:{labels})[ \\t　]*(?:[（(][^）)\\n]{{1,20}}[）)])?{fixed.PARTY_GAP}[【\\[（(]?[ \\t　]*", fixed.COMPANY, "", ""))
+        rules.append((guard & holds(text, labels.split("|")), f"(?:{labels})[ \\t　]*(?:[（(][^）)\\n]{{1,20}}[）)])?{fixed.PARTY_GAP}[【\\[（(]?[ \\t　]*", fixed.COMPANY, "", ""))
         rules.append((guard & F.contains(text, F.lit(f"{stem}方")), f"{stem}方\\s*[（(]\\s*", fixed.COMPANY, "\\s*[）)]", ""))
     category = F.array(*[F.lit(f"entity{letter}") for letter in fixed.ENTITY_LETTERS])
 
@@ -41,14 +42,14 @@ def _labelled_parties(text: Column, guard: Column) -> Column:
 
 def with_labelled_parties(docs, name: str):
     """Adds ``name``: parties named after their labels in the preamble; if there are none, in the whole text."""
-    text, guard = F.col("text"), F.col("text").rlike("方")
-    head = docs.withColumn("__head", _labelled_parties(preamble(text), guard))
+    text, guard = F.col("text"), holds(F.col("text"), ("方",))
+    head = docs.withColumn("__head", F.when(guard, bound(preamble(text), lambda t: _labelled_parties(t, F.lit(True)))).otherwise(none(PARTY)))
     return head.withColumn(name, F.when(F.size("__head") > 0, F.col("__head")).otherwise(_labelled_parties(text, guard & (F.size("__head") == 0)))).drop("__head")
 
 
 def declared_roles(text: Column) -> Column:
     """Values of role declarations (authorising, mandating, declaring parties)."""
-    values = F.transform(scan_fields(text, fixed.ROLE_LABEL, fixed.ROLE_NAME, fixed.ROLE_END), lambda h: trim(h["value"]))
+    values = F.transform(scan_fields(text, fixed.ROLE_LABEL, fixed.ROLE_NAME, fixed.ROLE_END, guard=holds(text, fixed.ROLES.split("|"))), lambda h: trim(h["value"]))
     return F.filter(values, lambda v: (is_party(v) | is_person(v)) & ~matches(v, fixed.ROLE_BLANK))
 
 
@@ -96,7 +97,7 @@ def flexible(value: Column) -> Column:
 def related_entities(text: Column, parties: Column) -> Column:
     """Organisations after neutral labels that are no parties."""
     gap = "[ \\t　]*[：:，,.。;；]?\\s*[【\\[（(]?[ \\t　]*"
-    hits = F.concat(scan_fields(text, fixed.RELATED_LABEL + gap, fixed.COMPANY), scan_fields(text, f"(?:{fixed.PARTY_LABEL})[ \\t　]*(?:公司)?名称{gap}", fixed.COMPANY))
+    hits = F.concat(scan_fields(text, fixed.RELATED_LABEL + gap, fixed.COMPANY, guard=holds(text, fixed.RELATED_WORDS)), scan_fields(text, f"(?:{fixed.PARTY_LABEL})[ \\t　]*(?:公司)?名称{gap}", fixed.COMPANY, guard=holds(text, ("名称",))))
     values = F.filter(F.transform(hits, lambda h: cleaned(h["value"])), lambda v: (v != "") & is_party(v))
     return F.transform(F.array_except(values, F.transform(parties, lambda p: p["value"])), lambda v: F.struct(v.alias("value"), F.lit("entityOther").alias("category"), F.lit("【相关主体】").alias("placeholder")))
 
@@ -113,7 +114,7 @@ def party_aliases(text: Column, parties: Column) -> Column:
 
     # Bound as the only element of an array, so that the names are searched once and not again for each of them.
     first = lambda every: F.filter(every, lambda a, i: F.size(F.filter(F.slice(every, F.lit(1), i), lambda b: (b["value"] == a["value"]) & (b["category"] == a["category"]))) == 0)
-    named = F.when(text.rlike(fixed.ALIAS_WORDS), parties).otherwise(F.filter(parties, lambda p: F.lit(False)))
+    named = F.when(holds(text, fixed.ALIAS_WORDS.split("|")), parties).otherwise(F.filter(parties, lambda p: F.lit(False)))
     return F.get(F.transform(F.array(F.flatten(F.transform(named, of))), first), F.lit(0))
 
 

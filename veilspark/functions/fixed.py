@@ -112,14 +112,22 @@ DETECTORS = [
     ("D45", "amount", "(?:人民币\\s*)?(?:¥|￥)?\\s*\\d{1,3}(?:[,，]\\d{3})+(?:\\.\\d{1,2})?\\s*(?:元|万元|亿元)?|(?:人民币\\s*)?(?:¥|￥)\\s*\\d+(?:\\.\\d{1,2})?|\\d+(?:\\.\\d{1,2})?\\s*(?:万元|亿元)", False, None),
 ]
 
-# Characters without which a rule cannot match, and the rules that need them
+# Characters without which rules cannot match, in whole texts
 NEEDS = {"at": "@", "digit": "\\d", "digits": "\\d{4}", "han": "[〇\\u4e00-\\u9fff]", "percent": "[％%]", "permille": "‰", "compare": "[><≥≤≈≃≅≒=~]"}
+# What the fragment of a rule's match must hold, by rule: flags of fragments, strings of which one must be there, or /patterns/
+_TO, _FOREIGN, _OPEN, _COMPARED = ("-", "—", "–", "~", "至"), ("美金", "港币", "英镑", "新币"), ("【", "["), tuple("><≥≤≈≃≅≒=~")
+_MONEY, _CAPITAL, _SPAN = ("万", "元", *_FOREIGN), ("/[零〇壹贰叁肆伍陆柒捌玖拾佰仟萬万億亿兆]/",), ("天", "日", "周", "小时", "年", "月")
+_DIGIT, _DIGITS = ("digit",), ("digits",)
 RULE_NEEDS = {
-    "D01": "at", "D02": "digits", "D04": "digits", "D05": "digits", "D06": "digit", "D07": "han", "D08": "han", "D09": "han", "D10": "han", "D11": "han", "D12": "digit",
-    "D13": "han", "D14": "digit", "D15": "han", "D16": "han", "D17": "han", "D18": "han", "D19": "han", "D20": "han", "D21": "percent", "D22": "percent", "D23": "han",
-    "D24": "permille", "D25": "permille", "D26": "han", "D27": "han", "D28": "han", "D29": "han", "D30": "han", "D31": "han", "D32": "han", "D33": "compare", "D34": "compare",
-    "D35": "digit", "D36": "digit", "D37": "digit", "D38": "digit", "D39": "han", "D40": "digits", "D41": "han", "D42": "han", "D43": "han", "D44": "han", "D45": "digit",
+    "D01": (("@",),), "D02": (_DIGITS,), "D03": (("/[0-9A-HJ-NPQRTUWXY]{18}/",),), "D04": (_DIGITS,), "D05": (_DIGITS,), "D06": (_DIGIT,), "D07": (_DIGIT, ("年",), ("月",)), "D08": (("大写",), _CAPITAL), "D09": (_DIGIT, (",", "，"), ("（", "("), _CAPITAL),
+    "D10": (_DIGIT, _MONEY), "D11": (_DIGIT, ("万", "元"), _COMPARED), "D12": (_DIGIT, ("/[A-Za-z¥￥$€£]/",)), "D13": (_DIGIT, ("元",), _OPEN), "D14": (_DIGIT, (".",), _OPEN), "D15": (_OPEN, _CAPITAL),
+    "D16": (("元", "圆", *_FOREIGN), _CAPITAL), "D18": (_DIGIT, ("元",)), "D19": (("元", "圆", *_FOREIGN), _CAPITAL), "D20": (_DIGIT, ("元", *_FOREIGN), _TO), "D21": (_DIGIT, ("%", "％"), _TO), "D22": (_DIGIT, ("%", "％")),
+    "D23": (("百分之",),), "D24": (_DIGIT, ("‰",), _TO), "D25": (_DIGIT, ("‰",)), "D26": (("千分之",),), "D27": (("分之",),), "D28": (("半",),), "D29": (_DIGIT, ("余款", "价款", "金额", "费用", "总额")), "D30": (("成", "折"),),
+    "D31": (("分",), ("期",)), "D32": (("期",),), "D33": (_DIGIT, _COMPARED), "D34": (_DIGIT, _COMPARED), "D35": (_DIGIT, (*_TO, "到", "t", "T")), "D36": (_DIGIT,), "D37": (_DIGIT, ("米", "平", "㎡", "m")), "D38": (_DIGIT,),
+    "D39": (_DIGITS, ("年",), ("月",)), "D40": (_DIGITS,), "D41": (_DIGITS, ("年",), ("月",)), "D42": (_DIGIT, ("月",), ("日",)), "D43": (_DIGIT, _TO, _SPAN), "D44": (_SPAN,), "D45": (_DIGIT, (",", "，", "¥", "￥", "万元", "亿元")),
 }
+# Of the rules that are searched in whole texts: strings that must all be there
+TEXT_NEEDS = {"D17": ("元", "/")}
 
 SEP, GAP = "[：:，,.。\\s　]*", "[ \\t　]*"
 NAME_CHARS = "\\u4e00-\\u9fa5·A-Za-z"
@@ -144,6 +152,13 @@ FIELDS = [
     ("L16", "numericSpec", f"(?:范围|区间|标准要求|参数|结果(?:为)?){SEP}", f"{NUM}\\s*(?:-|—|–|~|到|至|to)\\s*{NUM}", "", "(?i)", "X-Y"),
     ("L17", "project", "(?:项目名称|项目代号|采购标的|产品名称|双方就)[：:\\s“\"]+", "[^\\n，”\"；;]{2,50}", "", "", None),
 ]
+# Words of which a text must hold one for a field's label
+FIELD_WORDS = {
+    "L01": ("编号", "合同号", "协议号"), "L02": ("地址",), "L03": ("地址",), "L04": ("地址", "住所", "经营场所", "履约地点"), "L05": ("位于", "坐落于", "所在地为", "地点为", "地址为"), "L06": ("收件人", "收货人", "接收人"), "L07": ("联系方式",),
+    "L08": ("代表", "授权人", "签字人", "签署人", "代理人", "项目经理", "负责人", "监理工程师"), "L09": ("联系人", "收件人", "收货人", "接收人", "经办人", "代表", "负责人", "代理人", "项目经理"), "L10": ("姓", "职务", "岗位"), "L11": ("开户",), "L12": ("开户",),
+    "L13": ("大写",), "L14": ("总额", "金额", "服务费", "价款", "租金", "违约金", "保证金", "押金", "单价"), "L15": ("总额", "金额", "服务费", "价款", "租金", "违约金", "保证金", "押金"), "L16": ("范围", "区间", "标准要求", "参数", "结果"),
+    "L17": ("项目名称", "项目代号", "采购标的", "产品名称", "双方就"),
+}
 PROJECT_TOKENS = {"tech": "【技术项目A】", "purchase": "【采购标的A】", "": "【项目或标的A】"}
 
 # Values of persons and addresses
@@ -173,6 +188,7 @@ ROLE_LABEL = f"(?:^|[\\n|；;]){GAP}(?:{ROLES}){GAP}(?:[（(][^）)\\n]{{1,20}}[
 ROLE_END = f"(?={GAP}(?:[【\\[（(】\\]）)；;，,|]|\\n|$))"
 ROLE_BLANK = "^(?:姓名|名称|待填写|未填写|授权范围|委托事项)$"
 RELATED_LABEL = "(?:公司名称|单位名称|企业名称|主体名称|名\\s*称|监理人|设计人|发包人|承包人|代理人|采购人|供应商|服务商|收款方|付款方|第三方|相关方|户\\s*名|账户名|收款户名)"
+RELATED_WORDS = ("称", "监理人", "设计人", "发包人", "承包人", "代理人", "采购人", "供应商", "服务商", "收款方", "付款方", "第三方", "相关方", "户")
 ALIAS_BLOCKED = ["甲方", "乙方", "丙方", "丁方", "戊方", "己方", "庚方", "辛方", "壬方", "癸方", "双方", "各方", "本公司", "该公司", "一方", "对方", "授权人", "被授权人", "授权方", "被授权方", "委托人", "受托人", "委托方", "受托方", "声明人", "承诺人"]
 ALIAS_WORDS = "以下简称|以下称|后称|简称|略称"
 ALIAS_AFTER = f"[ \\t　]*[】\\]]?[ \\t　]*[（(【\\[][^\\n]{{0,30}}?(?:{ALIAS_WORDS})[：:，, \\t　]*(?:为[：:，, \\t　]*)?[“\"‘']?"

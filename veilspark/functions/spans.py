@@ -6,6 +6,9 @@ category, placeholder); its place in the candidate array is its order of inserti
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,17 +16,25 @@ from . import fixed
 from .dialect import BLANK, BLANKS, CJK, MARKS, escaped, extract, java, matches, trim
 
 HIT = "array<struct<start:int,value:string>>"
+FRAGMENTS = "array<struct<start:int,value:string,digit:boolean,digits:boolean>>"
 PLACE = "array<struct<place:int,before:string,after:string>>"
 FIELD = "array<struct<start:int,whole:string,value:string>>"
 CLAUSE = "array<struct<line_start:int,line_end:int,start:int,end:int>>"
 CANDIDATE = "array<struct<start:int,end:int,value:string,category:string,placeholder:string>>"
 
 
+def holds(text: Column, words) -> Column:
+    """Whether a text holds one of some words (none of them in ASCII only); a text of ASCII is not searched."""
+    return (F.octet_length(text) != F.length(text)) & reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
 def none(kind: str) -> Column:
     return F.from_json(F.lit("[]"), kind)
 
 
 RUN = 128
+# Characters that no separable rule names; the text between two of them is a fragment.
+SEPARATORS = "。；;、！？“”《》为的在"
 
 
 def bound(value: Column, use) -> Column:
@@ -57,45 +68,53 @@ def swept(items: Column, state: Column, step, kind: str) -> Column:
     return bound(items, lambda x: F.aggregate(in_runs(x), zero, run_step, lambda acc: F.flatten(acc["found"])))
 
 
-def _hits(parts: Column) -> Column:
-    """Matches and their starts from a text's parts: gap, match, gap and so on."""
+def starts(parts: Column, gap: int = 0) -> Column:
+    """Where each of a text's parts (a bound array) begins, with ``gap`` characters between them, and where the next would.
+
+    A run appends to its own array only, as in ``swept``.
+    """
 
-    def step(state, part):
-        after = F.struct((state["at"] + F.length(part)).cast("int").alias("at"), (~state["odd"]).alias("odd"))
-        return after, F.struct(state["at"].alias("start"), part.alias("value")), state["odd"]
+    def run_step(acc, run):
+        mine = F.aggregate(run, F.array(acc["at"]), lambda at, part: F.array_append(at, F.element_at(at, -1) + F.length(part) + gap))
+        return bound(mine, lambda m: F.struct(F.element_at(m, -1).alias("at"), F.array_append(acc["found"], F.slice(m, 1, F.size(m) - 1)).alias("found")))
 
-    return swept(parts, F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd")), step, HIT)
+    zero = F.struct(F.lit(0).alias("at"), none("array<array<int>>").alias("found"))
+    return F.aggregate(in_runs(parts), zero, run_step, lambda acc: F.array_append(F.flatten(acc["found"]), acc["at"]))
+
+
+def _every(parts: Column, step: int, of, kind: str) -> Column:
+    """``of(places, i)`` for each first place i of a match in a text's parts, which come in groups of ``step``."""
+    places = lambda p: F.sequence(F.lit(1), F.size(p) - step, F.lit(step))
+    return bound(parts, lambda p: F.when(F.size(p) > step, bound(starts(p), lambda at: F.transform(places(p), lambda i: of(p, at, i)))).otherwise(none(kind)))
+
+
+def _hits(parts: Column) -> Column:
+    """Matches and their starts from a text's parts: gap, match, gap and so on."""
+    return _every(parts, 2, lambda p, at, i: F.struct(F.get(at, i).alias("start"), F.get(p, i).alias("value")), HIT)
 
 
 def _fields(parts: Column) -> Column:
     """Label and value matches from a text's parts: gap, label, value, gap and so on."""
+    return _every(parts, 3, lambda p, at, i: F.struct(F.get(at, i).alias("start"), F.concat(F.get(p, i), F.get(p, i + 1)).alias("whole"), F.get(p, i + 1).alias("value")), FIELD)
 
-    def step(state, part):
-        is_label = state["turn"] == 1
-        after = F.struct(
-            (state["at"] + F.length(part)).cast("int").alias("at"),
-            ((state["turn"] + 1) % 3).cast("int").alias("turn"),
-            F.when(is_label, state["at"]).otherwise(state["from"]).alias("from"),
-            F.when(is_label, part).otherwise(state["label"]).alias("label"),
-        )
-        return after, F.struct(state["from"].alias("start"), F.concat(state["label"], part).alias("whole"), part.alias("value")), state["turn"] == 2
 
-    return swept(parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("from"), F.lit("").alias("label")), step, FIELD)
+def _marked(text: Column, pattern: Column | str, marked: str, guard: Column | None = None) -> Column:
+    """The text with marks around its matches; null, without a search, where the guard says that there are none."""
+    out = F.regexp_replace(text, F.lit(pattern) if isinstance(pattern, str) else pattern, marked)
+    return out if guard is None else F.when(guard, out)
 
 
-def _parts(text: Column, pattern: Column | str, marked: str, guard: Column | None = None) -> Column:
-    """The text split at the marks around its matches; empty where there are none, without a search where the guard says so."""
-    found = text.rlike(pattern) if isinstance(pattern, str) else F.regexp_like(text, pattern)
-    split = F.split(F.regexp_replace(text, F.lit(pattern) if isinstance(pattern, str) else pattern, marked), f"[{MARKS}]")
-    return F.when(found if guard is None else guard & found, split).otherwise(F.array().cast("array<string>"))
+def _parts(text: Column, marked: Column) -> Column:
+    """A marked text (a bound one) split at its marks; empty where it is null or has none."""
+    return F.when(marked != text, F.split(marked, MARKS[0])).otherwise(F.array().cast("array<string>"))
 
 
-WHOLE, LABELLED = f"{MARKS[0]}$0{MARKS[1]}", f"{MARKS[0]}$1{MARKS[1]}$2{MARKS[2]}"
+WHOLE, LABELLED = f"{MARKS[0]}$0{MARKS[0]}", f"{MARKS[0]}$1{MARKS[0]}$2{MARKS[0]}"
 
 
 def scan_java(text: Column, pattern: Column | str) -> Column:
     """All matches of a Java pattern (which may be a column) with their starts."""
-    return _hits(_parts(text, pattern, WHOLE))
+    return bound(_marked(text, pattern, WHOLE), lambda m: _hits(_parts(text, m)))
 
 
 def without_blanks(text: Column) -> Column:
@@ -126,7 +145,65 @@ def scan(text: Column, pattern: str, ignore_case: bool = False) -> Column:
 
 def scan_each(text: Column, rules: list[tuple[Column | None, str, bool]]) -> Column:
     """An array of the matches of each rule (guard, pattern, case ignored); one fold serves all."""
-    return F.transform(F.array(*[_parts(text, ("(?i)" if ci else "") + java(p), WHOLE, guard) for guard, p, ci in rules]), _hits)
+    return F.transform(F.array(*[_marked(text, ("(?i)" if ci else "") + java(p), WHOLE, guard) for guard, p, ci in rules]), lambda m: _hits(_parts(text, m)))
+
+
+def separable(pattern: str) -> bool:
+    """Whether a rule names every character that it looks at, and no separator: to it a separator is as a text's end."""
+    named = re.sub(r"\\[ds]|\\[^A-Za-z0-9]", "", pattern)
+    plain = re.sub(r"\[(?!\^)[^\]]*\]", "", named)
+    ranges = [r for inner in re.findall(r"\[([^\]]*)\]", named) for r in re.findall("(.)-(.)", inner)]
+    spans_one = any(a < c < b for a, b in ranges for c in SEPARATORS)
+    return not (spans_one or re.search(r"[.^$\\]", plain) or "\\" in named or any(c in pattern for c in SEPARATORS))
+
+
+def fragments(text: Column) -> Column:
+    """A text's pieces between separators: start, value, whether there is a digit and whether there are four in a row."""
+    each = lambda p, at: F.transform(p, lambda v, i: F.struct(F.get(at, i).alias("start"), v.alias("value"), v.rlike("\\d").alias("digit"), v.rlike("\\d{4}").alias("digits")))
+    parts = F.split(F.translate(text, SEPARATORS, SEPARATORS[0] * len(SEPARATORS)), SEPARATORS[0])
+    return F.filter(bound(parts, lambda p: bound(starts(p, 1), lambda at: each(p, at))), lambda f: f["value"] != "")
+
+
+def meets(fragment: Column, needs: tuple) -> Column:
+    """Whether a fragment has what a rule can't match without: a flag's name, one of several strings, or a pattern in slashes, for each need."""
+    one = lambda n: fragment[n] if n in ("digit", "digits") else fragment["value"].rlike(n[1:-1]) if len(n) > 2 and n[0] == n[-1] == "/" else F.contains(fragment["value"], F.lit(n))
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, map(one, need)) for need in needs])
+
+
+def scan_fragments_each(pieces: Column, rules: list[tuple[tuple, str, bool]]) -> Column:
+    """An array of the matches of each separable rule (needs, pattern, case ignored), searched only in fragments that meet its needs.
+
+    The fragments of equal needs are joined by a mark and searched in one go; what is between two marks has its fragment's start.
+    """
+    groups: dict[tuple, list[tuple[str, bool]]] = {}
+    for needs, pattern, ci in sorted(rules, key=lambda r: r[0][0] != ("digit",)):
+        groups.setdefault(needs, []).append((pattern, ci))
+    places = [(list(groups).index(needs), groups[needs].index((pattern, ci))) for needs, pattern, ci in rules]
+
+    def found(pieces, needs, patterns):
+        def of(kept):
+            text = F.array_join(F.transform(kept, lambda f: f["value"]), MARKS[1])
+            starts = F.transform(kept, lambda f: f["start"])
+            marked = lambda t: F.array(*[F.regexp_replace(t, F.lit(("(?i)" if ci else "") + java(p)), WHOLE) for p, ci in patterns])
+            return F.when(F.size(kept) > 0, bound(text, lambda t: F.transform(marked(t), lambda m: F.when(m != t, F.struct(starts.alias("starts"), F.split(m, MARKS[1]).alias("marked"))))))
+
+        return bound(chosen(pieces, needs), of)
+
+    def of_fragment(part, start):
+        several = lambda parts: F.transform(_hits(parts), lambda h: F.struct((h["start"] + start).alias("start"), h["value"].alias("value")))
+        single = lambda parts: F.array(F.struct((start + F.length(F.get(parts, F.lit(0)))).cast("int").alias("start"), F.get(parts, F.lit(1)).alias("value")))
+        return bound(F.split(part, MARKS[0]), lambda parts: F.when(F.size(parts) == 3, single(parts)).otherwise(several(parts)))
+
+    def of_rule(x):
+        each = F.transform(x["marked"], lambda part, i: F.when(F.contains(part, F.lit(MARKS[0])), of_fragment(part, F.get(x["starts"], i))))
+        return F.when(x.isNotNull(), F.flatten(F.filter(each, lambda h: h.isNotNull()))).otherwise(none(HIT))
+
+    # Most needs begin with a digit, so these fragments are chosen once.
+    chosen = lambda pieces, needs: F.filter(pieces, lambda f: meets(f, needs)) if needs else pieces
+    numbers = lambda pieces: bound(F.filter(pieces, lambda f: f["digit"]), lambda d: F.array(*[found(d, n[1:], p) for n, p in groups.items() if n[0] == ("digit",)]))
+    others = F.array(*[found(pieces, n, p) for n, p in groups.items() if n[0] != ("digit",)])
+    every = F.concat(numbers(pieces), others)
+    return bound(every, lambda e: F.transform(F.array(*[F.get(F.get(e, F.lit(g)), F.lit(i)) for g, i in places]), of_rule))
 
 
 def _field_pattern(before: str, value: str, after: str, flags: str) -> str:
@@ -135,12 +212,12 @@ def _field_pattern(before: str, value: str, after: str, flags: str) -> str:
 
 def scan_fields(text: Column, before: str, value: str, after: str = "", flags: str = "", guard: Column | None = None) -> Column:
     """Matches of label and value: start of the match, the match, the value's group."""
-    return _fields(_parts(text, _field_pattern(before, value, after, flags), LABELLED, guard))
+    return bound(_marked(text, _field_pattern(before, value, after, flags), LABELLED, guard), lambda m: _fields(_parts(text, m)))
 
 
 def scan_fields_each(text: Column, rules: list[tuple[Column | None, str, str, str, str]]) -> Column:
     """An array of the matches of each rule (guard, label, value, what follows, flags); one fold serves all."""
-    return F.transform(F.array(*[_parts(text, _field_pattern(*rule), LABELLED, guard) for guard, *rule in rules]), _fields)
+    return F.transform(F.array(*[_marked(text, _field_pattern(*rule), LABELLED, guard) for guard, *rule in rules]), lambda m: _fields(_parts(text, m)))
 
 
 def candidate(start: Column, value: Column, category: Column | str, placeholder: Column | str) -> Column:
@@ -199,7 +276,7 @@ def resolved(candidates: Column, clause_spans: Column | None, strict: bool = Fal
         after = F.struct(F.when(taken, c["end"]).otherwise(state["end"]).alias("end"), F.coalesce(x["clause"], k).alias("clause"))
         return after, c, taken
 
-    return swept(F.array_sort(items), F.struct(F.lit(0).alias("end"), none_of(CLAUSE).alias("clause")), step, CANDIDATE)
+    return swept(F.sort_array(items), F.struct(F.lit(0).alias("end"), none_of(CLAUSE).alias("clause")), step, CANDIDATE)
 
 
 def applied(text: Column, spans: Column) -> Column:
