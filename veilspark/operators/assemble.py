@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.dialect import BLANK, matches, replace, trim
-from ..functions.spans import swept
+from ..functions.spans import bound, swept
 
 NEEDED = "^word/(?:document|(?:header|footer)[0-9]+)\\.xml$"
 
@@ -82,11 +82,15 @@ def assembled(pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
 def table_text(rows: Column) -> Column:
     """A table (rows of cells of paragraphs) as Markdown."""
     cell = lambda paragraphs: F.replace(F.array_join(F.filter(F.transform(paragraphs, trim), lambda p: p != ""), "；"), F.lit("|"), F.lit("\\|"))
-    cells = F.transform(rows, lambda r: F.transform(r, cell))
-    width = F.coalesce(F.array_max(F.transform(cells, F.size)), F.lit(0))
-    full = F.transform(cells, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    every = F.concat(F.slice(full, 1, 1), F.array(F.array_repeat(F.lit("---"), width)), F.slice(full, 2, F.greatest(F.size(full) - 1, F.lit(0))))
-    return F.when(F.size(rows) == 0, "").otherwise(F.array_join(F.transform(every, lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))), "\n"))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+
+    def of(cells, width):  # both bound, as each row asks for the width
+        full = lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))
+        shown = F.transform(cells, lambda r, i: F.when(i == 0, F.concat(line(full(r)), F.lit("\n"), line(F.array_repeat(F.lit("---"), width)))).otherwise(line(full(r))))
+        return F.array_join(shown, "\n")
+
+    text = bound(F.transform(rows, lambda r: F.transform(r, cell)), lambda cells: bound(F.coalesce(F.array_max(F.transform(cells, F.size)), F.lit(0)), lambda width: of(cells, width)))
+    return F.when(F.size(rows) == 0, "").otherwise(text)
 
 
 def block_text(kind: Column, style: Column, text: Column, rows: Column) -> Column:
@@ -98,10 +102,13 @@ def block_text(kind: Column, style: Column, text: Column, rows: Column) -> Colum
 
 def block_documents(blocks: DataFrame) -> DataFrame:
     """doc_id, text from blocks; part 0 is the body, the others are headers and footers by name."""
-    shown = blocks.withColumn("md", F.coalesce(block_text(F.col("kind"), F.col("style"), F.col("text"), F.col("rows")), F.lit(""))).filter("md <> ''")
-    parts = shown.groupBy("doc_id", "part_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "md"))), lambda b: b["md"]), "\n\n").alias("md"))
-    docs = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part_no", "md"))).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: F.when(p["part_no"] == 0, p["md"]).otherwise(F.concat(F.lit(fixed.PART_NOTICE), p["md"]))), "")
+    md = F.coalesce(block_text(F.col("kind"), F.col("style"), F.col("text"), F.col("rows")), F.lit(""))
+    block = bound(md, lambda m: F.when(m != "", F.struct("part_no", "block_no", m.alias("md"))))
+    docs = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(block)).alias("blocks")).filter(F.size("blocks") > 0)
+    # A block follows its part's one before it by an empty line; a part that is not the body has its notice first.
+    follows = lambda b, i: (i > 0) & F.get("blocks", i - 1)["part_no"].eqNullSafe(b["part_no"])
+    lead = lambda b, i: F.when(follows(b, i), "\n\n").when(b["part_no"] == 0, "").otherwise(fixed.PART_NOTICE)
+    text = F.array_join(F.transform("blocks", lambda b, i: F.concat(lead(b, i), b["md"])), "")
     return docs.select("doc_id", trim(text).alias("text"))
 
 

@@ -338,7 +338,7 @@ def span_documents(spark, sf_dir):
     start = (F.col("l_suppkey") % 50).cast("int")
     cat = F.element_at(F.array(*map(F.lit, _CATS)), ((F.col("l_linenumber") - 1) % 7 + 1).cast("int"))
     row = F.struct(start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"), F.lit("v").alias("value"), cat.alias("category"), F.lit("P").alias("placeholder"))
-    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey"), row.alias("c"))))
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_partkey"), row.alias("c"))))
     return x.groupBy(F.col("l_orderkey").alias("doc_id")).agg(rows.alias("r")).select("doc_id", F.transform("r", lambda r: r["c"]).alias("candidates"))
 
 
@@ -553,12 +553,13 @@ def order_tables(spark, sf_dir):
     """Line items of an order as a Markdown table with ragged rows, under a heading."""
     x = table(spark, sf_dir, "lineitem")
     cell = lambda c: F.array(F.concat(F.lit(" "), c, F.lit(" ")), F.lit(" "), F.lit("a|b"))
-    row = F.when(F.col("l_linenumber") % 2 == 1, F.array(cell(F.col("l_partkey").cast("string")), cell(F.col("l_returnflag")))).otherwise(F.array(cell(F.col("l_partkey").cast("string"))))
-    t = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", row.alias("r")))).alias("rs"))
+    row = lambda r: F.when(r["l_linenumber"] % 2 == 1, F.array(cell(r["l_partkey"].cast("string")), cell(r["l_returnflag"]))).otherwise(F.array(cell(r["l_partkey"].cast("string"))))
+    # Only what the cells are made from is collected.
+    t = x.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))).alias("rs"))
     text = lambda x: F.lit(x).cast("string")
     block = lambda part, no, kind, style, said, rows: F.struct(F.lit(part).alias("part_no"), F.lit(no).alias("block_no"), F.lit(kind).alias("kind"), text(style).alias("style"), text(said).alias("text"), rows.alias("rows"))
     none = F.lit(None).cast("array<array<array<string>>>")
-    blocks = F.array(block(0, 0, "p", "Heading2", " Order ", none), block(0, 1, "tbl", None, None, F.transform("rs", lambda r: r["r"])), block(1, 0, "p", None, "foot", none))
+    blocks = F.array(block(0, 0, "p", "Heading2", " Order ", none), block(0, 1, "tbl", None, None, F.transform("rs", row)), block(1, 0, "p", None, "foot", none))
     return assemble.block_documents(t.select(F.col("l_orderkey").alias("doc_id"), F.inline(blocks)))
 
 
