@@ -48,3 +48,9 @@ def test_labels_need_the_words_that_are_looked_for(spark):
     some = [F.count_if(F.regexp_like("text", F.lit(java(label)))) for label, _ in labels]
     assert set(docs.agg(*[c.alias(f"c{i}") for i, c in enumerate(found)]).first()) == {0}
     assert min(docs.agg(*[c.alias(f"c{i}") for i, c in enumerate(some)]).first()) > 0
+
+
+def test_texts_of_ascii_are_not_searched_for_labels(spark):
+    """Of the stream's texts without Chinese characters only the rules that need none are searched."""
+    docs = spark.createDataFrame([("plain words. " * 20,), ("甲方",)], "text string")
+    assert [r.h for r in docs.select(spans.holds(F.col("text"), ("方", "words")).alias("h")).collect()] == [False, True]
