@@ -125,5 +125,5 @@ def with_late_term(docs: DataFrame, term: str) -> DataFrame:
     both = docs.withColumn("__all", F.concat("matches", added))
     kept = spans.resolved(F.transform("__all", plain), spans.clauses(F.col("text")))
     # The flags of the matches that stay are looked up by their id.
-    flags = F.transform(kept, lambda m: F.filter("__all", lambda x: (x["match_id"] == spans.match_id(m)) & (x["placeholder"] == m["placeholder"]))[0])
+    flags = F.transform(kept, lambda m: spans.bound(spans.match_id(m), lambda key: F.filter("__all", lambda x: (x["match_id"] == key) & (x["placeholder"] == m["placeholder"]))[0]))
     return both.withColumn("matches", F.when(F.size(added) > 0, flags).otherwise(F.col("matches"))).drop("__all")
